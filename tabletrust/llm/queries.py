@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import pieces
+from tabletrust.llm import pieces, sketches
 from tabletrust.llm.common import read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,5 +23,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece}
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sketches.fingerprints(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", "edited_sha256", sketches.as_text(F.col("sketch")).alias("fingerprint"), sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
 ORACLE_SQL: dict[str, str] = {}
