@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import pieces, sketches
+from tabletrust.llm import html, mixing, pieces, sketches, urls
 from tabletrust.llm.common import read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,5 +28,26 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", "edited_sha256", sketches.as_text(F.col("sketch")).alias("fingerprint"), sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
-ORACLE_SQL: dict[str, str] = {}
+#: Half of the corpus's tokens: domains and languages by weight, sources of a language alike.
+MIX = mixing.Mix(domain={"web": 40, "books": 35, "forums": 25}, lang={"en": 50, "de": 20, "fr": 20, "es": 10}, budget_permille=500, max_epochs=2, seed=7)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(read(spark, sf_dir, "documents"), MIX)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filtered(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
+ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX)}
