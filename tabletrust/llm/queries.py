@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import html, mixing, pieces, sketches, urls
-from tabletrust.llm.common import read
+from tabletrust.llm import html, languages, mixing, pieces, quality, rules, sketches, urls
+from tabletrust.llm.common import fold, read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -49,5 +49,22 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = languages.learn(docs.where(fold(F.col("doc_id")) != 2))
+    return languages.predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "mix")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 2)
+    scored = rules.scored(docs, rules.fit(docs, labels, "quality"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
 ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX)}
