@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import html, languages, mixing, pieces, quality, rules, sketches, urls
+from tabletrust.llm import html, languages, mixing, pieces, pii, quality, rules, sketches, urls
 from tabletrust.llm.common import fold, read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,5 +66,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
+#: The key of the surrogates; a deployment passes its own.
+PII_KEY = b"tabletrust surrogate key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(docs, PII_KEY, count="n_entities")
+
+
+QUERIES = {"op9_pii": op9_pii, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
 ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX)}
