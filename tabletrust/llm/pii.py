@@ -49,7 +49,7 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
     r"|(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)"
     r"|(?P<card>\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b|\b\d{13,19}\b)"
-    r"|(?P<phone>(?<!\w)(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b)"
+    r"|(?P<phone>(?<!\w)(?:(?:\+|00)?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)(?:\+|00)\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ -]?\d{2,4}){2,4}(?![.\d]*\d))"
 )
 NAME = re.compile(r"\b(?P<title>" + "|".join(t for ts in TITLES.values() for t in ts) + r")(?P<gap>\.?\s+)(?P<name>" + NAME_WORD + r"(?:[ \t]" + NAME_WORD + r"){0,2})")
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import html, languages, mixing, pieces, pii, quality, rules, sketches, urls
+from tabletrust.llm import html, jaccard, languages, mixing, pieces, pii, quality, rules, sketches, urls
 from tabletrust.llm.common import fold, read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,6 +28,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", "edited_sha256", sketches.as_text(F.col("sketch")).alias("fingerprint"), sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents"))
+
+
 #: Half of the corpus's tokens: domains and languages by weight, sources of a language alike.
 MIX = mixing.Mix(domain={"web": 40, "books": 35, "forums": 25}, lang={"en": 50, "de": 20, "fr": 20, "es": 10}, budget_permille=500, max_epochs=2, seed=7)
 
@@ -75,5 +79,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(docs, PII_KEY, count="n_entities")
 
 
-QUERIES = {"op9_pii": op9_pii, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op9_pii": op9_pii, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
 ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX)}
