@@ -4,16 +4,16 @@ Documents are sets of hashed five-word shingles; two link when their Jaccard sim
 documents form components. The join is exact up to collisions of 64-bit hashes.
 
 1. Equal sets collapse to their smallest document. All further work is on these representatives.
-2. Similar representatives are partitioned into groups: those with the same smallest hash, under several orders, are
-   compared with one leader of their bucket, and verified links make groups, so that a group lies within one component.
-   A bucket of any size costs one comparison per member.
-3. The token-group matrix holds, for each group, the union of its members' prefix tokens: a set of n tokens that shares
-   0.8 of a union with another shares a token among its first n - ceil(0.8 n) + 1, in any order common to all sets. The
-   order puts tokens seen often within a part of the input last. A query of another group that meets no token of a
-   group's union can't link to it.
-4. For groups of several members the bound is then taken over the union of all their tokens: a group opens for a query
-   only if it holds 0.8 of the query's tokens. The members of open groups are compared with the query.
-5. Verified links between groups join their components.
+2. Representatives with the same smallest hash, under several orders, share a bucket. Each is compared with one leader of
+   its bucket, and links make families that lie within one component. A bucket of any size costs one comparison a member.
+3. Representatives are partitioned into groups of similar ones: the members of a bucket, dealt to groups of about GROUP,
+   and the others alone. The token-group matrix holds, for each group, the union of its members' prefix tokens: a set of
+   n tokens that shares 0.8 of a union with another shares a token with it among the first n - ceil(0.8 n) + 1 of each,
+   in any order common to all sets. The order puts tokens seen often within a part of the input last. Groups without a
+   common entry hold no link, nor do groups of unlike sizes; groups of one family need none.
+4. Two groups that meet are read together. The overlap of each query with the other group's token union bounds its links:
+   only a group that holds 0.8 of the query's tokens is opened, and its members compared.
+5. Links join families to components.
 
 Sets are computed from texts where they are needed and never shuffled whole. Tables of ids are broadcast while their
 counted size is within a bound and joined by a shuffle beyond it.
@@ -39,8 +39,12 @@ ORDERS = 4
 SALTS = [0, 0x5555AAAA0F0FC3C3, 0xA7C3D1E5B9F08642, 0xF1D2C3B4A5968778]
 #: A token in so many documents of one block of BLOCK documents counts as common; at most COMMON such tokens, the most
 #: frequent ones, are put last in the order. The order changes the work only, never the result.
-FREQUENT, BLOCK, COMMON = 8, 2048, 1 << 18
+FREQUENT, BLOCK, COMMON = 3, 2048, 1 << 18
 WORD_MEMORY = 300_000
+#: Members of a group, about.
+GROUP = 64
+#: Distinct tokens that two groups are compared on at a time.
+COLUMNS = 1 << 14
 
 
 class WordHashes(dict):
@@ -151,19 +155,6 @@ def prefixed(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select(*others, "text").mapInArrow(run, shape)
 
 
-def tokened(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, and tokens: the whole set."""
-    others = [c for c in docs.columns if c != "text"]
-    shape = docs.select(*others).withColumn("tokens", F.array().cast("array<long>")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, 256):
-            array = pa.array([shingles(t).view(np.int64) for t in part.column(part.num_columns - 1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], array], names=[*others, "tokens"])
-
-    return docs.select(*others, "text").mapInArrow(run, shape)
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link. texts: doc_id, text, each id once. One text a pair is shuffled, by b."""
     left = texts.join(bounded(pairs), texts["doc_id"] == pairs["a"]).select("a", "b", "text")
@@ -214,12 +205,78 @@ def grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.join(found, "rep", "left").withColumn("grp", F.coalesce("root", "rep")).drop("root")
 
 
-def led(reps: DataFrame) -> DataFrame:
-    """Of every representative and order: the leader of its bucket (an arbitrary member), where that is another one."""
-    buckets = reps.select("rep", "n", F.posexplode("least").alias("o", "h"))
-    lead = buckets.groupBy("o", "h").agg(F.min(F.struct(F.xxhash64("rep", "o").alias("x"), "rep", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    lead = bounded(saved(lead.select("o", "h", F.col("l.rep").alias("b"), F.col("l.n").alias("m")), "leaders"))
-    return buckets.join(lead, ["o", "h"]).where((F.col("rep") != F.col("b")) & feasible(F.col("n"), F.col("m"))).select("o", F.col("rep").alias("a"), "b")
+def buckets_of(reps: DataFrame) -> DataFrame:
+    """rep, n, order and smallest hash of every representative, with its bucket's leader b (an arbitrary member), the
+    leader's size m and the number c of members; only of buckets with several."""
+    rows = reps.select("rep", "n", F.posexplode("least").alias("o", "h"))
+    lead = rows.groupBy("o", "h").agg(F.min(F.struct(F.xxhash64("rep", "o").alias("x"), "rep", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    lead = bounded(saved(lead.select("o", "h", F.col("l.rep").alias("b"), F.col("l.n").alias("m"), "c"), "leaders"))
+    return saved(rows.join(lead, ["o", "h"]), "buckets")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sets of a and of b."""
+    if len(a) * len(b) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
+    tokens, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(tokens), COLUMNS):
+        width = min(COLUMNS, len(tokens) - low)
+        inside = (at >= low) & (at < low + width)
+        m = np.zeros((len(a) + len(b), width), np.float32)
+        m[row[inside], at[inside] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def opened(queries: list[dict], members: list[dict], sets: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """Links between two groups that join families not joined before; each row has doc_id, grp and text."""
+    family: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while family.get(x, x) != x:
+            x = family[x]
+        return x
+
+    b = [sets[r["text"]] for r in members]
+    union = np.unique(np.concatenate(b))
+    # The bound: a query opens the group only if the union holds enough of its tokens.
+    asking = [r for r in queries if 100 * np.isin(sets[r["text"]], union, assume_unique=True).sum() >= PERCENT * len(sets[r["text"]])]
+    if not asking:
+        return []
+    a = [sets[r["text"]] for r in asking]
+    both = overlaps(a, b)
+    sizes = np.add.outer([len(x) for x in a], [len(x) for x in b])
+    links = []
+    for i, j in np.argwhere(100 * both >= PERCENT * (sizes - both)):
+        x, y = root(asking[i]["grp"]), root(members[j]["grp"])
+        if x != y:
+            family[max(x, y)] = min(x, y)
+            links.append((asking[i]["doc_id"], members[j]["doc_id"]))
+    return links
+
+
+def compared(pairs: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of paired groups (x, y); x may equal y. A group is one row of about GROUP texts."""
+    wanted = bounded(saved(pairs.select(F.explode(F.array("x", "y")).alias("cell")).distinct(), "wanted"))
+    members = bounded(saved(placed.join(wanted, "cell").select("doc_id", "cell", "grp"), "members"))
+    cells = texts.join(members, "doc_id").groupBy("cell").agg(F.collect_list(F.struct("doc_id", "grp", "text")).alias("rows"))
+    left, right = cells.select(F.col("cell").alias("x"), F.col("rows").alias("queries")), cells.select(F.col("cell").alias("y"), F.col("rows").alias("members"))
+    both = pairs.select("x", "y").join(left.hint("merge"), "x").join(right.hint("merge"), "y").select("queries", "members", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, {}  # rows come ordered by y, so its sets are made once
+        for part in parts(batches, 16):
+            links = []
+            for queries, members, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if y != last:
+                    last, known = y, {r["text"]: shingles(r["text"]) for r in members}
+                links += opened(queries, members, known | {r["text"]: shingles(r["text"]) for r in queries if r["text"] not in known})
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -235,46 +292,34 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = saved(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")), "reps")
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
-    # 2. groups by leaders: first under one order, then under the others where the groups still differ
-    pairs = saved(led(reps).distinct(), "led")
+    # 2. families by leaders: first under one order, then under the others where the families still differ
+    buckets = buckets_of(reps)
+    pairs = buckets.where((F.col("rep") != F.col("b")) & feasible(F.col("n"), F.col("m"))).select("o", F.col("rep").alias("a"), "b")
     links = saved(verified(saved(pairs.where("o = 0").select("a", "b").distinct(), "pairs"), texts), "links")
-    groups = saved(grouped(reps, links), "groups")
+    groups = saved(grouped(reps, links), "families")
     of = groups.select("rep", "grp")
     apart = pairs.where("o > 0").select("a", "b").distinct().join(bounded(of.toDF("a", "ga")), "a").join(bounded(of.toDF("b", "gb")), "b").where("ga <> gb").select("a", "b")
-    links = saved(links.unionByName(verified(saved(apart, "apart"), texts)), "links2")
-    groups = saved(grouped(reps, links), "groups2")
-
-    # 3. the matrix of prefix tokens
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = bounded(saved(groups.join(sizes, "grp").select(F.col("rep").alias("doc_id"), "grp", "size", "low", "high", "n"), "placed"))
-    posts = saved(prefixed(texts.join(placed, "doc_id"), common_tokens(profile)), "posts")
-    rows = posts.select("doc_id", "grp", "size", "low", "high", "n", F.explode("prefix").alias("token"))
-    spread = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
-    rows = rows.join(bounded(saved(spread, "spread")), "token")
-    rows = saved(rows, "rows")
-    matrix = rows.select("token", F.col("grp").alias("g"), F.col("size").alias("g_size"), F.col("low").alias("g_low"), F.col("high").alias("g_high")).distinct()
-    # Of two groups the smaller one's members are the queries.
-    lesser = (F.col("size") < F.col("g_size")) | ((F.col("size") == F.col("g_size")) & (F.col("grp") < F.col("g")))
-    fits = (100 * F.col("n") >= PERCENT * F.col("g_low")) & (100 * F.col("g_high") >= PERCENT * F.col("n"))
-    met = rows.join(matrix, "token").where(lesser & fits).select("doc_id", "n", "g", "g_size").distinct()
-    met = saved(met, "met")
-
-    # 4. the bound over whole unions, for groups of several members
-    many = met.where("g_size > 1")
-    if not many.isEmpty():
-        asked = bounded(saved(many.select("doc_id").distinct(), "asked"))
-        queries = tokened(texts.join(asked, "doc_id")).select("doc_id", F.explode("tokens").alias("token")).join(many, "doc_id")
-        wide = bounded(saved(many.select(F.col("g").alias("grp")).distinct(), "wide"))
-        members = groups.join(wide, "grp").select(F.col("rep").alias("doc_id"), "grp")
-        unions = tokened(texts.join(bounded(members), "doc_id")).select(F.col("grp").alias("g"), F.explode("tokens").alias("token")).distinct()
-        bound = queries.join(unions, ["g", "token"]).groupBy("doc_id", "n", "g").agg(F.count("*").alias("c"))
-        opened = bound.where(F.col("c") * 100 >= F.col("n") * PERCENT).select("doc_id", "n", "g")
-        opened = saved(opened.unionByName(met.where("g_size = 1").select("doc_id", "n", "g")), "opened")
-    else:
-        opened = met.select("doc_id", "n", "g")
-    inside = groups.select("grp", F.col("rep").alias("b"), F.col("n").alias("m"))
-    pairs = opened.join(inside, opened["g"] == inside["grp"]).where(feasible(F.col("n"), F.col("m"))).select(F.col("doc_id").alias("a"), "b")
-    links = saved(links.unionByName(verified(saved(pairs, "opened_pairs"), texts)), "links3")
+    links = saved(links.unionByName(verified(saved(apart, "apart"), texts)), "links")
+    groups = saved(grouped(reps, links), "families")
+
+    # 3. groups: a member of buckets goes to the largest one's, dealt by hash to groups of about GROUP
+    largest = buckets.groupBy("rep").agg(F.max(F.struct("c", "o", "h")).alias("l"))
+    deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("l.c") / GROUP).cast("long"))
+    cell = largest.select("rep", F.xxhash64("l.o", "l.h", deal).alias("cell"))
+    placed = groups.join(bounded(saved(cell, "cells")), "rep", "left").select(F.col("rep").alias("doc_id"), "grp", "n", F.coalesce("cell", F.xxhash64(F.lit("alone"), "rep")).alias("cell"))
+    placed = saved(placed, "placed")
+    posts = prefixed(texts.join(bounded(placed), "doc_id"), common_tokens(profile)).select("cell", F.explode("prefix").alias("token"))
+    posts = saved(posts.groupBy("token").agg(F.min("cell").alias("least"), F.max("cell").alias("most"), F.collect_set("cell").alias("cells")).where("least < most").select("token", F.explode("cells").alias("cell")), "matrix")
+    traits = bounded(saved(placed.groupBy("cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("first"), F.max("grp").alias("last")), "traits"))
+    matrix = posts.join(traits, "cell")
+    other = matrix.toDF("y", "token", "y_low", "y_high", "y_first", "y_last")
+    fits = (100 * F.col("high") >= PERCENT * F.col("y_low")) & (100 * F.col("y_high") >= PERCENT * F.col("low"))
+    one = (F.col("first") == F.col("last")) & (F.col("y_first") == F.col("y_last")) & (F.col("first") == F.col("y_first"))
+    met = matrix.join(other, "token").where((F.col("cell") < F.col("y")) & fits & ~one).select(F.col("cell").alias("x"), "y").distinct()
+
+    # 4. groups that meet, and each group in itself where it has several families
+    alone = placed.groupBy("cell").agg(F.min("grp").alias("first"), F.max("grp").alias("last")).where("first < last").select(F.col("cell").alias("x"), F.col("cell").alias("y"))
+    links = saved(links.unionByName(compared(saved(met.unionByName(alone), "met"), placed, texts)), "links")
 
     # 5. components of all links
     final = grouped(reps, links).select("key", F.col("grp").alias("component_id"))
