@@ -257,22 +257,17 @@ def opened(queries: list[dict], members: list[dict], sets: dict[str, np.ndarray]
     return links
 
 
-def compared(pairs: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the members of paired groups (x, y); x may equal y. A group is one row of about GROUP texts."""
-    wanted = bounded(saved(pairs.select(F.explode(F.array("x", "y")).alias("cell")).distinct(), "wanted"))
-    members = bounded(saved(placed.join(wanted, "cell").select("doc_id", "cell", "grp"), "members"))
-    cells = texts.join(members, "doc_id").groupBy("cell").agg(F.collect_list(F.struct("doc_id", "grp", "text")).alias("rows"))
-    left, right = cells.select(F.col("cell").alias("x"), F.col("rows").alias("queries")), cells.select(F.col("cell").alias("y"), F.col("rows").alias("members"))
-    both = pairs.select("x", "y").join(left.hint("merge"), "x").join(right.hint("merge"), "y").select("queries", "members", "y")
+def compared(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the documents of paired groups. met: x, y (groups; x may equal y), doc_id, grp, cell (its
+    group). The documents of a pair, about twice GROUP at most, come together in one row."""
+    both = texts.join(bounded(met), "doc_id").groupBy("x", "y").agg(F.collect_list(F.struct("doc_id", "grp", "cell", "text")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, {}  # rows come ordered by y, so its sets are made once
         for part in parts(batches, 16):
             links = []
-            for queries, members, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if y != last:
-                    last, known = y, {r["text"]: shingles(r["text"]) for r in members}
-                links += opened(queries, members, known | {r["text"]: shingles(r["text"]) for r in queries if r["text"] not in known})
+            for x, y, rows in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                sets = {t: shingles(t) for t in {r["text"] for r in rows}}
+                links += opened([r for r in rows if r["cell"] == x], [r for r in rows if r["cell"] == y], sets)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -304,22 +299,26 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # 3. groups: a member of buckets goes to the largest one's, dealt by hash to groups of about GROUP
     largest = buckets.groupBy("rep").agg(F.max(F.struct("c", "o", "h")).alias("l"))
-    deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("l.c") / GROUP).cast("long"))
-    cell = largest.select("rep", F.xxhash64("l.o", "l.h", deal).alias("cell"))
-    placed = groups.join(bounded(saved(cell, "cells")), "rep", "left").select(F.col("rep").alias("doc_id"), "grp", "n", F.coalesce("cell", F.xxhash64(F.lit("alone"), "rep")).alias("cell"))
-    placed = saved(placed, "placed")
-    posts = prefixed(texts.join(bounded(placed), "doc_id"), common_tokens(profile)).select("cell", F.explode("prefix").alias("token"))
-    posts = saved(posts.groupBy("token").agg(F.min("cell").alias("least"), F.max("cell").alias("most"), F.collect_set("cell").alias("cells")).where("least < most").select("token", F.explode("cells").alias("cell")), "matrix")
-    traits = bounded(saved(placed.groupBy("cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("first"), F.max("grp").alias("last")), "traits"))
-    matrix = posts.join(traits, "cell")
-    other = matrix.toDF("y", "token", "y_low", "y_high", "y_first", "y_last")
+    dealt = largest.select("rep", F.xxhash64("l.o", "l.h", F.pmod(F.xxhash64("rep"), F.ceil(F.col("l.c") / GROUP).cast("long"))).alias("d"))
+    named = saved(dealt, "dealt")
+    cell = named.join(bounded(named.groupBy("d").agg(F.min("rep").alias("cell"))), "d").select("rep", "cell")
+    placed = groups.join(bounded(saved(cell, "cells")), "rep", "left").select(F.col("rep").alias("doc_id"), "grp", "n", F.coalesce("cell", "rep").alias("cell"))
+    placed = bounded(saved(placed, "placed"))
+    posts = saved(prefixed(texts.join(placed, "doc_id"), common_tokens(profile)), "posts")
+    spread = posts.select(F.explode("prefix").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).where("first < last").select("token")
+    rows = posts.withColumn("token", F.explode("prefix")).join(bounded(saved(spread, "spread")), "token")
+    matrix = rows.groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_set("doc_id").alias("docs"))
+    matrix = saved(matrix, "matrix")
+    other = matrix.select("token", *(F.col(c).alias(f"y_{c}") for c in matrix.columns[1:]))
     fits = (100 * F.col("high") >= PERCENT * F.col("y_low")) & (100 * F.col("y_high") >= PERCENT * F.col("low"))
     one = (F.col("first") == F.col("last")) & (F.col("y_first") == F.col("y_last")) & (F.col("first") == F.col("y_first"))
-    met = matrix.join(other, "token").where((F.col("cell") < F.col("y")) & fits & ~one).select(F.col("cell").alias("x"), "y").distinct()
+    pairs = matrix.join(other, "token").where((F.col("cell") < F.col("y_cell")) & fits & ~one)
+    pairs = pairs.groupBy(F.col("cell").alias("x"), F.col("y_cell").alias("y")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat("docs", "y_docs")))).alias("docs"))
 
-    # 4. groups that meet, and each group in itself where it has several families
-    alone = placed.groupBy("cell").agg(F.min("grp").alias("first"), F.max("grp").alias("last")).where("first < last").select(F.col("cell").alias("x"), F.col("cell").alias("y"))
-    links = saved(links.unionByName(compared(saved(met.unionByName(alone), "met"), placed, texts)), "links")
+    # 4. groups that meet, with the documents that do, and each group in itself where it has several families
+    alone = placed.groupBy("cell").agg(F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_set("doc_id").alias("docs")).where("first < last").select(F.col("cell").alias("x"), F.col("cell").alias("y"), "docs")
+    met = pairs.unionByName(alone).withColumn("doc_id", F.explode("docs")).drop("docs").join(placed.drop("n"), "doc_id")
+    links = saved(links.unionByName(compared(saved(met, "met"), texts)), "links")
 
     # 5. components of all links
     final = grouped(reps, links).select("key", F.col("grp").alias("component_id"))
