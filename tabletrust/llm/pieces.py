@@ -26,8 +26,8 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 #: White-space mark of the library's models.
 MARK = "▁"
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
-CUT_MEMORY = 500_000
-PAIR_MEMORY = 500_000
+CUT_MEMORY = 200_000
+PAIR_MEMORY = 300_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 

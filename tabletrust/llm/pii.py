@@ -178,7 +178,7 @@ def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], known
         what = (kind, canonical, exceptions.get((kind, canonical), 0))
         made = known.get(what)
         if made is None:
-            if len(known) >= 100_000:
+            if len(known) >= 30_000:
                 known.clear()
             made = known[what] = surrogate(key, *what)
         parts += [text[at:start], written(text[start:end], kind, made)]
