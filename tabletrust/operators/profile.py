@@ -22,7 +22,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """column, rows, nulls, null_rate, distinct, min, max, avg, stddev of every numeric column, in one melted job."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns or numeric_columns(df)))
     long = df.select(F.explode(cells).alias("c")).select("c.*")
-    stats = long.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 6).alias("avg"), F.round(F.stddev_samp("v"), 4).alias("stddev"))
+    stats = long.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("avg"), F.round(F.stddev_samp("v"), 4).alias("stddev"))
     distinct = long.where("v is not null").groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
     return stats.join(distinct, "column", "left").withColumns({"distinct": F.coalesce("distinct", F.lit(0)), "null_rate": F.round(F.col("nulls") / F.col("rows"), 6)})
 

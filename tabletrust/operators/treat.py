@@ -89,7 +89,7 @@ def strip_control(c: Column) -> Column:
 
 
 def unify_delimiters(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, "[,;|]"), F.trim), ",")
+    return F.array_join(F.transform(F.split(c, "[,;|]"), lambda x: F.trim(x)), ",")
 
 
 def iso_date(c: Column, formats: list[str] | None = None) -> Column:

@@ -90,8 +90,8 @@ def shapes(log: DataFrame, sql: str = "sql") -> DataFrame:
     filters = [r"(?i)(\w+)\s+ilike\s+'[^']*'", r"(?i)(\w+)\s+like\s+'[^']*'", r"(\w+)\s*=\s*'[^']*'", r"(?i)(\w+)\s+in\s*\("]
     window = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 0), F.lit("")) for p in (r"(?i)\w+\s+between\s+'[^']+'\s+and\s+'[^']+'", r"(?i)extract\(year from \w+\)\s*=\s*\d{4}", r"\w+\s*>=\s*'\d{4}-\d{2}-\d{2}'")))
     return log.withColumns({
-        "grouping": F.filter(F.transform(F.split(group, ","), F.trim), lambda x: x != ""), "having_min": F.nullif(F.regexp_extract(q, r"(?i)having\s+count\(\*\)\s*>=?\s*(\d+)", 1), F.lit("")).try_cast("int"),
-        "rankings": F.transform(order, F.trim), "limits": F.regexp_extract_all(q, F.lit(r"(?i)\blimit\s+(\d+)"), F.lit(1)),
+        "grouping": F.filter(F.transform(F.split(group, ","), lambda x: F.trim(x)), lambda x: x != ""), "having_min": F.nullif(F.regexp_extract(q, r"(?i)having\s+count\(\*\)\s*>=?\s*(\d+)", 1), F.lit("")).try_cast("int"),
+        "rankings": F.transform(order, lambda x: F.trim(x)), "limits": F.regexp_extract_all(q, F.lit(r"(?i)\blimit\s+(\d+)"), F.lit(1)),
         "filters": F.array_distinct(F.concat(*(F.regexp_extract_all(F.regexp_replace(q, r"(?i)\w+\s+not\s+in\s*\([^)]*\)", ""), F.lit(p), F.lit(1)) for p in filters))),
         "not_null": F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?i)(\w+)\s+is\s+not\s+null"), F.lit(1))), "frame": window,
     })

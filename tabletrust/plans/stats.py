@@ -49,7 +49,7 @@ def beta_share(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
