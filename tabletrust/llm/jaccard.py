@@ -39,7 +39,7 @@ ORDERS = 4
 SALTS = [0, 0x5555AAAA0F0FC3C3, 0xA7C3D1E5B9F08642, 0xF1D2C3B4A5968778]
 #: A token in so many documents of one block of BLOCK documents counts as common; at most COMMON such tokens, the most
 #: frequent ones, are put last in the order. The order changes the work only, never the result.
-FREQUENT, BLOCK, COMMON = 3, 2048, 1 << 18
+FREQUENT, BLOCK, COMMON = 2, 10_000, 1 << 20
 WORD_MEMORY = 120_000
 #: Members of a group, about.
 GROUP = 64

@@ -1,0 +1,236 @@
+"""Text operators against brute force, round trips and edge cases."""
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tabletrust.llm import html, jaccard, languages, mixing, pieces, pii, quality, queries, rules, sketches, urls
+from tabletrust.llm.common import fold
+
+SF = "/root/testdata/sf0.001"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, grp string"
+LONG = "word " * 30_000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, columns with clashing names."""
+    rows = [(1, None, None, None, None, "x", "y"), (2, "", "en", "src0", 0, None, None), (3, "  \n\t ", "en", "src1", 5, "x", "y"), (4, LONG, "en", "src0", 150_000, "x", "y"), (None, "no id here", "de", "src2", 10, "x", "y")]
+    rows += [(5, "the same text again and again", "en", "src0", 29, "x", "y")] * 2 + [(6, "the same text again and again", "fr", "src3", 29, "x", "y"), (7, "🙂 é ﬁ ​ x", "en", "odd", 9, "x", "y")]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def grams(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(docs):
+    sets, comp = {k: grams(t) for k, t in docs.items()}, {k: k for k in docs}
+    keys = sorted(docs)
+    changed = True
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(comp[a], comp[b])
+            changed |= comp[a] != m or comp[b] != m
+            comp[a] = comp[b] = m
+    return {k: (len(sets[k]), comp[k]) for k in docs}
+
+
+def test_op1_equals_brute_force(spark):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard_join(spark, SF).collect()}
+    assert got == brute_components(texts(spark))
+
+
+def test_op1_chains_and_groups(spark):
+    """Copies that drift apart, so that components are chains, some of whose members don't link to the leader."""
+    rng = random.Random(3)
+    docs, words = {}, [f"w{i}" for i in range(120)]
+    for k in range(90):
+        if k % 30 == 0:
+            words = [f"w{k}_{i}" for i in range(120)]
+        words = list(words)
+        words[rng.randrange(120)] = f"edit{k}"
+        docs[k] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df).collect()} == brute_components(docs)
+
+
+def test_op1_odd(odd, empty):
+    got = [(r.doc_id, r.component_id) for r in jaccard.classes(odd).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (None, None), (5, 5), (5, 5), (6, 5), (7, 7)], key=str)
+    assert jaccard.classes(empty).count() == 0
+    assert set(jaccard.survivors(odd).columns) == set(odd.columns)
+
+
+def test_op2_equals_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = texts(spark)
+    for r in queries.op2_sentencepiece(spark, SF).collect():
+        ids = sp.encode(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+
+
+def test_op2_hard_texts():
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.model(MODEL)
+    rng = random.Random(5)
+    cases = ["", " ", "  a", "a  ", " " * 40 + "x", " " * 33, "\n \n", "a▁b", "<s>x</s><0x0A>", "\x00", "日本語" * 30, "🙂é́ﬁ", "a" * 300, "　x​", "ñandú  Straße"]
+    cases += ["".join(rng.choice("abehirstn .,\n▁é1") for _ in range(200)) for _ in range(200)]
+    for t in cases:
+        assert m.encode(t).tolist() == sp.encode(t) and m.decode(sp.encode(t)) == sp.decode(sp.encode(t))
+
+
+def test_op2_odd(odd, empty):
+    got = {r.doc_id: r for r in pieces.decode(pieces.encode(odd, MODEL), MODEL).collect()}
+    assert got[1].ids == [] and got[1].decoded == "" and got[4].decoded == LONG
+    assert pieces.encode(empty, MODEL).count() == 0
+
+
+def test_op3_equals_brute_force(spark):
+    docs = sorted(texts(spark).items(), reverse=True)
+    got = {r.doc_id: r for r in queries.op3_fingerprints(spark, SF).collect()}
+    for i, (k, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, e = grams(t), grams(edited)
+        assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[k].near_edited - len(a & e) / len(a | e)) < 0.2
+
+
+def test_op3_sketches_merge(spark, odd, empty):
+    df = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(900))), (2, " ".join(f"a{i}" for i in range(450, 1350)))], "doc_id long, text string").withColumn("sketch", sketches.sketch(F.col("text")))
+    whole = sketches.merge_sketches(df.withColumn("g", F.lit(1)), ["g"]).select(sketches.distinct_count(F.col("sketch")).alias("n")).first().n
+    assert abs(whole - 1346) < 400
+    a, b = df.alias("a").where("doc_id = 1"), df.alias("b").where("doc_id = 2")
+    r = a.join(b, F.lit(True)).select(sketches.resemblance(F.col("a.sketch"), F.col("b.sketch")).alias("j"), sketches.containment(F.col("a.sketch"), F.col("b.sketch")).alias("c")).first()
+    assert abs(r.j - 1 / 3) < 0.15 and abs(r.c - 0.5) < 0.2
+    assert sketches.fingerprints(odd).count() == odd.count() and sketches.fingerprints(empty).count() == 0
+    one = sketches.fingerprints(odd.where("doc_id = 7")).first()
+    assert one.near_next == 1.0
+
+
+def test_op4_budgets(spark, odd, empty):
+    rows = [("web", "en", "a", 100), ("web", "de", "b", 1000), ("books", "en", "c", 10)]
+    got = {r.source: r.share for r in mixing.budgets(spark.createDataFrame(rows, "domain string, lang string, source string, supply long"), mixing.Mix(budget_permille=500, max_epochs=1)).collect()}
+    assert got == {"c": 10, "a": 100, "b": 445}  # books is short, so web takes its part; in web, en is short, so de does
+    assert mixing.chosen(empty, mixing.Mix()).count() == 0
+    taken = mixing.mixed(odd, mixing.Mix(budget_permille=2000, max_epochs=2))
+    assert taken.columns == odd.columns and taken.where("doc_id = 4").count() == 2
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
+<article><h1>Head &amp; line</h1><p><b>First  para.<br><p>Second &lt;one&gt;</p><aside>See also</aside><div id="comments"><p>A long reader comment that goes on and on and on</p></div></article>
+<div class="sidebar">Side</div><form><input value="x">Sign up</form><script>var t="</p>";</script><footer>&copy; x</footer>"""
+
+
+def test_op5(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, PAGE[: PAGE.index("Second") + 9])], "page_id long, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {1: "Head & line\nFirst para.\nSecond <one>", 2: "", 3: "", 4: "Head & line\nFirst para.\nSecond &l"}
+
+
+def test_op6(spark):
+    cases = [("https://a.example.org/es/1", "example.org/es/", "block"), ("http://ORG/x", "org/", "allow"), ("http://x.example.org/en/12?q", "example.org/en/1", "block"), ("https://b.com/fr/", "com/fr/", "allow"), ("http://notorg/x", None, None), ("http://x.org", None, None), (None, None, None), ("nothing", None, None)]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    got = {r.page_id: r for r in urls.filtered(df, queries.URL_RULES).collect()}
+    for i, (u, rule, verdict) in enumerate(cases):
+        assert got[i].rule == rule and (verdict is None or got[i].verdict == verdict) and got[i].verdict in ("allow", "block")
+    assert (got[6].host, got[6].path, got[1].host, got[2].path) == ("", "", "org", "/en/12")
+
+
+def test_op7_equals_brute_force(spark):
+    docs = texts(spark)
+    for r in queries.op7_quality_rules(spark, SF).collect():
+        t = docs[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)} if len(w) < 800 else None
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert again is None or r.n_repeat_words == len(again)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+
+
+def test_op7_bands_and_odd(odd, empty):
+    rng = random.Random(1)
+    pack = quality.zstandard.ZstdCompressor(level=3)
+    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40)) for _ in range(60))
+    assert not quality.judged(noise, pack)[-1] or quality.judged(noise, pack)[5] > 1.15
+    assert {r.doc_id: r.kept for r in quality.rules(odd).collect()}[4] is False
+    assert quality.rules(empty).count() == 0 and quality.kept(odd).columns == odd.columns
+
+
+def test_op8(spark, odd, empty):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op8_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(docs[r.doc_id].lang == r.lang_pred for r in got) / len(got) > 0.97
+    model = languages.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    odd_got = {r.doc_id: r.lang_pred for r in languages.predict(odd, model).collect()}
+    assert odd_got[1] == odd_got[2] == odd_got[3] == "und"
+    assert languages.predict(odd, languages.learn(empty)).select("lang_pred").distinct().first().lang_pred == "und"
+    de, fr = (next(r.text for r in docs.values() if r.lang == x and 1500 < len(r.text)) for x in ("de", "fr"))
+    mix = languages.identify(de[:1500] + " " + fr[:1500], model.table, model.log_table, model.names)[2]
+    assert set(mix) == {"de", "fr"} and 0.3 < mix["de"] < 0.7
+
+
+def test_op9(spark, odd, empty):
+    rows = [(1, "Mail anna@mail.example.com or ANNA@MAIL.EXAMPLE.COM, +1 (743) 555-3824 10.1.2.3 card 4111 1111 1111 1111"), (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and anna@mail.example.com'), (3, "Mrs Anna Schmidt met Mr Schmidt"), (4, "nothing here"), (5, None)]
+    made = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), b"k", count="n").collect()}
+    for secret in ("anna@mail", "555-3824", "10.1.2.3", "4111 1111", "24be6443", "Schmidt"):
+        assert all(secret.lower() not in (r.text or "").lower() for r in made.values())
+    address = re.search(r"\S+@\S+", made[2].text)[0]
+    assert address in made[1].text and address.upper() in made[1].text and made[4].text == "nothing here" and made[5].text is None
+    assert pii.luhn(re.search(r"card ([\d ]+)$", made[1].text)[1].replace(" ", ""))
+    assert made[3].text.split()[2] == made[3].text.split()[5] and made[1].n == 5
+    assert pii.replaced(empty, b"k").count() == 0 and pii.replaced(odd, b"k").columns == odd.columns
+
+
+def test_op9_surrogates_stay_distinct(spark):
+    rows = [("last", f"name{i}") for i in range(300)]
+    got = pii.checked(spark.createDataFrame(rows, "kind string, canonical string"), b"k").collect()
+    made = [pii.surrogate(b"k", r.kind, r.canonical, r.attempt) for r in got]
+    assert len(got) == 300 and len(set(made)) == 300
+
+
+def test_op10(spark, odd, empty):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in queries.op10_quality_classifier(spark, sf).where("held_out").collect() if r.doc_id in labels]
+    assert sum(labels[r.doc_id] == r.predicted for r in got) / len(got) > 0.9
+    none = rules.fit(odd, spark.createDataFrame([], "doc_id long, quality int"), "quality")
+    assert rules.scored(odd, none).count() == odd.count() and rules.scored(empty, none).count() == 0
+
+
+def test_fold(spark):
+    import zlib
+
+    r = spark.range(20).select("id", fold(F.col("id")).alias("f")).collect()
+    assert all(x.f == zlib.crc32(str(x.id).encode()) % 4 for x in r)
+
+
+def test_pipeline(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert 0 < out.count() <= 400 and {"doc_id", "ids"} <= set(out.columns)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
