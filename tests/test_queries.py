@@ -20,7 +20,7 @@ def db():
 
 
 def plain(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return "null"
     try:
         return repr(round(float(v), 3)) if not isinstance(v, bool) and math.isfinite(float(v)) else str(v)
