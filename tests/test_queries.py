@@ -22,6 +22,8 @@ def db():
 def plain(v):
     if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return "null"
+    if str(v) in ("True", "False"):
+        return str(v)
     try:
         return repr(round(float(v), 3)) if not isinstance(v, bool) and math.isfinite(float(v)) else str(v)
     except (TypeError, ValueError):
