@@ -9,8 +9,9 @@ documents form components. The join is exact up to collisions of 64-bit hashes.
 3. Representatives are partitioned into groups of similar ones: the members of a bucket, dealt to groups of about GROUP,
    and the others alone. The token-group matrix holds, for each group, the union of its members' prefix tokens: a set of
    n tokens that shares 0.8 of a union with another shares a token with it among the first n - ceil(0.8 n) + 1 of each,
-   in any order common to all sets. The order puts tokens seen often within a part of the input last. Groups without a
-   common entry hold no link, nor do groups of unlike sizes; groups of one family need none.
+   in any order common to all sets. The order puts tokens seen often within a part of the input last. Before the first
+   shared token nothing is shared, so a token's place in a set bounds the size of the sets that link by it. Groups without
+   a common entry within these bounds hold no link; groups of one family need none.
 4. Two groups that meet are read together. The overlap of each query with the other group's token union bounds its links:
    only a group that holds 0.8 of the query's tokens is opened, and its members compared.
 5. Links join families to components.
@@ -91,6 +92,12 @@ def feasible(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def largest_partner(n: Column, i: Column) -> Column:
+    """The size of the largest set that a set of n tokens can link with if the first token they share is its i-th, from 0:
+    n - i tokens are left to share."""
+    return F.floor(((100 + PERCENT) * (n - i) - PERCENT * n) / PERCENT)
+
+
 def parts(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, size):
@@ -306,14 +313,18 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = bounded(saved(placed, "placed"))
     posts = saved(prefixed(texts.join(placed, "doc_id"), common_tokens(profile)), "posts")
     spread = posts.select(F.explode("prefix").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).where("first < last").select("token")
-    rows = posts.withColumn("token", F.explode("prefix")).join(bounded(saved(spread, "spread")), "token")
-    matrix = rows.groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_set("doc_id").alias("docs"))
+    rows = posts.select("doc_id", "grp", "n", "cell", F.posexplode("prefix").alias("i", "token")).join(bounded(saved(spread, "spread")), "token")
+    rows = rows.withColumn("most", largest_partner(F.col("n"), F.col("i")))
+    matrix = rows.groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("most").alias("most"), F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_list(F.struct("doc_id", "n", "most")).alias("docs"))
     matrix = saved(matrix, "matrix")
     other = matrix.select("token", *(F.col(c).alias(f"y_{c}") for c in matrix.columns[1:]))
-    fits = (100 * F.col("high") >= PERCENT * F.col("y_low")) & (100 * F.col("y_high") >= PERCENT * F.col("low"))
+    fits = (F.col("low") <= F.col("y_most")) & (F.col("y_low") <= F.col("most"))
     one = (F.col("first") == F.col("last")) & (F.col("y_first") == F.col("y_last")) & (F.col("first") == F.col("y_first"))
     pairs = matrix.join(other, "token").where((F.col("cell") < F.col("y_cell")) & fits & ~one)
-    pairs = pairs.groupBy(F.col("cell").alias("x"), F.col("y_cell").alias("y")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat("docs", "y_docs")))).alias("docs"))
+    asking = F.filter("docs", lambda d: (d["n"] <= F.col("y_most")) & (d["most"] >= F.col("y_low")))["doc_id"]
+    asked = F.filter("y_docs", lambda d: (d["n"] <= F.col("most")) & (d["most"] >= F.col("low")))["doc_id"]
+    pairs = pairs.select(F.col("cell").alias("x"), F.col("y_cell").alias("y"), asking.alias("docs"), asked.alias("y_docs")).where("size(docs) > 0 and size(y_docs) > 0")
+    pairs = pairs.groupBy("x", "y").agg(F.array_distinct(F.flatten(F.collect_set(F.concat("docs", "y_docs")))).alias("docs"))
 
     # 4. groups that meet, with the documents that do, and each group in itself where it has several families
     alone = placed.groupBy("cell").agg(F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_set("doc_id").alias("docs")).where("first < last").select(F.col("cell").alias("x"), F.col("cell").alias("y"), "docs")
