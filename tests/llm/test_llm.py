@@ -179,6 +179,25 @@ def test_op7_bands_and_odd(odd, empty):
     assert quality.rules(empty).count() == 0 and quality.kept(odd).columns == odd.columns
 
 
+def test_op7_bands_decide(spark):
+    """Among made-up prose, symbol-stuffed and menu-like junk and random base64 pass the base rules but not the bands; a
+    third of all rows as near copies of one odd text doesn't move the bands for the others."""
+    rng = random.Random(2)
+    parts = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(300, 900)))) for i in range(900)]
+    one = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789    ") for _ in range(3000))
+    rows += [(1000 + i, one[: 9 * i] + word() + one[9 * i :]) for i in range(300)]
+    junk = [(2000 + i, " ".join(word() + rng.choice(["%%%", "&&&", "$$$", "***"]) for _ in range(500))) for i in range(5)]
+    junk += [(2010 + i, " | ".join(word() for _ in range(600))) for i in range(5)]
+    junk += [(2020 + i, " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(90))) for i in range(5)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.rules(docs).collect()}
+    assert not any(got[k].base_failed or got[k].kept for k, _ in junk)
+    assert sum(got[k].kept for k, _ in rows[:900]) >= 899
+    assert {r.doc_id for r in quality.kept(docs).collect()} == {k for k, r in got.items() if r.kept}
+
+
 def test_op8(spark, odd, empty):
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = queries.op8_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
