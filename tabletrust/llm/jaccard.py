@@ -288,6 +288,11 @@ def classes(docs: DataFrame) -> DataFrame:
     are one document, which links where any of its texts does; rows with a null id stay alone (component null). An empty
     table gives no rows.
     """
+    return keyed_classes(docs).drop("key")
+
+
+def keyed_classes(docs: DataFrame) -> DataFrame:
+    """The columns of classes, and key of the row's set, null without words."""
     profile = saved(profiled(docs), "profile")
     sets = profile.where("key is not null")
     linked = sets.where("n > 0 and doc_id is not null")
@@ -334,10 +339,39 @@ def classes(docs: DataFrame) -> DataFrame:
     # 5. components of all links
     final = grouped(reps, links).select("key", F.col("grp").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(final, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "key")
+
+
+def with_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the key of each row's set, empty without words."""
+    shape = docs.withColumn(name, F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 512):
+            sets = [shingles(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            keys = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, shape)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns; documents without words all stay."""
-    kept = saved(classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "survivors")
-    return docs.join(bounded(kept), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component, the one with the smallest id, with all columns; documents without words all stay.
+
+    Rows with a null id are documents of their own and all stay. Of several rows with one surviving id one stays: of those
+    whose text belongs to the id's own component the one with the longest text, ties broken by a hash of the row. Only the
+    rows of such ids are aggregated (each task keeps one row an id before the shuffle); all others stay where they are read.
+    """
+    found = saved(keyed_classes(docs).withColumn("_own", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
+    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("_own").alias("_own")).where("_own").select("doc_id", "_rows"), "survivors")
+    out = docs.join(bounded(kept.where("doc_id is not null and _rows = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where("doc_id is null"))
+    several = kept.where("doc_id is not null and _rows > 1").select("doc_id")
+    if several.isEmpty():
+        return out
+    several = bounded(several)
+    own = found.where("_own").join(several, "doc_id", "left_semi").select("doc_id", F.coalesce("key", F.lit("")).alias("_key")).distinct()
+    rows = with_key(docs.join(several, "doc_id", "left_semi").select(*docs.columns), "_key").join(bounded(saved(own, "own")), ["doc_id", "_key"], "left_semi")
+    first = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64(*docs.columns)))
+    return out.unionByName(rows.groupBy("doc_id").agg(first.alias("_row")).select("_row.*"))

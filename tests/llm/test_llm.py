@@ -81,6 +81,17 @@ def test_op1_odd(odd, empty):
     assert set(jaccard.survivors(odd).columns) == set(odd.columns)
 
 
+def test_op1_survivors_rows(spark, odd, empty):
+    """Rows without an id stay, each of them; of rows with one id one stays, and not the copy of another document."""
+    assert sorted(((r.doc_id, r.text) for r in jaccard.survivors(odd).collect()), key=str) == sorted([(1, None), (2, ""), (3, "  \n\t "), (4, LONG), (None, "no id here"), (5, "the same text again and again"), (7, "🙂 é ﬁ ​ x")], key=str)
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, a), (None, a), (3, b), (5, a), (5, b), (8, a), (9, None), (9, None), (10, "one of two"), (10, None)] + [(11, "c " + b[::-1])] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.text) for r in jaccard.survivors(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, a), (3, b), (5, a), (9, None), (10, "one of two"), (11, "c " + b[::-1])], key=str)
+    assert jaccard.survivors(empty).count() == 0
+
+
 def test_op2_equals_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs = texts(spark)
