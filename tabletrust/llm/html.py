@@ -16,10 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Attributes: quoted values only after '=', and no '<' outside of them, so that a stray quote or '<' swallows nothing.
+ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+"""
+#: The same up to the '/' of a self-closing tag; a '/' at the end of an unquoted value is none.
+EMPTY = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'<>]+|/(?!>)|[^<>/])*+/>"""
+PARTS = "noscript|template|textarea|select|svg|iframe|object"
+#: Where such a part ends if its end tag is missing, or not found before the next part of its kind: the next tag of a block.
+BLOCK = r"</?(?:article|aside|blockquote|body|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|html|main|nav|ol|p|pre|section|table|ul)\b"
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
-    r"""|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|object)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)"""
+    rf"""|(?P<raw><(?:script|style|{PARTS})\b{EMPTY}|<(?P<code>script|style)\b{ATTRS}>.*?(?:</(?P=code)\s*>|\Z)"""
+    rf"""|<(?P<part>{PARTS})\b{ATTRS}>(?:(?:(?!<(?P=part)\b).)*?</(?P=part)\s*>|(?:(?!{BLOCK}).)*+))"""
+    rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>{ATTRS})(?:>|\Z|(?P<open>(?=<)))"""
     r"""|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
@@ -105,6 +113,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
 
     for m in TOKEN.finditer(page):
         text = m["text"]
+        if m["open"] is not None and m["attrs"].strip() and "=" not in m["attrs"]:
+            text = m[0]  # words after a '<', no tag
         if text is not None:
             parts.append(text)
             if in_link:
@@ -152,7 +162,7 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
     """Adds the main text of each whole page: its kept blocks in page order, one line each; empty if there are none.
 
     Null and empty pages give the empty text. Scripts, styles, comments and form controls are never text; unclosed tags
-    and a cut-off end are read as far as they go. Columns of pages stay; one named `out` is replaced.
+    and a cut-off end are read as far as they go, an unclosed element that is never text up to the next block. Columns of pages stay; one named `out` is replaced.
     """
     base = pages.drop(out) if out != column else pages
     shaped = base.withColumn(out, F.lit("").cast("string"))

@@ -159,6 +159,21 @@ def test_op5(spark):
     assert got == {1: "Head & line\nFirst para.\nSecond <one>", 2: "", 3: "", 4: "Head & line\nFirst para.\nSecond &l"}
 
 
+def test_op5_broken_pages():
+    """Self-closed and unclosed elements that are never text, stray quotes and a '<' in text swallow nothing that follows."""
+    tree, rest = html.grow(html.LABELLED), "<p>four five six</p></article>"
+    cases = [
+        ('<h1>T</h1><svg class="i"/><p>one two three</p>', "T\none two three"), ("<p>one</p><svg/><iframe src='x' /><script src='x'/>", "one"), ("<p>one</p><iframe src=a/b/>", "one"),
+        ('<p>one</p><svg><path d="x"/>', "one"), ("<p>one</p><select><option>x", "one"), ("<p>one</p><svg><g><text>in</text></g></svg>", "one"), ("<p>one</p><script src=a/>var x='<p>in</p>'</script>", "one"),
+        ("<p title=John's>one two</p>", "one two"), ("<p>if a <b and c then</p>", "if a <b and c then"), ('<p title="a > b <c" data-x=\'<i>\'>one</p>', "one"), ('<p>one</p><div class="x" ', "one"),
+        ("<p>one</p><svg class=a><p>two</p><svg class=b></svg>", "one\ntwo"),
+    ]
+    for page, text in cases:
+        assert html.main_text("<article>" + page + rest, tree) == text + "\nfour five six"
+    many = "<svg a='1'" + " b='2'" * 5000 + ">" + "<svg><p>x</p>" * 5000
+    assert len(html.blocks(many)) == 5000
+
+
 def test_op6(spark):
     cases = [("https://a.example.org/es/1", "example.org/es/", "block"), ("http://ORG/x", "org/", "allow"), ("http://x.example.org/en/12?q", "example.org/en/1", "block"), ("https://b.com/fr/", "com/fr/", "allow"), ("http://notorg/x", None, None), ("http://x.org", None, None), (None, None, None), ("nothing", None, None)]
     df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
