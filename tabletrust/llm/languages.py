@@ -74,7 +74,9 @@ def identify(text: str | None, table: np.ndarray, log_table: np.ndarray, names:
     chosen, value = {best: 1.0}, single[best] / 3
     if mixed / 3 - cost > value:
         order = np.argsort(-share)
-        for k in range(2, min(len(names), 8) + 1):
+        for k in range(2, len(names) + 1):
+            if mixed / 3 - (k - 1) * cost <= value:
+                break  # no larger set can pay its penalty
             few = order[:k]
             part, fit = em(p[:, few], n, 2 * STEPS)
             if fit / 3 - (k - 1) * cost > value:

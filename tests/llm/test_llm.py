@@ -237,6 +237,20 @@ def test_op8(spark, odd, empty):
     assert set(mix) == {"de", "fr"} and 0.3 < mix["de"] < 0.7
 
 
+def test_op8_many_languages():
+    """A text of ten languages out of twelve gets all ten, in their proportions."""
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + 40 * k + i) for k in range(12) for i in range(40)]
+    say = lambda k, n: " ".join("".join(rng.choice(letters[40 * k : 40 * k + 40]) for _ in range(5)) for _ in range(n))
+    counts = languages.np.zeros((languages.BUCKETS, 12))
+    for k in range(12):
+        ids, n = languages.counted(say(k, 20_000))
+        counts[ids, k] += n
+    model = languages.LanguageModel([f"l{k:02}" for k in range(12)], counts)
+    mix = languages.identify(" ".join(say(k, 200) for k in range(10)), model.table, model.log_table, model.names)[2]
+    assert sorted(mix) == model.names[:10] and all(0.07 < x < 0.13 for x in mix.values())
+
+
 def test_op9(spark, odd, empty):
     rows = [(1, "Mail anna@mail.example.com or ANNA@MAIL.EXAMPLE.COM, +1 (743) 555-3824 10.1.2.3 card 4111 1111 1111 1111"), (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and anna@mail.example.com'), (3, "Mrs Anna Schmidt met Mr Schmidt"), (4, "nothing here"), (5, None)]
     made = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), b"k", count="n").collect()}
