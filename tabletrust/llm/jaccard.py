@@ -188,7 +188,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node that it reaches, for every node of the edges (a, b).
 
     Alternates between linking every node's larger neighbours and its smaller ones to the smallest, until each
-    component is a star. All state is in written tables of two columns.
+    component is a star. All state is in written tables of two columns. Raises an error if the rounds don't suffice.
     """
     now, before = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     for _ in range(rounds):
@@ -203,6 +203,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = saved(small.select("e.a", "e.b").where("a <> b").distinct(), "small")
+    else:
+        raise RuntimeError(f"components: not stable after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

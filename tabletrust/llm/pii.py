@@ -213,7 +213,8 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
 def checked(entities: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     """kind, canonical, attempt with distinct surrogates, none of which is an entity of its kind.
 
-    entities: distinct kind, canonical. Each round redraws only the entities that collide.
+    entities: distinct kind, canonical. Each round redraws only the entities that collide. Raises an error if
+    the rounds don't suffice.
     """
     # Two kinds of first names may share a surrogate; words of one kind may not.
     now = saved(drawn(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
@@ -226,6 +227,8 @@ def checked(entities: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
             break
         redrawn = drawn(marked.where("_again").withColumn("attempt", F.col("attempt") + 1), key)
         now = saved(marked.where("not _again").drop("_again").unionByName(redrawn), "surrogates")
+    else:
+        raise RuntimeError(f"surrogates: still colliding after {rounds} rounds")
     return now.select("kind", "canonical", "attempt")
 
 

@@ -270,6 +270,16 @@ def test_op9_surrogates_stay_distinct(spark):
     assert len(got) == 300 and len(set(made)) == 300
 
 
+def test_unfinished_rounds_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        jaccard.components(chain, rounds=1)
+    assert {r.root for r in jaccard.components(chain).collect()} == {0}
+    names = spark.createDataFrame([("last", f"name{i}") for i in range(300)], "kind string, canonical string")
+    with pytest.raises(RuntimeError):
+        pii.checked(names, b"k", rounds=1)
+
+
 def test_op10(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
