@@ -14,13 +14,7 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids")
-    return pieces.decode(coded, PIECE_MODEL).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return pieces.round_trip(docs, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
