@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletrust.llm.common import bounded, saved
+from tabletrust.llm.common import bounded, saved, unused
 
 SIZE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -42,8 +42,14 @@ SALTS = [0, 0x5555AAAA0F0FC3C3, 0xA7C3D1E5B9F08642, 0xF1D2C3B4A5968778]
 #: frequent ones, are put last in the order. The order changes the work only, never the result.
 FREQUENT, BLOCK, COMMON = 2, 10_000, 1 << 20
 WORD_MEMORY = 120_000
-#: Members of a group, about.
-GROUP = 64
+#: Members of a group, about, and tokens of its members together; a larger set is alone with few others.
+GROUP, GROUP_TOKENS = 64, 1 << 20
+#: Members that meet one copy of their leader's text; a larger bucket has several copies, each with its own members.
+SHARE = 512
+#: Entries of a common token that are met at once; the entries of a more frequent one are dealt to blocks of so many.
+MEET = 1024
+#: Neighbours from which a node's edges are joined where they are read, and nodes with so many that there may be.
+HOT_DEGREE, HOT_NODES = 10_000, 100_000
 #: Distinct tokens that two groups are compared on at a time.
 COLUMNS = 1 << 14
 
@@ -163,11 +169,13 @@ def prefixed(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link. texts: doc_id, text, each id once. One text a pair is shuffled, by b."""
-    left = texts.join(bounded(pairs), texts["doc_id"] == pairs["a"]).select("a", "b", "text")
-    wanted = bounded(saved(pairs.select("b").distinct(), "wanted"))
-    right = texts.join(wanted, texts["doc_id"] == F.col("b")).select(F.col("b").alias("_b"), F.col("text").alias("other"))
-    both = left.join(right.hint("merge"), F.col("b") == F.col("_b")).select("a", "b", "text", "other")
+    """The pairs (a, b) whose texts link. texts: doc_id, text, each id once. One text a pair is shuffled, by b and a share
+    of b's pairs: SHARE members at most, about, so that no key grows with its bucket."""
+    wanted = bounded(saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "wanted"))
+    dealt = pairs.join(wanted, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
+    left = texts.join(bounded(saved(dealt, "dealt_pairs")), texts["doc_id"] == F.col("a")).select("a", "b", "share", "text")
+    right = texts.join(wanted, texts["doc_id"] == F.col("b")).select(F.col("b").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("_share"), F.col("text").alias("other"))
+    both = left.join(right.hint("merge"), (F.col("b") == F.col("_b")) & (F.col("share") == F.col("_share"))).select("a", "b", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, None
@@ -188,7 +196,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node that it reaches, for every node of the edges (a, b).
 
     Alternates between linking every node's larger neighbours and its smaller ones to the smallest, until each
-    component is a star. All state is in written tables of two columns. Raises an error if the rounds don't suffice.
+    component is a star. All state is in written tables of two or three columns. The edges of nodes with very many
+    neighbours meet a broadcast table of those few nodes, no shuffle. Raises an error if the rounds don't suffice.
     """
     now, before = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     for _ in range(rounds):
@@ -197,8 +206,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = state
         around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = saved(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c")), "least")
+        hot = F.col("c") > max(HOT_DEGREE, 2 * state[0] // HOT_NODES)  # so at most HOT_NODES nodes are hot
+        met = around.where("b > a").join(least, "a")
+        if not least.where(hot).isEmpty():
+            few = F.broadcast(least.where(hot).select("a", "m"))
+            apart = around.where("b > a").join(few.select("a"), "a", "left_anti").join(least.where(~hot), "a")
+            met = apart.select("b", "m").unionByName(around.where("b > a").join(few, "a").select("b", "m"))
+        large = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = saved(large, "large")  # a > b in every row
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -216,10 +231,11 @@ def grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
 
 def buckets_of(reps: DataFrame) -> DataFrame:
     """rep, n, order and smallest hash of every representative, with its bucket's leader b (an arbitrary member), the
-    leader's size m and the number c of members; only of buckets with several."""
+    leader's size m, the number c of members and the groups that they make; only of buckets with several."""
     rows = reps.select("rep", "n", F.posexplode("least").alias("o", "h"))
-    lead = rows.groupBy("o", "h").agg(F.min(F.struct(F.xxhash64("rep", "o").alias("x"), "rep", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    lead = bounded(saved(lead.select("o", "h", F.col("l.rep").alias("b"), F.col("l.n").alias("m"), "c"), "leaders"))
+    lead = rows.groupBy("o", "h").agg(F.min(F.struct(F.xxhash64("rep", "o").alias("x"), "rep", "n")).alias("l"), F.count("*").alias("c"), F.sum("n").alias("tokens")).where("c > 1")
+    groups = F.greatest(F.ceil(F.col("c") / GROUP), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("long")
+    lead = bounded(saved(lead.select("o", "h", F.col("l.rep").alias("b"), F.col("l.n").alias("m"), "c", groups.alias("groups")), "leaders"))
     return saved(rows.join(lead, ["o", "h"]), "buckets")
 
 
@@ -268,7 +284,7 @@ def opened(queries: list[dict], members: list[dict], sets: dict[str, np.ndarray]
 
 def compared(met: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the documents of paired groups. met: x, y (groups; x may equal y), doc_id, grp, cell (its
-    group). The documents of a pair, about twice GROUP at most, come together in one row."""
+    group). The documents of a pair, about twice GROUP and twice GROUP_TOKENS tokens at most, come together in one row."""
     both = texts.join(bounded(met), "doc_id").groupBy("x", "y").agg(F.collect_list(F.struct("doc_id", "grp", "cell", "text")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +302,9 @@ def compared(met: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for each row of docs.
 
-    Null and empty texts, and texts without words, have no shingles and no links. Rows with the same id
-    are one document, which links where any of its texts does; rows with a null id stay alone (component null). An empty
-    table gives no rows.
+    Null and empty texts, and texts without words, have no shingles and no links. Texts of any length are read whole. Rows
+    with the same id are one document, which links where any of its texts does; rows with a null id stay alone (component
+    null). An empty table gives no rows. Other columns of docs aren't read, whatever they are called.
     """
     return keyed_classes(docs).drop("key")
 
@@ -312,22 +328,24 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     groups = saved(grouped(reps, links), "families")
 
     # 3. groups: a member of buckets goes to the largest one's, dealt by hash to groups of about GROUP
-    largest = buckets.groupBy("rep").agg(F.max(F.struct("c", "o", "h")).alias("l"))
-    dealt = largest.select("rep", F.xxhash64("l.o", "l.h", F.pmod(F.xxhash64("rep"), F.ceil(F.col("l.c") / GROUP).cast("long"))).alias("d"))
+    largest = buckets.groupBy("rep").agg(F.max(F.struct("c", "o", "h", "groups")).alias("l"))
+    dealt = largest.select("rep", F.xxhash64("l.o", "l.h", F.pmod(F.xxhash64("rep"), F.col("l.groups"))).alias("d"))
     named = saved(dealt, "dealt")
     cell = named.join(bounded(named.groupBy("d").agg(F.min("rep").alias("cell"))), "d").select("rep", "cell")
     placed = groups.join(bounded(saved(cell, "cells")), "rep", "left").select(F.col("rep").alias("doc_id"), "grp", "n", F.coalesce("cell", "rep").alias("cell"))
     placed = bounded(saved(placed, "placed"))
     posts = saved(prefixed(texts.join(placed, "doc_id"), common_tokens(profile)), "posts")
-    spread = posts.select(F.explode("prefix").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("first"), F.max("cell").alias("last")).where("first < last").select("token")
+    spread = posts.select(F.explode("prefix").alias("token"), "cell").groupBy("token").agg(F.min("cell").alias("first"), F.max("cell").alias("last"), F.ceil(F.count("*") / MEET).cast("int").alias("blocks")).where("first < last").select("token", "blocks")
     rows = posts.select("doc_id", "grp", "n", "cell", F.posexplode("prefix").alias("i", "token")).join(bounded(saved(spread, "spread")), "token")
     rows = rows.withColumn("most", largest_partner(F.col("n"), F.col("i")))
-    matrix = rows.groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("most").alias("most"), F.min("grp").alias("first"), F.max("grp").alias("last"), F.collect_list(F.struct("doc_id", "n", "most")).alias("docs"))
+    matrix = rows.groupBy("token", "cell").agg(F.min("n").alias("low"), F.max("most").alias("most"), F.min("grp").alias("first"), F.max("grp").alias("last"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("doc_id", "n", "most")).alias("docs"))
     matrix = saved(matrix, "matrix")
-    other = matrix.select("token", *(F.col(c).alias(f"y_{c}") for c in matrix.columns[1:]))
+    # A frequent token's cells are dealt to blocks on one side and come to every block on the other: no key owns its square.
+    other = matrix.select("token", *(F.col(c).alias(f"y_{c}") for c in ("cell", "low", "most", "first", "last", "docs")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    matrix = matrix.withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int")).drop("blocks")
     fits = (F.col("low") <= F.col("y_most")) & (F.col("y_low") <= F.col("most"))
     one = (F.col("first") == F.col("last")) & (F.col("y_first") == F.col("y_last")) & (F.col("first") == F.col("y_first"))
-    pairs = matrix.join(other, "token").where((F.col("cell") < F.col("y_cell")) & fits & ~one)
+    pairs = matrix.join(other, ["token", "block"]).where((F.col("cell") < F.col("y_cell")) & fits & ~one)
     asking = F.filter("docs", lambda d: (d["n"] <= F.col("y_most")) & (d["most"] >= F.col("y_low")))["doc_id"]
     asked = F.filter("y_docs", lambda d: (d["n"] <= F.col("most")) & (d["most"] >= F.col("low")))["doc_id"]
     pairs = pairs.select(F.col("cell").alias("x"), F.col("y_cell").alias("y"), asking.alias("docs"), asked.alias("y_docs")).where("size(docs) > 0 and size(y_docs) > 0")
@@ -363,17 +381,20 @@ def survivors(docs: DataFrame) -> DataFrame:
     Rows with a null id are documents of their own and all stay. Of several rows with one surviving id one stays: of those
     whose text belongs to the id's own component the one with the longest text, ties broken by a hash of the row. Only the
     rows of such ids are aggregated (each task keeps one row an id before the shuffle); all others stay where they are read.
+    Null and empty texts have no words and stay; texts of any length are read whole; an empty table gives no rows; all
+    columns stay, whatever they are called.
     """
-    found = saved(keyed_classes(docs).withColumn("_own", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
-    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("_own").alias("_own")).where("_own").select("doc_id", "_rows"), "survivors")
-    out = docs.join(bounded(kept.where("doc_id is not null and _rows = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    key, row = unused(docs, "_key"), unused(docs, "_row")
+    found = saved(keyed_classes(docs).withColumn("own", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
+    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("own").alias("own")).where("own").select("doc_id", "rows"), "survivors")
+    out = docs.join(bounded(kept.where("doc_id is not null and rows = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("doc_id is null").isEmpty():
         out = out.unionByName(docs.where("doc_id is null"))
-    several = kept.where("doc_id is not null and _rows > 1").select("doc_id")
+    several = kept.where("doc_id is not null and rows > 1").select("doc_id")
     if several.isEmpty():
         return out
     several = bounded(several)
-    own = found.where("_own").join(several, "doc_id", "left_semi").select("doc_id", F.coalesce("key", F.lit("")).alias("_key")).distinct()
-    rows = with_key(docs.join(several, "doc_id", "left_semi").select(*docs.columns), "_key").join(bounded(saved(own, "own")), ["doc_id", "_key"], "left_semi")
+    own = found.where("own").join(several, "doc_id", "left_semi").select("doc_id", F.coalesce("key", F.lit("")).alias(key)).distinct()
+    rows = with_key(docs.join(several, "doc_id", "left_semi").select(*docs.columns), key).join(bounded(saved(own, "own")), ["doc_id", key], "left_semi")
     first = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64(*docs.columns)))
-    return out.unionByName(rows.groupBy("doc_id").agg(first.alias("_row")).select("_row.*"))
+    return out.unionByName(rows.groupBy("doc_id").agg(first.alias(row)).select(f"{row}.*"))
