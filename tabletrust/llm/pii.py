@@ -1,30 +1,36 @@
 """Replacing personal data by keyed surrogates of the same kind, script, gender and format.
 
 An entity is a kind and a canonical form (an address in lower case, the digits of a number, one word of a name), so all
-its spellings get one surrogate, written in each mention's own format. Surrogates come from a keyed hash of kind,
-canonical form and attempt number. Spark gathers the distinct entities of the corpus and checks them for collisions:
-of entities with one surrogate the first keeps it, and the others, like those whose surrogate is a real entity, try
-again. Only these exceptions travel back to the texts; all else is computed where the text is read.
+its spellings get one surrogate, written in each mention's own format. People are found by their titles; once a text has
+named somebody, the words of the name are mentions wherever the text repeats them. A given name is of the gender that
+most titled texts of the corpus give it, so it has one surrogate whatever the title.
+
+Surrogates come from a keyed hash of kind, gender, canonical form and attempt number. Spark gathers the distinct entities
+of the corpus and checks them for collisions across all kinds: of entities with one surrogate the first keeps it, and the
+others, like those whose surrogate is a real entity, try again. Only genders and further attempts travel back to the
+texts; all else is computed where the text is read.
 """
 
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletrust.llm.common import bounded, saved
+from tabletrust.llm.common import is_small, saved, unused
 
 #: Title words before names, by gender.
 TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Sra", "Srta"],
-    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"],
-    "n": ["Dr", "Prof"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "госпожа", "Г-жа", "г-жа", "Κυρία", "κυρία", "Κα", "κα"],
+    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "Г-н", "г-н", "Κύριος", "κύριος", "Κος", "κος"],
+    "n": ["Dr", "Prof", "Доктор", "доктор", "Δρ"],
 }
 #: Surrogate name words by kind and script.
 FIRST = {
@@ -40,48 +46,111 @@ LAST = {
 }
 SYLLABLES = {"LATIN": "ba be bo da de do fa fe ga go ka ko la le lo ma mi mo na no pa ra re ro sa so ta to va vi".split(), "CYRILLIC": "ба ве го да ле ма но ра со та".split(), "GREEK": "βα γε δο λα μα νο ρα σο τα".split()}
 
-NAME_WORD = r"[^\W\d_a-z][\w'’-]*[^\W\d_]"
+#: Family names of women where they have a form of their own, and the endings of that form.
+LAST_F = {"CYRILLIC": "Белова Волкова Громова Зайцева Козлова Лебедева Морозова Орлова".split(), "GREEK": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου".split()}
+FEMININE = ("ова", "ева", "ёва", "ина", "ская", "цкая")
+#: Words inside a name that stay.
+PARTICLES = "von|van|de|der|den|la|las|los|del|du|di|da|le|zu"
+
 PATTERN = re.compile(
     r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|passwo?r?d|passwd)\b)[\"']?\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_.\-]{8,})(?P=quote))"
+    r"|(?P<access>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:gh[opsu]_|sk-|pk-)[A-Za-z0-9_-]{20,})"
     r"|(?P<hex>\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)|(?<=:):)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]))"
     r"|(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)"
-    r"|(?P<card>\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b|\b\d{13,19}\b)"
+    r"|(?P<card>\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b|\b\d{4}[ -]\d{6}[ -]\d{5}\b|\b\d{13,19}\b)"
     r"|(?P<phone>(?<!\w)(?:(?:\+|00)?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)(?:\+|00)\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ -]?\d{2,4}){2,4}(?![.\d]*\d))"
 )
-NAME = re.compile(r"\b(?P<title>" + "|".join(t for ts in TITLES.values() for t in ts) + r")(?P<gap>\.?\s+)(?P<name>" + NAME_WORD + r"(?:[ \t]" + NAME_WORD + r"){0,2})")
-GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|api[_-]?key|access[_-]?key)").search
-TITLE_HINT = re.compile("|".join(t for ts in TITLES.values() for t in ts)).search
-
-Mention = tuple[int, int, str, str]
+SECRET = re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|passwo?r?d|passwd)\b)[\"']?\s*[=:]\s*(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_.\-]{8,})(?P=quote)")
+_title = "|".join(sorted((f for ts in TITLES.values() for t in ts for f in {t, t.upper()}), key=len, reverse=True))
+_word = rf"(?!(?:{_title})(?!\w))\p{{Lu}}[\p{{L}}\p{{M}}]*(?:[-'’]\p{{Lu}}[\p{{L}}\p{{M}}]*)*"
+NAME = regex.compile(rf"(?<!\w)(?P<title>{_title})(?P<gap>\.?\s+)(?P<name>(?:(?:{PARTICLES})[ \t])*{_word}(?:[ \t](?:(?:{PARTICLES})[ \t])*{_word}){{0,2}})")
+NAME_WORD = regex.compile(rf"(?<![\w'’-]){_word}")
+GENDER = {f: g for g, ts in TITLES.items() for t in ts for f in (t, t.upper())}
+#: What a line with one of PATTERN holds, what a text with SECRET holds, and one with a title.
+TRIGGER = re.compile("[0-9@]|AKIA|ASIA").finditer
+KEYWORD = re.compile("(?i)token|secret|passw|api[_-]?key|access[_-]?key").search
+TITLE_HINT = re.compile(_title).search
+
+#: Start, end, kind, canonical form, and the gender that the title gives.
+Mention = tuple[int, int, str, str, str]
+
+
+def iban_ok(value: str) -> bool:
+    """The check digits of an account number, modulo 97."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def canonical_of(kind: str, raw: str) -> str | None:
+    """The canonical form of a match; None for what only looks like an entity."""
+    if kind in ("secret", "access", "hex"):
+        return raw
+    if kind == "email":
+        return raw.lower()
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in raw.split(".")) if all(int(x) < 256 for x in raw.split(".")) else None
+    if kind == "ipv6":
+        try:
+            return ipaddress.IPv6Address(raw).exploded if len([x for x in raw.split(":") if x]) > 2 else None
+        except ValueError:
+            return None
+    plain = re.sub(r"[^0-9A-Za-z]", "", raw)
+    if kind == "card":
+        return plain if luhn(plain) else None
+    if kind == "iban":
+        return plain if iban_ok(plain) else None
+    if kind == "phone":
+        plain = plain.removeprefix("00")
+        return plain[1:] if len(plain) == 11 and plain[0] == "1" else plain
+    return plain
+
+
+def people(text: str) -> list[Mention]:
+    """Words of titled names, and of the same names where they come without a title."""
+    titled = []
+    for m in NAME.finditer(text):
+        words = list(NAME_WORD.finditer(m["name"]))
+        titled.append((m.start("name"), GENDER[m["title"]], [(w.start(), w.end(), w[0]) for w in words]))
+    given = {w[2].casefold() for _, _, words in titled for w in words[:-1]}
+    found, known = [], {}
+    for at, gender, words in titled:
+        for start, end, raw in words:
+            kind = "first" if raw.casefold() in given else "last"
+            found.append((at + start, at + end, kind, raw.casefold(), gender))
+            if len(raw) > 2:
+                known |= {raw: kind, raw.upper(): kind}
+    if known:
+        seen = {x[0] for x in found}
+        found += [(m.start(), m.end(), known[m[0]], m[0].casefold(), "n") for m in NAME_WORD.finditer(text) if m[0] in known and m.start() not in seen]
+    return found
+
+
+def numbers(text: str) -> list[Mention]:
+    """Addresses, numbers and keys, in the lines that hold a digit or an @."""
+    found, read = [], 0
+    for m in TRIGGER(text):
+        if m.start() < read:
+            continue
+        at, stop = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        read = stop if stop >= 0 else len(text)
+        for x in PATTERN.finditer(text, at, read):
+            kind = x.lastgroup
+            canonical = canonical_of(kind, x[0])
+            if canonical is not None:
+                found.append((*x.span(), "secret" if kind in ("access", "hex") else kind, canonical, "n"))
+    return found
 
 
 def find(text: str) -> list[Mention]:
-    """Start, end, kind and canonical form of every entity, in order and without overlaps."""
-    found: list[Mention] = []
-    if HINT(text):
-        for m in PATTERN.finditer(text):
-            kind = next(k for k in ("email", "secret", "hex", "iban", "ip", "ssn", "card", "phone") if m[k] is not None)
-            start, end = m.span("value") if kind == "secret" else m.span()
-            raw = text[start:end]
-            if kind == "email":
-                found.append((start, end, kind, raw.lower()))
-            elif kind in ("secret", "hex"):
-                found.append((start, end, "secret", raw))
-            elif kind == "ip":
-                found.append((start, end, kind, raw))
-            else:
-                found.append((start, end, kind, re.sub(r"[^0-9A-Za-z]", "", raw)))
+    """Every entity of a text, in order and without overlaps; of two that begin together the longer one."""
+    found = numbers(text)
+    if KEYWORD(text):
+        found += [(*m.span("value"), "secret", m["value"], "n") for m in SECRET.finditer(text)]
     if TITLE_HINT(text):
-        for m in NAME.finditer(text):
-            words = list(re.finditer(r"\S+", m["name"]))
-            for i, w in enumerate(words):
-                kind = "last" if i == len(words) - 1 else "first_" + GENDER[m["title"]]
-                found.append((m.start("name") + w.start(), m.start("name") + w.end(), kind, w[0].casefold()))
-    found.sort()
+        found += people(text)
+    found.sort(key=lambda x: (x[0], -x[1]))
     out: list[Mention] = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
@@ -127,7 +196,7 @@ def script(word: str) -> str:
     return name if name in SYLLABLES else "LATIN"
 
 
-def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0, gender: str = "n") -> str:
     """The canonical surrogate. It never equals the entity; with more attempts it may grow longer."""
     for again in range(64):
         s = Stream(key, kind, canonical, attempt, again)
@@ -137,18 +206,24 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
             made = shaped(local, s) + "".join(chr(97 + s.below(26)) for _ in range(attempt)) + "@" + ".".join([shaped(x, s) for x in labels[:-2]] + labels[-2:])
         elif kind == "ip":
             made = ".".join(str(1 + s.below(254)) for _ in range(4))
+        elif kind == "ipv6":
+            groups = [x if x == "0000" else f"{1 + s.below(65535):04x}" for x in canonical.split(":")]
+            made = ":".join([f"{0x2000 + s.below(0x2000):04x}", *groups[1:]])
         elif kind == "iban":
-            made = canonical[:2] + shaped(canonical[2:], s)
+            tail = shaped(canonical[4:], s)
+            made = canonical[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in tail + canonical[:2] + '00')) % 97:02}" + tail
         elif kind == "card":
             made = shaped(canonical[:-1], s)
-            tail = [d for d in "0123456789" if luhn(made + d) == luhn(canonical)]
-            made += tail[s.below(len(tail))]
+            made += next(d for d in "0123456789" if luhn(made + d))
         elif kind == "phone":
             keep = max(0, len(canonical) - 10)  # the country's prefix
             made = canonical[:keep] + shaped(canonical[keep:], s)
-        elif kind.startswith("first_") or kind == "last":
+        elif kind == "secret" and re.match("(?:AKIA|ASIA|gh[opsu]_|sk-|pk-)", canonical):
+            keep = 4 if canonical[0] in "Ag" else 3
+            made = canonical[:keep] + shaped(canonical[keep:], s)
+        elif kind in ("first", "last"):
             to = script(canonical)
-            words = LAST[to] if kind == "last" else FIRST[kind[-1], to]
+            words = FIRST[gender, to] if kind == "first" else LAST_F[to] if gender == "f" and to in LAST_F else LAST[to]
             made = words[s.below(len(words))].casefold() + "".join(SYLLABLES[to][s.below(len(SYLLABLES[to]))] for _ in range(attempt))
         else:
             made = shaped(canonical, s)
@@ -163,19 +238,31 @@ def written(raw: str, kind: str, made: str) -> str:
         return made.upper() if raw.isupper() else made
     if kind in ("ip", "secret"):
         return made
-    if kind.startswith("first_") or kind == "last":
+    if kind == "ipv6":
+        short = "::" in raw or len(raw) < 39
+        made = ipaddress.IPv6Address(made).compressed if short else made
+        return made.upper() if raw.upper() == raw and raw.lower() != raw else made
+    if kind in ("first", "last"):
         return made.upper() if raw.isupper() and len(raw) > 1 else made.title()
-    left = iter(made)
-    return "".join(next(left, "") if c.isalnum() else c for c in raw) + "".join(left)
+    extra = sum(c.isalnum() for c in raw) - len(made)  # a country's prefix that the canonical form leaves out
+    left, out = iter(made), []
+    for c in raw:
+        out.append(c if not c.isalnum() or extra > 0 else next(left, ""))
+        extra -= c.isalnum()
+    return "".join(out) + "".join(left)
+
+
+#: Attempt and gender by kind and canonical form, where they aren't 0 and n.
+Exceptions = dict[tuple[str, str], tuple[int, str]]
 
 
-def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], known: dict) -> tuple[str, int]:
+def rewrite(text: str, key: bytes, exceptions: Exceptions, known: dict) -> tuple[str, int]:
     found = find(text)
     if not found:
         return text, 0
     parts, at = [], 0
-    for start, end, kind, canonical in found:
-        what = (kind, canonical, exceptions.get((kind, canonical), 0))
+    for start, end, kind, canonical, _ in found:
+        what = (kind, canonical, *exceptions.get((kind, canonical), (0, "n")))
         made = known.get(what)
         if made is None:
             if len(known) >= 30_000:
@@ -187,72 +274,100 @@ def rewrite(text: str, key: bytes, exceptions: dict[tuple[str, str], int], known
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_hash (of the text), kind and canonical form of every entity, each once a batch and text."""
+    """_hash (of the text), kind, canonical form and gender (of its title, or n) of every entity, once a batch and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, k, c) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in {x[2:] for x in find(t)}]
+            rows = [(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in {x[2:] for x in find(t)}]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["_hash", "kind", "canonical"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.string()) for i in range(4)], names=["_hash", "kind", "canonical", "gender"])
 
-    return docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_hash"), text).mapInArrow(run, "_hash long, kind string, canonical string")
+    return docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).mapInArrow(run, "_hash long, kind string, canonical string, gender string")
+
+
+def gendered(found: DataFrame) -> DataFrame:
+    """kind, canonical, gender: of given names, and of family names that have the form, the gender that more texts give
+    (n where as many give the other); n of all else."""
+    votes = found.groupBy("kind", "canonical").agg(F.count_if(F.col("gender") == "f").alias("f"), F.count_if(F.col("gender") == "m").alias("m"))
+    form = F.exists(F.array(*map(F.lit, FEMININE)), lambda e: F.col("canonical").endswith(e))
+    by_votes = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n")
+    latin = F.col("canonical").rlike("^[a-z]")
+    gender = F.when(F.col("kind") == "first", by_votes).when((F.col("kind") == "last") & ~latin, F.when(form, "f").otherwise(by_votes)).otherwise("n")
+    return votes.select("kind", "canonical", gender.alias("gender"))
 
 
 def drawn(entities: DataFrame, key: bytes) -> DataFrame:
-    """Adds the surrogate of kind, canonical and attempt."""
-    shape = entities.select("kind", "canonical", "attempt").withColumn("made", F.lit("").cast("string")).schema
+    """Adds the surrogate of kind, canonical, gender and attempt."""
+    columns = ["kind", "canonical", "gender", "attempt"]
+    shape = entities.select(*columns).withColumn("made", F.lit("").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(key, k, c, a) for k, c, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "canonical", "attempt", "made"])
+            made = [surrogate(key, k, c, a, g) for k, c, g, a in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*columns, "made"])
 
-    return entities.select("kind", "canonical", "attempt").mapInArrow(run, shape)
+    return entities.select(*columns).mapInArrow(run, shape)
 
 
 def checked(entities: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """kind, canonical, attempt with distinct surrogates, none of which is an entity of its kind.
+    """kind, canonical, gender, attempt with distinct surrogates across all kinds, none of which is an entity of any kind.
 
-    entities: distinct kind, canonical. Each round redraws only the entities that collide. Raises an error if
+    entities: kind, canonical (distinct), gender. Each round redraws only the entities that collide. Raises an error if
     the rounds don't suffice.
     """
-    # Two kinds of first names may share a surrogate; words of one kind may not.
     now = saved(drawn(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canonical"))
-        real = entities.select("kind", F.col("canonical").alias("made"))
-        clash = now.withColumn("_r", rank).join(real.withColumn("_real", F.lit(True)), ["kind", "made"], "left")
-        marked = saved(clash.select("kind", "canonical", "attempt", "made", ((F.col("_r") > 1) | F.col("_real").isNotNull()).alias("_again")), "clashes")
+        rank = F.row_number().over(Window.partitionBy("made").orderBy("attempt", "kind", "canonical"))
+        real = entities.select(F.col("canonical").alias("made")).distinct()
+        clash = now.withColumn("_r", rank).join(real.withColumn("_real", F.lit(True)), "made", "left")
+        marked = saved(clash.select("kind", "canonical", "gender", "attempt", "made", ((F.col("_r") > 1) | F.col("_real").isNotNull()).alias("_again")), "clashes")
         if marked.where("_again").isEmpty():
             break
         redrawn = drawn(marked.where("_again").withColumn("attempt", F.col("attempt") + 1), key)
         now = saved(marked.where("not _again").drop("_again").unionByName(redrawn), "surrogates")
     else:
         raise RuntimeError(f"surrogates: still colliding after {rounds} rounds")
-    return now.select("kind", "canonical", "attempt")
+    return now.select("kind", "canonical", "gender", "attempt")
+
+
+#: Parts that the rows of one entity or one text are dealt to where a table is too large to be broadcast.
+SALTS = 32
+
+
+def _met(rows: DataFrame, table: DataFrame, by: list[str], spread: str, how: str) -> DataFrame:
+    """rows joined with a table that has each key once: broadcast while it is small, else salted by a hash of `spread`, as
+    one key may hold a large share of the rows."""
+    if is_small(table):
+        return rows.join(F.broadcast(table), by, how)
+    salt = unused(rows, "_salt")
+    dealt = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt, [*by, salt], how).drop(salt)
 
 
 def replaced(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with every entity of the whole text replaced; with `count`, also a column of the number of mentions.
 
-    Null and empty texts stay. Equal entities get equal surrogates in all rows, different ones different surrogates.
+    Null and empty texts stay (no mentions); texts of any length are read whole. Equal entities get equal surrogates in
+    all rows, repeated rows and rows with equal or null ids included, and different ones different surrogates. An empty
+    table gives no rows. All columns stay, whatever they are called; one named `count` is replaced.
     """
-    found = saved(mentions(docs, text), "mentions")
-    entities = saved(found.select("kind", "canonical").distinct(), "entities")
-    exceptions = saved(checked(entities, key).where("attempt > 0"), "exceptions")
-    few = found.join(exceptions, ["kind", "canonical"]).groupBy("_hash").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_exceptions"))
-    few = bounded(saved(few, "by_text"))
+    found = saved(mentions(docs, text).distinct(), "mentions")
+    entities = saved(gendered(found), "entities")
+    exceptions = saved(checked(entities, key).where("attempt > 0 or gender <> 'n'"), "exceptions")
+    known = _met(found.select("_hash", "kind", "canonical").distinct(), exceptions, ["kind", "canonical"], "_hash", "inner")
     names = [c for c in docs.columns if c != count]
-    marked = docs.select(*names, F.xxhash64(text).alias("_hash")).join(few, "_hash", "left").select(*names, "_exceptions")
+    hashed, other = unused(docs, "_hash"), unused(docs, "_exceptions")
+    few = known.groupBy(F.col("_hash").alias(hashed)).agg(F.collect_set(F.struct("kind", "canonical", "attempt", "gender")).alias(other))
+    marked = _met(docs.select(*names, F.xxhash64(text).alias(hashed)), saved(few, "by_text"), [hashed], names[0], "left").select(*names, other)
     schema = docs.select(*names).withColumn(count, F.lit(0).cast("long")).schema if count else docs.select(*names).schema
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        drawn_before: dict = {}
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                other = [{(x["kind"], x["canonical"]): x["attempt"] for x in row or ()} for row in part.column(len(names)).to_pylist()]
-                made = [(None, 0) if t is None else rewrite(t, key, o, known) for t, o in zip(part.column(at).to_pylist(), other, strict=True)]
+                others = [{(x["kind"], x["canonical"]): (x["attempt"], x["gender"]) for x in row or ()} for row in part.column(len(names)).to_pylist()]
+                made = [(None, 0) if t is None else rewrite(t, key, o, drawn_before) for t, o in zip(part.column(at).to_pylist(), others, strict=True)]
                 columns = list(part.columns[:-1])
                 columns[at] = pa.array([m[0] for m in made], pa.string())
                 if count:
