@@ -7,15 +7,18 @@ the sketch of the whole, and from sketches alone follow resemblance, containment
 
 from __future__ import annotations
 
+import json
+from math import ceil, isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletrust.llm.common import SPACE, saved
+from tabletrust.llm.common import SPACE, saved, unused
 
 K = 128
 SHINGLE = 5
-#: Ranges that the documents are cut into by id to find neighbours; each range is one window.
-RANGES = 1024
+#: Bytes of texts, about, in a range of documents; each range is one window. At least so many ranges a shuffle partition.
+RANGE_BYTES, RANGES = 64 << 20, 4
 #: The width of the hash space, for counting.
 SPACE_64 = float(2**64)
 
@@ -50,8 +53,9 @@ def merge_sketches(df: DataFrame, by: list[str], column: str = "sketch", k: int
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard similarity: the share of the union's bottom k that both have. Exact if neither text has more than k shingles; two empty sketches are alike."""
-    union = merged(a, b, k)
+    """Estimated Jaccard similarity: the share of the union's bottom k that both have. Exact where both texts have fewer than
+    k shingles, as their sketches hold them all; two empty sketches are alike."""
+    union = F.when((F.size(a) < k) & (F.size(b) < k), F.array_union(a, b)).otherwise(merged(a, b, k))
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
@@ -74,37 +78,54 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def below(cuts: list[tuple[int, int]], key: Column) -> Column:
+    """How many of the ascending cuts are less than the key: first among every so many of them, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    step = isqrt(len(cuts)) + 1
+    fixed = lambda part: F.from_json(F.lit(json.dumps([{"i": i, "h": h} for i, h in part])), "array<struct<i:bigint,h:bigint>>")
+    count = lambda a: F.size(F.filter(a, lambda c: c < key))
+    before = (count(fixed(cuts[::step])) - 1) * step
+    return F.when(before < 0, 0).otherwise(before + count(F.slice(fixed(cuts), before + 1, step)))
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Adds next_<c> for each other column c: its value in the row with the next lower doc_id (after the lowest: the highest).
 
     docs has doc_id, text (no nulls) and what else is to be carried. Equal ids follow each other by text hash, null ids
-    come last. The rows are cut into ranges of ids and each range is read by one window; the first row of a range is also
-    dealt to the range above, whose last row needs it. Only ids, at most `ranges` of them, are collected. Texts are
-    shuffled once.
+    come last. Rows drawn by a hash of id and text hash cut the order into ranges of about range_bytes, and one window
+    reads each range; the row at a range's upper end is also dealt to the range above, whose last row needs it. Only the
+    cuts, one for so many bytes of text, are collected. Texts are shuffled once.
     """
     carried = [c for c in docs.columns if c != "doc_id"]
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    cuts = keyed.agg(F.percentile_approx("_id", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(10 * ranges))).first()[0]
-    cuts = sorted(set(cuts or []))
-    found = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_id"))) if cuts else F.lit(0)
-    ranged = keyed.withColumn("_range", found)
-    heads = saved(ranged.groupBy("_range").agg(F.max(F.struct("_id", F.xxhash64("text").alias("_hash"))).alias("_head")), "heads")
-    order = Window.orderBy(F.col("_range").desc())  # over one row per range
-    around = Window.partitionBy(F.lit(1)).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    above = heads.select(F.coalesce(F.lag("_range").over(order), F.last("_range").over(around)).alias("_above"), F.col("_head._id").alias("_id"), F.col("_head._hash").alias("_hash"))
-    marked = ranged.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(above), ["_id", "_hash"], "left")
-    wrap = F.col("_above") <= F.col("_range")  # the highest row of all, needed after the lowest
-    here = F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))
-    there = F.struct(F.col("_above").alias("r"), F.when(wrap, 2).otherwise(1).alias("copy"))
-    dealt = marked.select("doc_id", *carried, "_id", "_hash", F.explode(F.when(F.col("_above").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_to"))
-    by = Window.partitionBy("_to.r").orderBy("_to.copy", F.col("_id").desc(), F.col("_hash").desc())
-    ahead = dealt.select("doc_id", *carried, "_to", *(F.lead(c).over(by).alias(f"next_{c}") for c in carried))
-    return ahead.where("_to.copy = 0").drop("_to")
+    key, to = unused(docs, "_key"), unused(docs, "_to")
+    keyed = docs.withColumn(key, F.struct(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("i"), F.xxhash64("text").alias("h")))
+    order = saved(keyed.select(key, F.octet_length("text").cast("long").alias("size")), "order")
+    whole = order.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max(key).alias("top")).first()
+    ranges = max(ceil((whole.bytes or 0) / range_bytes), RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = order.where(F.pmod(F.xxhash64(key), F.lit(max(1, whole.n // ranges))) == 0).select(f"{key}.*").distinct().orderBy("i", "h")
+    cuts = [(r.i, r.h) for r in drawn.collect()]  # about one for every range_bytes
+    top = F.struct(F.lit(whole.top.i if whole.n else 0).cast("long").alias("i"), F.lit(whole.top.h if whole.n else 0).cast("long").alias("h"))
+    ranged = keyed.withColumn(to, below(cuts, F.col(key)))
+    deal = lambda r, copy: F.struct(r.cast("int").alias("r"), F.lit(copy).alias("copy"))
+    # A range ends, upwards, with a cut: that row is needed after the last one of the range above, the top row after the lowest.
+    is_cut = F.pmod(F.xxhash64(key), F.lit(max(1, whole.n // ranges))) == 0
+    places = F.array_compact(F.array(deal(F.col(to), 0), F.when(is_cut, deal(F.col(to) + 1, 1)), F.when(F.col(key) == top, deal(F.lit(0), 2))))
+    dealt = ranged.withColumn(to, F.explode(places))
+    by = Window.partitionBy(f"{to}.r").orderBy(f"{to}.copy", F.col(key).desc())
+    ahead = dealt.select("doc_id", *carried, to, *(F.lead(c).over(by).alias(f"next_{c}") for c in carried))
+    return ahead.where(f"{to}.copy = 0").drop(to)
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """The sketch of each whole text, of its edited text (its last half replaced by the first half as many code points
-    of the next document) and their likeness, and its likeness to the next document's sketch. Null texts are empty."""
+    """doc_id, n_chars, edited_sha256, sketch, edited_sketch, near_edited and near_next of every row: the sketch of each
+    whole text, of its edited text (its last half replaced by the first half as many code points of the next document) and
+    their likeness, and its likeness to the next document's sketch.
+
+    Null texts are empty; texts without words have empty sketches, which are like each other; texts of any length are read
+    whole. Rows with equal ids follow each other by a hash of the text, null ids come last; repeated rows have a row each;
+    one row alone is its own next. An empty table gives no rows. Other columns of docs aren't read.
+    """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text"), k))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
