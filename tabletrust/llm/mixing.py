@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletrust.llm.common import SPACE, bounded, saved
+from tabletrust.llm.common import SPACE, bounded, saved, unused
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -61,15 +61,22 @@ def tokens(text: Column) -> Column:
 
 
 def shares(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
-    """Deals each parent's budget to its children. nodes: parent, level, weight, cap, budget (of the parent)."""
+    """Deals each parent's budget to its children. nodes: parent, level, weight, cap, budget (of the parent).
+
+    Children of weight 0 get nothing. What whole numbers leave undealt goes, one token each, to the first open children by
+    name, so a parent's whole budget is dealt unless its children can't take it.
+    """
     w = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    by = w.orderBy(F.col("cap") / F.col("weight"), level).rowsBetween(Window.unboundedPreceding, -1)
+    by = w.orderBy(F.when(F.col("weight") > 0, F.col("cap") / F.nullif("weight", F.lit(0))).otherwise(float("inf")), level).rowsBetween(Window.unboundedPreceding, -1)
     ahead = nodes.withColumns({"_c": F.coalesce(F.sum("cap").over(by), F.lit(0)), "_w": F.sum("weight").over(w) - F.coalesce(F.sum("weight").over(by), F.lit(0))})
     # The children that fill up come first in this order.
-    full = ahead.withColumn("_full", F.col("cap") * F.col("_w") <= F.col("weight") * (F.col("budget") - F.col("_c")))
+    full = ahead.withColumn("_full", (F.col("weight") > 0) & (F.col("cap") * F.col("_w") <= F.col("weight") * (F.col("budget") - F.col("_c"))))
     left = full.withColumns({"_kept": F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(w), F.lit(0)), "_open": F.sum(F.when(~F.col("_full"), F.col("weight"))).over(w)})
-    share = F.when(F.col("_full"), F.col("cap")).otherwise(F.expr("(weight * (budget - _kept)) div _open"))
-    return left.select(*parent, level, "cap", share.alias("share"))
+    part = left.withColumn("_part", F.when(F.col("_full") | (F.col("weight") == 0), F.lit(0)).otherwise(F.expr("(weight * (budget - _kept)) div nullif(_open, 0)")))
+    takes = ~F.col("_full") & (F.col("weight") > 0)
+    rest = part.withColumns({"_rest": F.col("budget") - F.col("_kept") - F.sum("_part").over(w), "_at": F.sum(F.when(takes, 1).otherwise(0)).over(w.orderBy(level).rowsBetween(Window.unboundedPreceding, 0))})
+    share = F.when(F.col("_full"), F.col("cap")).when(takes & (F.col("_at") <= F.col("_rest")), F.col("_part") + 1).otherwise(F.col("_part"))
+    return rest.select(*parent, level, "cap", share.cast("long").alias("share"))
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -92,8 +99,9 @@ def order_key(mix: Mix, epoch: Column, doc_id: Column) -> Column:
 def chosen(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies (1 or more) of every row that the mix takes.
 
-    A null language or source is the empty name; null texts have no tokens. Rows of one leaf with equal ids are taken or
-    left together, and count together for the budget. An empty table gives no rows.
+    A null language or source is the empty name; null, empty and blank texts have no tokens, texts of any length count
+    whole. Rows of one leaf with equal or null ids are taken or left together, and count together for the budget. An empty
+    table gives no rows. Other columns of docs aren't read, whatever they are called.
     """
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"))
     counted = saved(named.withColumn("domain", domain_of_source(F.col("source"))), "tokens")
@@ -109,17 +117,23 @@ def chosen(docs: DataFrame, mix: Mix) -> DataFrame:
     out = ["doc_id", *LEVELS, "n_tokens", "copies"]
     whole = marked.where("_at is null or _bin <> _at").withColumn("copies", F.col("epochs") + F.when(F.col("_at").isNull() | (F.col("_bin") < F.col("_at")), 1).otherwise(0))
     edge = marked.where("_bin = _at")
-    before = F.col("_before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_key"))
-    edge = edge.withColumn("_sum", before).withColumn("copies", F.col("epochs") + F.when(F.col("_sum") <= F.col("rest"), 1).otherwise(0))
+    # One row a key is ranked: a key may have any number of rows.
+    keys = edge.groupBy(*LEVELS, "_key").agg(F.sum("n_tokens").alias("_n"), F.first("_before").alias("_before"), F.first("rest").alias("rest"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_key"))
+    fits = saved(keys.withColumn("_sum", upto).where("_sum <= rest").select(*LEVELS, "_key", F.lit(1).alias("_fits")), "edge")
+    edge = edge.join(bounded(fits), [*LEVELS, "_key"], "left").withColumn("copies", F.col("epochs") + F.coalesce("_fits", F.lit(0)))
     return whole.select(*out).unionByName(edge.select(*out)).where("copies > 0").withColumn("copies", F.col("copies").cast("long"))
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it has copies; all columns of docs."""
-    keys = chosen(docs, mix).groupBy("doc_id", "lang", "source").agg(F.max("copies").alias("_copies"))
-    keys = bounded(saved(keys, "chosen").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "_copies"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_l")) & (F.coalesce(docs["source"], F.lit("")) == F.col("_s"))
-    return docs.join(keys, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it has copies; all columns of docs, whatever they are called.
+
+    Nulls, equal ids, repeated rows and empty tables are as in `chosen`.
+    """
+    d, lang, source, copies = (unused(docs, c) for c in ("_d", "_l", "_s", "_copies"))
+    keys = chosen(docs, mix).groupBy(F.col("doc_id").alias(d), F.col("lang").alias(lang), F.col("source").alias(source)).agg(F.max("copies").alias(copies))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.coalesce("lang", F.lit("")) == F.col(lang)) & (F.coalesce("source", F.lit("")) == F.col(source))
+    return docs.join(bounded(saved(keys, "chosen")), same).withColumn(unused(docs, "_copy"), F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 def oracle(mix: Mix) -> str:
@@ -129,14 +143,14 @@ def oracle(mix: Mix) -> str:
     def level(name: str, source: str, parent: str, key: str) -> str:
         part = f"PARTITION BY {parent}" if parent else ""
         keys = f"{parent}, {key}" if parent else key
+        order = f"ORDER BY CASE WHEN weight > 0 THEN cap / nullif(weight, 0) ELSE 'inf'::DOUBLE END, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
         return f"""
-{name}_a AS (SELECT {keys}, cap, weight, budget,
-    COALESCE(SUM(cap) OVER ({part} ORDER BY cap / weight, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
-    SUM(weight) OVER ({part}) - COALESCE(SUM(weight) OVER ({part} ORDER BY cap / weight, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0
-  FROM ({source})),
-{name}_b AS (SELECT *, cap * w0 <= weight * (budget - c0) AS full_up FROM {name}_a),
+{name}_a AS (SELECT {keys}, cap, weight, budget, COALESCE(SUM(cap) OVER ({part} {order}), 0) AS c0, SUM(weight) OVER ({part}) - COALESCE(SUM(weight) OVER ({part} {order}), 0) AS w0 FROM ({source})),
+{name}_b AS (SELECT *, weight > 0 AND cap * w0 <= weight * (budget - c0) AS full_up FROM {name}_a),
 {name}_c AS (SELECT *, COALESCE(SUM(CASE WHEN full_up THEN cap END) OVER ({part}), 0) AS kept, SUM(CASE WHEN NOT full_up THEN weight END) OVER ({part}) AS open_w FROM {name}_b),
-{name} AS (SELECT {keys}, CASE WHEN full_up THEN cap ELSE (weight * (budget - kept)) // open_w END AS share FROM {name}_c)"""
+{name}_d AS (SELECT *, CASE WHEN full_up OR weight = 0 THEN 0 ELSE (weight * (budget - kept)) // nullif(open_w, 0) END AS dealt FROM {name}_c),
+{name}_e AS (SELECT *, budget - kept - SUM(dealt) OVER ({part}) AS rest, SUM(CASE WHEN NOT full_up AND weight > 0 THEN 1 ELSE 0 END) OVER ({part} ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM {name}_d),
+{name} AS (SELECT {keys}, CAST(CASE WHEN full_up THEN cap WHEN weight > 0 AND at <= rest THEN dealt + 1 ELSE dealt END AS BIGINT) AS share FROM {name}_e)"""
 
     return f"""
 WITH named AS (SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
