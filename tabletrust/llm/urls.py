@@ -1,11 +1,12 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 DataFrame functions only. The trees are fitted by Spark's own booster on a bounded sample of labelled URLs and
-compiled to one column expression, so judging is a projection.
+compiled to one column expression, so judging is a projection and a join with the small table of suffix statistics.
 
-Labels: a URL is a known bad one if a label of its host has one of the seed terms as a part; other hosts are good.
-The terms only make labels. The trees see lengths, depth, ratios, entropy, counts and suffix statistics, so that they
-also judge hosts whose words were never seen.
+Labels: the given tables have none for URLs, and what a page says doesn't tell good hosts from bad ones there. So a URL is
+a known bad one if a label of its host has one of the seed terms as a part; other hosts are good. The terms only make
+labels. The trees see lengths, depth, ratios, entropy, counts and suffix statistics, so that they also judge hosts whose
+words were never seen.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabletrust.llm.common import bounded, saved
+
 #: Most labelled URLs that the trees are fitted on; those with the smallest hashes are taken.
 SAMPLE = 20_000
 #: Parts of host labels that mark known bad URLs.
@@ -59,11 +62,11 @@ def entropy(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
 
 
-def features(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host, path and the lexical features."""
-    u = F.coalesce(F.col(url), F.lit(""))
+def features(urls: DataFrame) -> DataFrame:
+    """Adds host, path, suffix and the lexical features to rows that have a url."""
+    u = F.coalesce(F.col("url"), F.lit(""))
     count = lambda text, pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    named = urls.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
+    named = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     h, p = F.col("host"), F.col("path")
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     return named.withColumns({
@@ -104,38 +107,43 @@ def tree_column(text: str, names: list[str]) -> list[Column]:
 
 
 class UrlModel:
-    """Fitted trees and suffix statistics as column expressions."""
-
-    def __init__(self, urls: DataFrame, url: str = "url", sample: int = SAMPLE):
-        rows = labelled(urls, url, sample)
-        shaped = features(rows).cache()  # at most `sample` short rows
-        stats = shaped.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.col("n").desc(), "suffix").limit(100).collect()
-        overall = sum(r.bad for r in stats) / sum(r.n for r in stats)
-        self.suffixes = {r.suffix: ((r.bad + 10 * overall) / (r.n + 10), float(r.n)) for r in stats}
+    """Fitted trees as a column expression, and a table of suffix statistics."""
+
+    def __init__(self, rows: DataFrame):
+        """rows: url and label (0 or 1), a bounded number with both labels."""
+        shaped = saved(features(rows), "url_features")
+        overall = shaped.agg(F.avg("label")).first()[0]
+        stats = shaped.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
         self.overall = overall
+        self.suffixes = saved(stats.select("suffix", ((F.col("bad") + 10 * overall) / (F.col("n") + 10)).alias("_bad"), F.log1p("n").alias("_seen")), "suffixes")
         ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self._suffix(shaped)).select("features", "label")
         fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3).fit(ready)
         trees = tree_column(fitted.toDebugString, FEATURES)
         margin = reduce(lambda a, b: a + b, [t * F.lit(float(w)) for t, w in zip(trees, fitted.treeWeights, strict=True)])
         self.score = 1 / (1 + F.exp(-2 * margin))
-        shaped.unpersist()
 
     def _suffix(self, df: DataFrame) -> DataFrame:
-        table = F.create_map(*(F.lit(x) for s, (bad, seen) in self.suffixes.items() for x in (s, bad)))
-        seen = F.create_map(*(F.lit(x) for s, (bad, seen) in self.suffixes.items() for x in (s, seen)))
-        return df.withColumns({"f_suffix_bad": F.coalesce(F.try_element_at(table, F.col("suffix")), F.lit(self.overall)), "f_suffix_seen": F.log1p(F.coalesce(F.try_element_at(seen, F.col("suffix")), F.lit(0.0)))})
+        known = df.join(bounded(self.suffixes), "suffix", "left")
+        return known.withColumns({"f_suffix_bad": F.coalesce("_bad", F.lit(self.overall)), "f_suffix_seen": F.coalesce("_seen", F.lit(0.0))}).drop("_bad", "_seen")
+
+    def judged(self, urls: DataFrame) -> DataFrame:
+        """urls (with a column url) with host, path, suffix, the features and score (0 to 1, higher: likelier bad)."""
+        return self._suffix(features(urls)).withColumn("score", self.score)
+
 
-    def judged(self, urls: DataFrame, url: str = "url") -> DataFrame:
-        """urls with host, path and score (0 to 1, higher: likelier bad)."""
-        return self._suffix(features(urls, url)).withColumn("score", self.score).select(*urls.columns, "host", "path", "score")
+ADDED = ["host", "path", "rule", "verdict", "score"]
 
 
-def filtered(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url", limit: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def filtered(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url", limit: float = 0.5, sample: int = SAMPLE, model: UrlModel | None = None) -> DataFrame:
     """Adds host, path, rule, verdict (allow or block) and score. A rule decides where one fits; else the trees do.
 
-    Null and empty URLs have an empty host and path and are judged by the trees. Columns of urls with these names are replaced.
+    Null and empty URLs, and those without ://, have an empty host and path and are judged by the trees; URLs of any length
+    are read whole. Of rules of equal length that fit, the first by name holds. Repeated rows and rows with equal keys are
+    judged each; an empty table gives no rows. Columns of urls named host, path, rule, verdict or score are replaced, all
+    others stay, whatever they are called.
     """
-    base = urls.drop("host", "path", "rule", "verdict", "score", "suffix", *FEATURES)
-    judged = UrlModel(base, url, sample).judged(base, url).withColumn("_fit", rule_fit(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_fit.verdict"), F.when(F.col("score") >= limit, "block").otherwise("allow"))
-    return judged.withColumns({"rule": F.col("_fit.rule"), "verdict": verdict}).drop("_fit")
+    base = urls.select(*(c for c in urls.columns if c.lower() not in ADDED))
+    model = model or UrlModel(labelled(urls, url, sample))
+    judged = model.judged(base.select(F.struct(*base.columns).alias("row"), F.col(url).alias("url"))).withColumn("fit", rule_fit(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= limit, "block").otherwise("allow"))
+    return judged.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
