@@ -6,7 +6,7 @@ the logarithms of the ratios, and SPREADS robust deviations to either side, for
 text that passes the base rules counts once, each chunk ratio once a text. Medians and deviations are running medians over
 neighbouring lengths, so that one family of near copies doesn't set them. Lengths with fewer than LEAST texts nearby have
 only the fixed outer limits, which hold for all. The whole text and each of its fixed chunks must lie within their bands;
-a text is rejected for its chunks only if more than a share of them is outside.
+a text is rejected for its chunks only if more than a share of its bytes is in chunks outside.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ BANDS = [(0, 0.0, 4.0), (256, 1.05, 2.6), (512, 1.15, 2.8), (1024, 1.25, 3.0), (
 #: Learned limits: robust deviations between median and limit, the least deviation, texts needed within REACH lengths, and
 #: the width of a cell of logarithms of ratios.
 SPREADS, LEAST_SPREAD, LEAST, REACH, STEP = 4.5, 0.012, 50, 2, 0.005
-#: Share of the chunks that may lie outside their bands.
+#: Share of a text's bytes that may lie in chunks outside their bands.
 BAD_CHUNKS = 0.5
 MIN_WORDS = 50
 MAX_REPEAT = 0.5
@@ -97,8 +97,7 @@ def measured(text: str, pack: zstandard.ZstdCompressor) -> tuple:
     again = repeated(words)
     data = text.encode("utf-8", "surrogatepass")
     size, ratio = len(data), len(data) / len(pack.compress(data)) if data else 0.0
-    ends = range(0, size, CHUNK) if size > CHUNK else []
-    chunks = [len(part) / len(pack.compress(part)) for part in (data[i : i + CHUNK] for i in ends if size - i >= CHUNK // 4)]  # a shorter last piece can't tell
+    chunks = [len(part) / len(pack.compress(part)) for part in (data[i : i + CHUNK] for i in range(0, size, CHUNK))]
     failed = len(words) < MIN_WORDS or 100 * again > 100 * MAX_REPEAT * len(words)
     cells = [] if failed else sorted({cell(0, size, ratio)} | {cell(1, n, r) for n, r in sized(size, chunks)})
     text_hash = int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64))
@@ -111,9 +110,8 @@ def cell(kind: int, size: int, ratio: float) -> int:
 
 
 def verdict(size: int, ratio: float, chunks: list[float], bands: Bands) -> tuple[float, bool]:
-    """The share of chunks outside their bands, and whether the bands reject the text."""
-    bad = [outside(1, n, r, bands) for n, r in sized(size, chunks)]
-    share = sum(bad) / len(bad) if bad else 0.0
+    """The share of bytes in chunks outside their bands, and whether the bands reject the text."""
+    share = sum(n for n, r in sized(size, chunks) if outside(1, n, r, bands)) / max(1, size)
     return share, share > BAD_CHUNKS or bool(size) and outside(0, size, ratio, bands)
 
 
@@ -184,7 +182,8 @@ def _near(kind: np.ndarray, at: np.ndarray, n: np.ndarray, b: int) -> np.ndarray
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, the compression figures, base_failed, band_failed and kept, for each row of docs.
 
-    A null or empty text has no words and fails; repeated rows are judged each; an empty table gives no rows.
+    A null or empty text has no words and fails; texts of any length are read whole; repeated rows and rows with equal or
+    null ids are judged each; an empty table gives no rows. Other columns of docs aren't read, whatever they are called.
     What the bands alone reject is the rows with band_failed and without base_failed.
     """
     made = saved(figures(docs), "figures")
@@ -203,8 +202,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Texts are read twice, to learn and to judge, and
-    never shuffled."""
+    """The rows of docs that the rules keep, with all their columns, whatever they are called. Nulls, ties, repeated rows
+    and empty tables are as in `rules`. Texts are read twice, to learn and to judge, and never shuffled."""
     names = docs.columns
     bands = learned(figures(docs))
 
