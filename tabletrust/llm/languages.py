@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 #: Texts a language's trigrams are counted on, about; larger languages are sampled by a hash of the id.
 SAMPLE = 3_000
-#: Most languages told apart; those with the most labelled texts are taken.
-LANGUAGES = 200
 BUCKETS = 1 << 16
-STEPS = 8
+#: Rounds of expectation-maximisation: for a first look at all languages, and at most until proportions move less than MOVED.
+STEPS, ROUNDS, MOVED = 8, 1000, 1e-4
 #: Cost of one more language, in units of log(number of trigrams); trigrams overlap, so a third of the likelihood counts.
 PENALTY = 3.0
 GAP = 32
@@ -49,40 +48,53 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts[ids].astype(np.float64)
 
 
-def em(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def em(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Proportions of the languages (columns of p) and the log likelihood. p: trigram by language; n: counts."""
     share = np.full(p.shape[1], 1.0 / p.shape[1])
-    for _ in range(steps):
+    for _ in range(rounds):
         joint = p * share
-        share = (n / joint.sum(1)) @ joint / n.sum()
+        before, share = share, (n / joint.sum(1)) @ joint / n.sum()
+        if abs(share - before).max() < MOVED:
+            break
     return share, float(n @ np.log(p @ share))
 
 
-def identify(text: str | None, table: np.ndarray, log_table: np.ndarray, names: list[str]) -> tuple[str, float, dict[str, float]]:
-    """The main language, its proportion, and the proportions of the set of languages."""
+def identify(text: str | None, table: np.ndarray, names: list[str]) -> tuple[str, float, dict[str, float]]:
+    """The main language, its proportion, and the proportions of the set of languages.
+
+    The set grows from the best single language, by the one with the largest slope each time. The log likelihood is concave
+    in the proportions, so no mixture gains more than the largest slope less the number of trigrams; the set stops growing
+    when that bound can't pay for one more language, and the one with the best penalised likelihood on the way is taken. Then
+    the languages with the least shares go as long as that raises the penalised likelihood.
+    """
     if not text or not names:
         return "und", 0.0, {}
     ids, n = counted(text)
     if not len(ids):
         return "und", 0.0, {}
-    single = n @ log_table[ids]
-    best = int(single.argmax())
-    if len(names) == 1:
-        return names[0], 1.0, {names[0]: 1.0}
-    p, cost = table[ids], PENALTY * np.log(n.sum() + 1)
-    share, mixed = em(p, n)
-    chosen, value = {best: 1.0}, single[best] / 3
-    if mixed / 3 - cost > value:
-        order = np.argsort(-share)
-        for k in range(2, len(names) + 1):
-            if mixed / 3 - (k - 1) * cost <= value:
-                break  # no larger set can pay its penalty
-            few = order[:k]
-            part, fit = em(p[:, few], n, 2 * STEPS)
-            if fit / 3 - (k - 1) * cost > value:
-                chosen, value = dict(zip(few.tolist(), part.tolist(), strict=True)), fit / 3 - (k - 1) * cost
-    top = max(chosen, key=chosen.get)
-    return names[top], float(min(1.0, share[top] if len(chosen) == 1 else chosen[top])), {names[i]: s for i, s in chosen.items()}
+    p = table[ids].astype(np.float64)
+    single, total = n @ np.log(p), n.sum()
+    chosen, share = [int(single.argmax())], np.ones(1)
+    cost, value = PENALTY * np.log(total + 1), single.max() / 3
+    wide, part, fit = chosen, share, single.max()
+    while len(wide) < len(names):
+        slope = (n / (p[:, wide] @ part)) @ p
+        if (fit + slope.max() - total) / 3 - len(wide) * cost <= value:
+            break
+        slope[wide] = -np.inf
+        wide = [*wide, int(slope.argmax())]
+        part, fit = em(p[:, wide], n)
+        if fit / 3 - (len(wide) - 1) * cost > value:
+            chosen, share, value = wide, part, fit / 3 - (len(wide) - 1) * cost
+    while len(chosen) > 2:
+        few = [x for i, x in enumerate(chosen) if i != share.argmin()]
+        part, fit = em(p[:, few], n)
+        if fit / 3 - (len(few) - 1) * cost <= value:
+            break
+        chosen, share, value = few, part, fit / 3 - (len(few) - 1) * cost
+    top = int(share.argmax())
+    score = share[top] if len(chosen) > 1 else em(p, n, STEPS)[0][chosen[0]]
+    return names[chosen[top]], float(min(1.0, score)), {names[i]: float(x) for i, x in zip(chosen, share, strict=True)}
 
 
 class LanguageModel:
@@ -92,21 +104,21 @@ class LanguageModel:
         self.names = names
         if names:
             prior = (counts.sum(1, keepdims=True) + 0.1) / (counts.sum() + 0.1 * BUCKETS)
-            self.table = (counts + 50 * prior) / (counts.sum(0) + 50)
+            self.table = ((counts + 50 * prior) / (counts.sum(0) + 50)).astype(np.float32)
         else:
-            self.table = np.ones((BUCKETS, 0))
-        self.log_table = np.log(self.table)
+            self.table = np.ones((BUCKETS, 0), np.float32)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> LanguageModel:
-    """labelled: doc_id, text, lang. Rows without text or language teach nothing; without any, every answer is und."""
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """labelled: doc_id, text, lang. Rows without text or language teach nothing; without any, every answer is und. Every
+    language that occurs is learned; the model has BUCKETS numbers for each."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.ones((BUCKETS, 0)))
-    limit = F.create_map(*(F.lit(x) for lang in names for x in (lang, min(1_000_000, 1_000_000 * sample // sizes[lang])))) if names else None
-    taken = rows.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(limit, F.col("lang")))
+    limit = F.create_map(*(F.lit(x) for lang in names for x in (lang, min(1_000_000, 1_000_000 * sample // sizes[lang]))))
+    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(limit, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -128,16 +140,17 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> L
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (proportion of that language) and mix (proportions of the set) for each row of docs.
 
-    und with score 0 for texts that are null or have no letter. Only the text is read.
+    und with score 0 for texts that are null or have no letter. Only the text is read, whole at any length; languages that
+    fit equally well go by name. Repeated rows and rows with equal or null ids are judged each; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.log_table, model.names))  # BUCKETS numbers a language
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.names))  # BUCKETS numbers a language
     kind = pa.map_(pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, log_table, names = shared.value
+        table, names = shared.value
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                found = [identify(t, table, log_table, names) for t in part.column(1).to_pylist()]
+                found = [identify(t, table, names) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64()), pa.array([list(r[2].items()) for r in found], kind)], names=["doc_id", "lang_pred", "score", "mix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mix map<string,double>")
