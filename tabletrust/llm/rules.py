@@ -6,6 +6,7 @@ regression weighs the rules and leaves most at zero; the others are compiled int
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -39,8 +40,8 @@ def measured(text: str) -> tuple[float, ...]:
     lines = text.split("\n")
     full = [x for x in lines if x.strip()]
     return (
-        float(min(n, 1000)), size / n, of("#*$%&<>") / n, upper / max(1.0, upper + lower), float(c[48:58].sum()) / size, of("|") / n, of("!?") / n, (upper + lower) / size,
-        dup_lines(text) / max(1, len(full)), repeated(words) / n, len(set(words)) / n, min(1000.0, n / max(1, len(full))), of(",") / n, sum(x.rstrip()[-1] in ".!?" for x in full) / max(1, len(full)),
+        math.log1p(n), size / n, of("#*$%&<>") / n, upper / max(1.0, upper + lower), float(c[48:58].sum()) / size, of("|") / n, of("!?") / n, (upper + lower) / size,
+        dup_lines(text) / max(1, len(full)), repeated(words) / n, len(set(words)) / n, math.log1p(n / max(1, len(full))), of(",") / n, sum(x.rstrip()[-1] in ".!?" for x in full) / max(1, len(full)),
     )
 
 
@@ -115,5 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) ->
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """doc_id and score for each row of docs; null texts count as empty."""
+    """doc_id and score for each row of docs.
+
+    Null texts count as empty, and an empty text has a score too; texts of any length are read whole. Repeated rows and
+    rows with equal or null ids are scored each; an empty table gives no rows. Other columns of docs aren't read.
+    """
     return with_stats(docs, ["doc_id"]).select("doc_id", model.score.alias("score"))
