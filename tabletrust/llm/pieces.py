@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from tabletrust.llm.common import unused
+
 #: White-space mark of the library's models.
 MARK = "▁"
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
@@ -419,4 +421,4 @@ def _mapped(df: DataFrame, column: str, added: dict[str, tuple[str, pa.DataType]
                 arrays = [pa.array(v, kind) for v, (_, kind) in zip(made, added.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=shape.names)
 
-    return df.select(*others, F.col(column).alias("_source")).mapInArrow(run, shape)
+    return df.select(*others, F.col(column).alias(unused(df, "_source"))).mapInArrow(run, shape)
