@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+In every stage null and empty texts, texts of any length, repeated rows and rows with equal or null ids, empty tables and
+further columns have the result that the stage's operator states: the rules reject texts without words, one row of each
+id and group stays after near duplicates (rows without an id all stay), personal data is replaced in every row, rows of one
+id and source are mixed together, and every row is encoded.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletrust.llm import jaccard, mixing, pieces, pii, quality
-from tabletrust.llm.common import read, shared_dir
+from tabletrust.llm.common import discard, read, shared_dir
 
 #: Nine tenths of what is left, by domain and language; a leaf is used twice at most.
 MIX = mixing.Mix(domain={"web": 40, "books": 35, "forums": 25}, lang={"en": 50, "de": 20, "fr": 20, "es": 10}, budget_permille=900, max_epochs=2, seed=11)
@@ -65,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        discard(spark)  # what the stage itself wrote
     return docs
