@@ -17,7 +17,7 @@ PAIRS = 10
 ID_HINTS = ["id", "code", "key"]
 NUMERIC_HINTS = ["count", "qty", "quantity", "amount", "price", "value", "total", "age"]
 DATE_HINTS = ["date", "time"]
-ZIP_HINTS = ["zip", "postal"]
+ZIP_HINTS = ["zip", "postal", "postcode"]
 ROW_INDEX_NAMES = ["index", "row_id", "rownum", "row_number"]
 PLACEHOLDERS = ["9999", "999", "-1", "tbd", "unknown", "missing", "xxx", "n/a", "na", "null", "none"]
 BOOLEAN_FAMILIES = [["y", "n"], ["yes", "no"], ["true", "false"], ["1", "0"], ["t", "f"]]
@@ -27,7 +27,7 @@ DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MM-dd-y
 TIME_FORMATS = ["yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 CURRENCY = r"^\s*[$€£¥]\s*[+-]?[\d,]*\.?\d+\s*$"
-UNIT = r"^\s*[+-]?[\d,]*\.?\d+\s*(kg|g|lb|lbs|oz|km|mi|cm|mm|ml|l|%|usd|eur|gbp)\s*$"
+UNIT = r"^\s*[+-]?[\d,]*\.?\d+\s*(kg|g|lb|lbs|cm|mm|km|mi|oz|%)\s*$"
 LOCALE_US = r"^-?\d{1,3}(,\d{3})+\.\d+$"
 LOCALE_EU = r"^-?\d{1,3}(\.\d{3})+,\d+$"
 FLOAT_NOISE = r"\.\d*(0{5,}|9{5,})\d?$"

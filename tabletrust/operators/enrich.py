@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletrust.functions.text import hinted, is_number, to_long
@@ -16,9 +16,11 @@ OPEN_MIN = rf"(?i)^\s*{MONEY}\s*\+.*$"
 OPEN_MAX = rf"(?i)^\s*(?:less than|under)\s+{MONEY}\b.*$"
 OPEN_MIN_WORD = rf"(?i)^\s*{MONEY}\s*\+\s*(k|m|mm|b|bn|million|billion|thousand)\b.*$"
 LABEL = r"^\d[\d,]*\+?\s*(to\s+\d[\d,]*\s*)?\s*[A-Za-z]+$"
+# Fixed values.
 SKILLS = ["python", "excel", "hadoop", "spark", "aws", "tableau", "big data"]
-SENIOR = ["senior", "sr", "lead", "principal", "staff", "manager", "director", "head", "chief", "vp"]
-JUNIOR = ["junior", "jr", "entry", "intern", "associate", " i ", "ii"]
+# Fixed values, as substrings of the lower-case title: "sr " and " i " with their blanks.
+SENIOR = ["senior", "sr.", "sr ", "lead", "principal", "staff", "ii", "iii"]
+JUNIOR = ["junior", "jr.", "jr ", "entry", "associate", " i ", "intern"]
 TITLES = [("data scientist", "Data Scientist"), ("data engineer", "Data Engineer"), ("machine learning|ml engineer", "Machine Learning Engineer"), ("analyst", "Analyst"), ("manager|director|head", "Management"), ("engineer|developer", "Engineer")]
 
 
@@ -77,17 +79,20 @@ def cardinality_candidates(long: DataFrame, least: int = 15, low: float = 0.03,
     rows = long.groupBy("table", "column").agg(F.count(F.lit(1)).alias("rows"))
     stats = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("n"), F.sum(F.when(F.col("num"), F.col("c")).otherwise(0)).alias("numeric"))
     share = F.col("distinct") / F.col("rows")
-    return stats.join(rows, ["table", "column"]).where((F.col("distinct") >= least) & share.between(low, high) & (F.col("numeric") < 0.8 * F.col("n"))).select("table", "column", "distinct", "rows", F.round(share, 6).alias("fraction"))
+    first = F.row_number().over(Window.partitionBy("table", "column").orderBy("value"))
+    samples = values.withColumn("_r", first).where("_r <= 10").groupBy("table", "column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    stats = stats.join(samples, ["table", "column"])
+    return stats.join(rows, ["table", "column"]).where((F.col("distinct") >= least) & share.between(low, high) & (F.col("numeric") < 0.8 * F.col("n"))).select("table", "column", "distinct", "rows", F.round(share, 6).alias("fraction"), "samples")
 
 
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, out: str) -> DataFrame:
     """Adds the group of each raw value; null where there is none. mapping: raw_value, group (a small table of distinct raw values)."""
     m = mapping.select(F.col("raw_value").alias("_raw"), F.col("group").alias(out))
-    return df.join(F.broadcast(m), F.col(column) == F.col("_raw"), "left").drop("_raw")
+    return df.join(m, F.col(column) == F.col("_raw"), "left").drop("_raw")
 
 
 def unmapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    return df.select(F.col(column).alias("raw_value")).where("raw_value is not null").distinct().join(F.broadcast(mapping), "raw_value", "left_anti")
+    return df.select(F.col(column).alias("raw_value")).where("raw_value is not null").distinct().join(mapping, "raw_value", "left_anti")
 
 
 def mapping_complete(df: DataFrame, column: str, mapping: DataFrame) -> bool:
@@ -122,18 +127,37 @@ def seniority(c: Column) -> Column:
     return F.when(any_of(SENIOR), "Senior").when(any_of(JUNIOR), "Junior").otherwise("Not specified")
 
 
-FEATURES = {"job_title_categorization": ["title"], "company_age": ["founded"], "same_state_flag": ["location", "headquarters"], "skill_keywords": ["description"], "seniority_flag": ["title"]}
+# Words in a column's name that tell what it holds.
+TITLE_HINTS = ["job title", "title", "position", "role"]
+FOUNDED_HINTS = ["founded", "founding year", "year founded"]
+HEADQUARTERS_HINTS = ["headquarters", "hq"]
+LOCATION_HINTS = ["location", "city"]
+DESCRIPTION_HINTS = ["description", "summary", "responsibilities"]
 TAGS = {"title": ["job", "role", "seniority"], "founded": ["age", "company"], "location": ["location", "state"], "description": ["skill"], "salary": ["salary", "pay"], "size": ["size", "employees"]}
 
 
-def feature_candidates(columns: list[str]) -> list[tuple[str, list[str]]]:
-    """(kind, columns) of the derivations whose columns are there."""
-    out = []
-    for kind, words in FEATURES.items():
-        found = [hinted(columns, [w]) for w in words]
-        if all(found):
-            out.append((kind, [f[0] for f in found]))
-    return out
+def feature_candidates(df: DataFrame) -> list[tuple[str, list[str]]]:
+    """(kind, columns) of the derivations whose columns are there, by their names, and whose values show the signal that the
+    derivation needs, all read in one pass."""
+    first = lambda words, without=(): next((c for c in hinted(df.columns, words) if c not in hinted(df.columns, list(without))), None)
+    title, founded, text = first(TITLE_HINTS), first(FOUNDED_HINTS), first(DESCRIPTION_HINTS)
+    state, home = first(LOCATION_HINTS, HEADQUARTERS_HINTS), first(HEADQUARTERS_HINTS)
+    value = lambda c: F.lower(F.col(f"`{c}`").cast("string"))
+    signals: list[tuple[str, list[str], Column]] = []
+    if title:
+        signals.append(("job_title_categorization", [title], value(title).isNotNull()))
+    if founded:
+        signals.append(("company_age", [founded], is_number(value(founded))))
+    if state and home:
+        signals.append(("same_state_flag", [state, home], F.lit(True)))
+    if text:
+        signals.append(("skill_keywords", [text], reduce(lambda a, b: a | b, [value(text).contains(w) for w in SKILLS])))
+    if title:
+        signals.append(("seniority_flag", [title], reduce(lambda a, b: a | b, [value(title).contains(w) for w in SENIOR + JUNIOR])))
+    if not signals:
+        return []
+    shown = df.agg(*(F.coalesce(F.bool_or(s), F.lit(k == "same_state_flag")).alias(k) for k, _, s in signals)).first()
+    return [(k, columns) for k, columns, _ in signals if shown[k]]
 
 
 def candidate_id(table: str, kind: str, columns: list[str]) -> str:
@@ -146,7 +170,7 @@ def candidates(df: DataFrame, table: str) -> DataFrame:
     found = [("range_decomposition", [r["column"]]) for r in range_columns(long).collect()]  # at most one row a column
     found += [("label_simplification", [r["column"]]) for r in label_columns(long).collect()]
     found += [("categorical_consolidation", [r["column"]]) for r in cardinality_candidates(long).collect()]
-    found += feature_candidates(df.columns)
+    found += feature_candidates(df)
     rows = [(candidate_id(table, k, cs), table, k, cs, sorted({t for c in cs for w, ts in TAGS.items() if w in c.lower() for t in ts})) for k, cs in found]
     return df.sparkSession.createDataFrame(rows, "id string, table string, kind string, columns array<string>, tags array<string>")
 

@@ -28,15 +28,32 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def categorical_profile(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
-    """column, rank, value, count, distinct, rows, high_cardinality: the most frequent values, equal counts by value."""
+    """column, rank, value, count, distinct, rows, nulls, high_cardinality: the most frequent values, equal counts by value."""
     counts = to_long(df, "t", columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    sizes = counts.groupBy("column").agg(F.count("value").alias("distinct"), F.sum("count").alias("rows"))
+    sizes = counts.groupBy("column").agg(F.count("value").alias("distinct"), F.sum("count").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("nulls"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
     best = counts.where("value is not null").withColumn("rank", rank).where(F.col("rank") <= top)
     high = (F.col("distinct") >= 15) & (F.col("distinct") / F.col("rows")).between(0.03, 0.9)
     return best.join(sizes, "column").withColumn("high_cardinality", high)
 
 
+def profile_table(df: DataFrame) -> DataFrame:
+    """One row a column in table order: pos, column, kind, rows, nulls, null_rate, distinct, and min, max, avg, stddev of numeric
+    ones or top_values (five) and high_cardinality of all others."""
+    numbers = numeric_columns(df)
+    texts = [c for c in df.columns if c not in numbers]
+    parts = []
+    if numbers:
+        made = numeric_profile(df, numbers)
+        parts.append(made.select("column", F.lit("numeric").alias("kind"), "rows", "nulls", "null_rate", "distinct", "min", "max", "avg", "stddev", F.lit(None).cast("array<struct<value:string,count:bigint>>").alias("top_values"), F.lit(None).cast("boolean").alias("high_cardinality")))
+    if texts:
+        made = categorical_profile(df, texts).groupBy("column").agg(F.first("rows").alias("rows"), F.first("nulls").alias("nulls"), F.first("distinct").alias("distinct"), F.first("high_cardinality").alias("high_cardinality"), F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("r"))
+        none = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "avg", "stddev")]
+        parts.append(made.select("column", F.lit("categorical").alias("kind"), "rows", "nulls", F.round(F.col("nulls") / F.col("rows"), 6).alias("null_rate"), "distinct", *none, F.transform("r", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("top_values"), "high_cardinality"))
+    places = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(df.columns) for x in (c, i))), F.col("column"))
+    return reduce(DataFrame.unionByName, parts).select(places.alias("pos"), *parts[0].columns).orderBy("pos")
+
+
 def table_metadata(tables: dict[str, DataFrame]) -> DataFrame:
     """table, rows, columns of each table."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows", F.array(*map(F.lit, df.columns)).alias("columns")) for t, df in tables.items()]
@@ -69,10 +86,17 @@ def with_declared(found: DataFrame, declared: DataFrame) -> DataFrame:
     return found.join(declared, ["table", "column"], "left").withColumn("role", F.coalesce("declared_role", "role")).drop("declared_role")
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """a and b: every two columns of different tables with one name (a few in all), from one pass over found."""
+    rows = F.collect_list(F.struct("table", "column", "role", "has_fanout", "total", "distinct"))
+    named = found.groupBy("name").agg(rows.alias("rows"))
+    return named.select(F.explode("rows").alias("a"), "rows").select("a", F.explode("rows").alias("b")).where("a.table <> b.table")
+
+
 def fanout_warnings(found: DataFrame) -> DataFrame:
     """Columns that multiply rows when joined: repeated ones whose name is a key elsewhere."""
-    keys = found.where("role like '%pk'").select("name", F.col("table").alias("key_table"))
-    return found.where("has_fanout").join(keys, "name").where("table <> key_table").select("table", "column", "key_table", F.round(F.col("total") / F.col("distinct"), 4).alias("rows_per_key"))
+    met = _pairs(found).where("a.has_fanout and b.role like '%pk'")
+    return met.select("a.table", "a.column", F.col("b.table").alias("key_table"), F.round(F.col("a.total") / F.col("a.distinct"), 4).alias("rows_per_key"))
 
 
 def uncovered(tables: list[str], stored: DataFrame, spark) -> DataFrame:
@@ -81,9 +105,8 @@ def uncovered(tables: list[str], stored: DataFrame, spark) -> DataFrame:
 
 def inferred_joins(found: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """fk_table, fk_column, pk_table, pk_column: one name is a key in one table and repeats in another; declared triples are left out."""
-    fk = found.where("role like '%fk'").select("name", F.col("table").alias("fk_table"), F.col("column").alias("fk_column"), "has_fanout")
-    pk = found.where("role like '%pk'").select("name", F.col("table").alias("pk_table"), F.col("column").alias("pk_column"))
-    joins = fk.join(pk, "name").where("fk_table <> pk_table").drop("name")
+    met = _pairs(found).where("a.role like '%fk' and b.role like '%pk'")
+    joins = met.select(F.col("a.table").alias("fk_table"), F.col("a.column").alias("fk_column"), "a.has_fanout", F.col("b.table").alias("pk_table"), F.col("b.column").alias("pk_column"))
     return joins if declared is None else joins.join(declared, ["fk_table", "fk_column", "pk_table"], "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""The quality rubric on column values: one aggregate over melted cells for all count-type checks of all columns."""
+"""The quality rubric on column values: one pass over melted cells, equal ones counted first, for all count-type checks of all columns."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletrust.functions import hints
-from tabletrust.functions.text import date_format, has_hint, is_number, number, strip, timestamp, to_long
+from tabletrust.functions.text import date_format, has_hint, hinted, is_number, number, strip, timestamp, to_long
 
 
 def _sum(condition: Column) -> Column:
@@ -23,79 +23,85 @@ def is_list(value: Column, delimiter: str) -> Column:
     return (F.size(parts) >= 2) & F.forall(parts, lambda p: F.trim(p).rlike(r"^[\w \-]{1,30}$"))
 
 
-def cell_stats(long: DataFrame) -> DataFrame:
-    """Counts per table and column; every count-type check reads only these."""
-    v, lower = F.col("value"), F.lower(strip(F.col("value")))
-    filled = v.isNotNull()
-    ts, num = timestamp(v), number(v)
-    in_family = [lower.isin(f) for f in hints.BOOLEAN_FAMILIES]
-    return long.groupBy("table", "column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg(F.length("value")).alias("mean_length"),
-        _sum(is_number(v)).alias("numeric"), _sum(ts.isNotNull()).alias("dates"), F.array_sort(F.collect_set(date_format(v))).alias("formats"),
-        _sum(v != strip(v)).alias("padded"), _sum(v.rlike(hints.BULLETS) | v.contains("\n")).alias("noisy_prose"),
-        _sum(num < 0).alias("negative"),
-        _sum(lower.isin(hints.PLACEHOLDERS)).alias("placeholders"), F.array_sort(F.collect_set(F.when(lower.isin(hints.PLACEHOLDERS), lower))).alias("placeholder_tokens"),
-        _sum(lower.isin(hints.TRUE_TOKENS + hints.FALSE_TOKENS)).alias("booleans"), F.array_sort(F.collect_set(F.when(lower.isin(hints.TRUE_TOKENS + hints.FALSE_TOKENS), lower))).alias("boolean_tokens"),
-        sum((F.max(F.coalesce(f, F.lit(False)).cast("int")) for f in in_family[1:]), F.max(F.coalesce(in_family[0], F.lit(False)).cast("int"))).alias("families"),
-        _sum(v.rlike(hints.CURRENCY)).alias("currency"), _sum(F.lower(v).rlike(hints.UNIT)).alias("units"), F.array_sort(F.collect_set(F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1)))).alias("symbols"),
-        _sum(strip(v).rlike(hints.LOCALE_US)).alias("locale_us"), _sum(strip(v).rlike(hints.LOCALE_EU)).alias("locale_eu"), _sum(strip(v).rlike(hints.FLOAT_NOISE) & is_number(v)).alias("float_noise"),
-        _sum(v.rlike(hints.FORMULA)).alias("formulas"), _sum(strip(v).isin(hints.SHEET_ERRORS)).alias("sheet_errors"), _sum(v.rlike(hints.CONTROL)).alias("control"),
-        *(_sum(is_list(v, d)).alias(f"lists_{i}") for i, d in enumerate(hints.DELIMITERS)),
-        _sum(ts.isNotNull() & v.rlike(hints.TIME_OF_DAY)).alias("with_time"), _sum(filled & (strip(v) == "")).alias("blank"),
-    )
-
-
-def distinct_stats(long: DataFrame) -> DataFrame:
-    """Distinct counts per table and column, in a job of their own: (column, value) pairs are shuffled, combined first."""
-    pairs = long.where("value is not null").groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"))
-    return pairs.groupBy("table", "column").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct"), F.count_distinct(F.lower(strip(F.col("value")))).alias("distinct_normal"))
+def cell_stats(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """Counts per table and column; every count-type check reads only these.
 
-
-def _issue(stats: DataFrame, category: str, when: Column, affected: Column, total: Column, detail: dict[str, Column] | None = None) -> DataFrame:
-    pairs = [x for k, v in (detail or {}).items() for x in (F.lit(k), v.cast("string"))]
-    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return stats.where(when).select("table", F.lit(category).alias("category"), F.lit(hints.SEVERITY[category]).alias("severity"), "column", affected.cast("long").alias("affected"), total.cast("long").alias("total"), F.when(total > 0, F.round(affected / total, 6)).alias("fraction"), made.alias("detail"))
-
-
-def count_issues(stats: DataFrame) -> list[DataFrame]:
-    """The count-type checks, from cell_stats."""
+    Equal cells of a column are counted first, so each distinct value is looked at once and only values travel.
+    """
+    cells = long.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"))
+    v, bare, c = F.col("value"), F.col("bare"), F.col("c")
+    dated = F.when(F.col("bare").rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d"), F.col("bare"))
+    seen = cells.withColumn("bare", strip(v)).withColumns({"low": F.lower("bare"), "ts": timestamp(dated), "num": number(v)})
+    low, ts, num = F.col("low"), F.col("ts"), F.col("num")
+    times = lambda condition: F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
+    tokens = hints.TRUE_TOKENS + hints.FALSE_TOKENS
+    return seen.groupBy("table", "column").agg(
+        F.sum("c").alias("rows"), times(v.isNotNull()).alias("n"), (F.sum(F.length("value") * c) / times(v.isNotNull())).alias("mean_length"),
+        F.count("value").alias("distinct"), F.count_distinct(F.xxhash64(F.when(v.isNotNull(), low))).alias("distinct_normal"), F.max(v.isNull().cast("int")).alias("null_seen"),
+        times(num.isNotNull()).alias("numeric"), times(ts.isNotNull()).alias("dates"), F.array_sort(F.collect_set(date_format(dated))).alias("formats"),
+        times(v != bare).alias("padded"), times(v.rlike(hints.BULLETS) | v.contains("\n")).alias("noisy_prose"), times(num < 0).alias("negative"),
+        times((F.year(ts) < 1900) | (F.year(ts) > as_of_year + 1)).alias("odd_years"),
+        times(low.isin(hints.PLACEHOLDERS)).alias("placeholders"), F.array_sort(F.collect_set(F.when(low.isin(hints.PLACEHOLDERS), low))).alias("placeholder_tokens"),
+        times(low.isin(tokens)).alias("booleans"), F.array_sort(F.collect_set(F.when(low.isin(tokens), low))).alias("boolean_tokens"),
+        times(v.rlike(hints.CURRENCY)).alias("currency"), times(F.lower(v).rlike(hints.UNIT)).alias("units"), F.array_sort(F.collect_set(F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1)))).alias("symbols"),
+        times(bare.rlike(hints.LOCALE_US)).alias("locale_us"), times(bare.rlike(hints.LOCALE_EU)).alias("locale_eu"), times(bare.rlike(hints.FLOAT_NOISE) & num.isNotNull()).alias("float_noise"),
+        times(v.rlike(hints.FORMULA)).alias("formulas"), times(bare.isin(hints.SHEET_ERRORS)).alias("sheet_errors"), times(v.rlike(hints.CONTROL)).alias("control"),
+        *(times(is_list(v, d)).alias(f"lists_{i}") for i, d in enumerate(hints.DELIMITERS)), times(ts.isNotNull() & v.rlike(hints.TIME_OF_DAY)).alias("with_time"),
+    ).withColumn("distinct_normal", F.col("distinct_normal") - F.col("null_seen"))
+
+
+Check = tuple[str, Column, Column, Column, dict[str, Column]]
+
+
+def count_checks() -> list[Check]:
+    """Category, condition, cells affected, cells in all, and details of the checks that cell_stats suffices for."""
     c = F.col
     n, name, share = c("n"), c("column"), lambda x: F.col(x) / F.greatest(F.col("n"), F.lit(1))
-    lists = [(c(f"lists_{i}") > 0).cast("int") for i in range(len(hints.DELIMITERS))]
+    lists = [c(f"lists_{i}") for i in range(len(hints.DELIMITERS))]
+    kinds, listed = reduce(lambda a, b: a + b, [(x > 0).cast("int") for x in lists]), reduce(lambda a, b: a + b, lists)
+    families = reduce(lambda a, b: a + b, [F.arrays_overlap("boolean_tokens", F.array(*map(F.lit, f))).cast("int") for f in hints.BOOLEAN_FAMILIES])
     date_like = has_hint(name, hints.DATE_HINTS)
     return [
-        _issue(stats, "missing", (c("rows") - n) / c("rows") > hints.MISSING_LIMIT, c("rows") - n, c("rows")),
-        _issue(stats, "numeric_as_text", (share("numeric") >= hints.NUMERIC_AS_TEXT) & (c("numeric") < n), n - c("numeric"), n),
-        _issue(stats, "mixed_date_formats", (share("dates") >= hints.DATE_SHARE) & (F.size("formats") > 1), c("dates"), n, {"formats": F.array_join("formats", ", ")}),
-        _issue(stats, "whitespace_noise", c("padded") > 0, c("padded"), n),
-        _issue(stats, "prose_noise", (c("mean_length") > hints.PROSE_LENGTH) & (c("noisy_prose") > 0), c("noisy_prose"), n),
-        _issue(stats, "negative_values", has_hint(name, hints.NUMERIC_HINTS) & (c("negative") > 0), c("negative"), n),
-        _issue(stats, "placeholder_tokens", (c("placeholders") > 0) & (share("placeholders") < hints.PLACEHOLDER_LIMIT), c("placeholders"), n, {"tokens": F.array_join("placeholder_tokens", ", ")}),
-        _issue(stats, "boolean_families", (c("booleans") == n) & (n > 0) & F.size("boolean_tokens").between(2, 4) & (c("families") > 1), n, n, {"tokens": F.array_join("boolean_tokens", ", ")}),
-        _issue(stats, "currency_units", (c("currency") + c("units") > 0), c("currency") + c("units"), n, {"symbols": F.array_join("symbols", "")}),
-        _issue(stats, "locale_mix", (c("locale_us") > 0) & (c("locale_eu") > 0), c("locale_us") + c("locale_eu"), n),
-        _issue(stats, "float_noise", c("float_noise") > 0, c("float_noise"), n),
-        _issue(stats, "spreadsheet_formula", c("formulas") > 0, c("formulas"), n),
-        _issue(stats, "spreadsheet_error", c("sheet_errors") > 0, c("sheet_errors"), n),
-        _issue(stats, "control_characters", c("control") > 0, c("control"), n),
-        _issue(stats, "delimiter_mix", reduce(lambda a, b: a + b, lists) > 1, reduce(lambda a, b: a + b, [c(f"lists_{i}") for i in range(len(hints.DELIMITERS))]), n),
-        _issue(stats, "granularity_mix", date_like & (c("dates") >= 2) & (c("with_time") > 0) & (c("with_time") < c("dates")), c("with_time"), c("dates")),
-    ]
-
-
-def distinct_issues(stats: DataFrame, rows: Column) -> list[DataFrame]:
-    c = F.col
-    return [
-        _issue(stats, "duplicate_keys", has_hint(c("column"), hints.ID_HINTS) & (c("n") > c("distinct")), c("n") - c("distinct"), c("n")),
-        _issue(stats, "categorical_variants", (c("distinct") > c("distinct_normal")) & (c("distinct_normal") / rows <= hints.CATEGORY_RATIO), c("distinct") - c("distinct_normal"), c("distinct")),
-    ]
+        ("missing", (c("rows") - n) / c("rows") > hints.MISSING_LIMIT, c("rows") - n, c("rows"), {}),
+        ("numeric_as_text", (share("numeric") >= hints.NUMERIC_AS_TEXT) & (c("numeric") < n), n - c("numeric"), n, {}),
+        ("mixed_date_formats", (share("dates") >= hints.DATE_SHARE) & (F.size("formats") > 1), c("dates"), n, {"formats": F.array_join("formats", ", ")}),
+        ("whitespace_noise", c("padded") > 0, c("padded"), n, {}),
+        ("prose_noise", (c("mean_length") > hints.PROSE_LENGTH) & (c("noisy_prose") > 0), c("noisy_prose"), n, {}),
+        ("negative_values", has_hint(name, hints.NUMERIC_HINTS) & (c("negative") > 0), c("negative"), n, {}),
+        ("out_of_range_dates", date_like & (c("odd_years") > 0), c("odd_years"), n, {}),
+        ("placeholder_tokens", (c("placeholders") > 0) & (share("placeholders") < hints.PLACEHOLDER_LIMIT), c("placeholders"), n, {"tokens": F.array_join("placeholder_tokens", ", ")}),
+        ("boolean_families", (c("booleans") == n) & (n > 0) & F.size("boolean_tokens").between(2, 4) & (families > 1), n, n, {"tokens": F.array_join("boolean_tokens", ", ")}),
+        ("currency_units", c("currency") + c("units") > 0, c("currency") + c("units"), n, {"symbols": F.array_join("symbols", "")}),
+        ("locale_mix", (c("locale_us") > 0) & (c("locale_eu") > 0), c("locale_us") + c("locale_eu"), n, {}),
+        ("float_noise", c("float_noise") > 0, c("float_noise"), n, {}),
+        ("spreadsheet_formula", c("formulas") > 0, c("formulas"), n, {}),
+        ("spreadsheet_error", c("sheet_errors") > 0, c("sheet_errors"), n, {}),
+        ("control_characters", c("control") > 0, c("control"), n, {}),
+        ("delimiter_mix", kinds > 1, listed, n, {}),
+        ("granularity_mix", date_like & (c("dates") >= 2) & (c("with_time") > 0) & (c("with_time") < c("dates")), c("with_time"), c("dates"), {}),
+        ("duplicate_keys", has_hint(name, hints.ID_HINTS) & (n > c("distinct")), n - c("distinct"), n, {}),
+        ("categorical_variants", (c("distinct") > c("distinct_normal")) & (c("distinct_normal") / c("rows") <= hints.CATEGORY_RATIO), c("distinct") - c("distinct_normal"), c("distinct"), {}),
+    ]
+
+
+def _issue_struct(category: str, affected: Column, total: Column, detail: dict[str, Column]) -> Column:
+    pairs = [x for k, v in detail.items() for x in (F.lit(k), v.cast("string"))]
+    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.struct(F.lit(category).alias("category"), F.lit(hints.SEVERITY[category]).alias("severity"), affected.cast("long").alias("affected"), total.cast("long").alias("total"), F.when(total > 0, F.round(affected / total, 6)).alias("fraction"), made.alias("detail"))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select("table", "_i.category", "_i.severity", "column", "_i.affected", "_i.total", "_i.fraction", "_i.detail")
+
+
+def _issue(stats: DataFrame, category: str, when: Column, affected: Column, total: Column, detail: dict[str, Column] | None = None) -> DataFrame:
+    return _rows(stats.where(when).withColumn("_i", _issue_struct(category, affected, total, detail or {})))
 
 
-def out_of_range_dates(long: DataFrame, as_of_year: int) -> DataFrame:
-    """Dates before 1900 or more than a year after as_of_year, in columns named like dates."""
-    year = F.year(timestamp(F.col("value")))
-    odd = long.where(has_hint(F.col("column"), hints.DATE_HINTS)).groupBy("table", "column").agg(F.count("value").alias("n"), _sum((year < 1900) | (year > as_of_year + 1)).alias("odd"))
-    return _issue(odd, "out_of_range_dates", F.col("odd") > 0, F.col("odd"), F.col("n"))
+def count_issues(stats: DataFrame) -> DataFrame:
+    """All count-type issues, as one projection of cell_stats."""
+    found = F.array_compact(F.array(*(F.when(when, _issue_struct(category, affected, total, detail)) for category, when, affected, total, detail in count_checks())))
+    return _rows(stats.select("table", "column", F.explode(found).alias("_i")))
 
 
 def lost_leading_zeros(long: DataFrame) -> DataFrame:
@@ -178,14 +184,20 @@ def value_types(long: DataFrame, share: float = 0.8) -> DataFrame:
     return stats.select("table", "column", F.when((F.col("n") > 0) & (F.col("numeric") / F.col("n") >= share), "numeric").otherwise("text").alias("value_type"))
 
 
-def issues(df: DataFrame, table: str = "t", as_of_year: int = 2026, ignore: list[str] = ()) -> DataFrame:
-    """Every issue of a table's values, as rows of hints.ISSUES."""
+def issues(df: DataFrame, table: str = "t", as_of_year: int = 2026, ignore: list[str] = (), lines: DataFrame | None = None) -> DataFrame:
+    """Every issue of a table's values, as rows of hints.ISSUES, and of its file's lines, if given (lines.line_issues).
+
+    One pass counts all cells; postal columns, equal rows and references have a pass of their own where a table has them.
+    """
     columns = [c for c in df.columns if c not in ignore]
-    long = to_long(df, table, columns)
-    rows = F.col("_rows")
-    distinct = distinct_stats(long).join(F.broadcast(long.groupBy("table", "column").agg(F.count(F.lit(1)).alias("_rows"))), ["table", "column"])
-    found = count_issues(cell_stats(long)) + distinct_issues(distinct, rows)
-    found += [out_of_range_dates(long, as_of_year), lost_leading_zeros(long), duplicate_rows(df, table, list(ignore)), dangling_refs(df.select(*columns), table)]
+    found = [count_issues(cell_stats(to_long(df, table, columns), as_of_year)), duplicate_rows(df, table, list(ignore))]
+    if postal := hinted(columns, hints.ZIP_HINTS):
+        found.append(lost_leading_zeros(to_long(df, table, postal)))
+    if "id" in columns and any(c.lower().endswith("id") and c != "id" for c in columns):
+        found.append(dangling_refs(df.select(*columns), table))
+    if lines is not None:
+        blank = F.create_map().cast("map<string,string>")
+        found.append(lines.select(F.lit(table).alias("table"), "category", "severity", "column", "affected", "total", F.when(F.col("total") > 0, F.round(F.col("affected") / F.col("total"), 6)).alias("fraction"), blank.alias("detail")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -4,25 +4,46 @@ from __future__ import annotations
 
 import json
 from hashlib import sha256
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabletrust.functions import hints
 from tabletrust.functions.text import is_number, number, sanitized, strip, timestamp
 from tabletrust.operators import rubric
 
 
+def median(values: DataFrame, column: str) -> float | None:
+    """The exact median of a numeric column: values are counted, ordered in ranges, and the one or two middle ones found by
+    the counts of the ranges, so that no task holds more than a range."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ordered = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    parts = ordered.groupBy("part").agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("low").collect()  # one row a range
+    total, found = sum(r.c for r in parts), []
+    for rank in sorted({(total - 1) // 2, total // 2}) if total else []:
+        before = 0
+        for r in parts:
+            if rank < before + r.c:
+                break
+            before += r.c
+        upto = F.sum("c").over(Window.orderBy("v"))  # over one range
+        found.append(counts.where(F.col("v").between(r.low, r.high)).withColumn("upto", upto).where(F.col("upto") > rank - before).agg(F.min("v")).first()[0])
+    return sum(found) / len(found) if found else None
+
+
 def fill_median(df: DataFrame, column: str) -> DataFrame:
     """Missing numbers become the exact median; only below 20 % missing, else the table is returned as it is."""
-    r = df.agg(F.median(number(F.col(column).cast("string"))).alias("m"), F.avg(F.col(column).isNull().cast("int")).alias("share")).first()
-    return df if r.m is None or r.share >= hints.IMPUTE_LIMIT else df.withColumn(column, F.coalesce(F.col(column), F.lit(r.m).cast(df.schema[column].dataType)))
+    share = df.agg(F.avg(F.col(column).isNull().cast("int"))).first()[0]
+    m = median(df.select(number(F.col(column).cast("string")).alias("v")), "v") if share is not None and 0 < share < hints.IMPUTE_LIMIT else None
+    return df if m is None else df.withColumn(column, F.coalesce(F.col(column), F.lit(m).cast(df.schema[column].dataType)))
 
 
 def fill_mode_or_unknown(df: DataFrame, column: str) -> DataFrame:
-    """Missing categories become the most frequent value if it has 40 %, else Unknown; not for columns of mostly distinct values."""
+    """Missing categories become the most frequent value (the last in order of equals) if it has 40 %, else Unknown; not for columns of mostly distinct values."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    r = counts.agg(F.max_by(F.when(F.col(column).isNotNull(), F.col(column)), F.when(F.col(column).isNotNull(), F.struct("c", -F.hash(column)))).alias("mode"), F.max(F.when(F.col(column).isNotNull(), F.col("c"))).alias("top"), F.sum(F.when(F.col(column).isNotNull(), F.col("c"))).alias("n"), F.count(column).alias("distinct"), F.sum("c").alias("rows")).first()
+    r = counts.agg(F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct("c", F.col(column)))).alias("mode"), F.max(F.when(F.col(column).isNotNull(), F.col("c"))).alias("top"), F.sum(F.when(F.col(column).isNotNull(), F.col("c"))).alias("n"), F.count(column).alias("distinct"), F.sum("c").alias("rows")).first()
     if not r.n or r.distinct / r.n > 0.5 or (r.rows - r.n) / r.rows >= hints.IMPUTE_LIMIT:
         return df
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(r.mode if r.top / r.n >= hints.MODE_SHARE else "Unknown")))
@@ -41,7 +62,7 @@ def null_placeholders(c: Column) -> Column:
 
 def strip_currency(c: Column) -> Column:
     """The number of a value with a currency sign or unit; other values that are no number stay out as null."""
-    return number(F.regexp_replace(F.regexp_replace(c, r"[$€£¥,\s]", ""), r"(?i)(kg|lbs|lb|oz|km|mi|cm|mm|ml|usd|eur|gbp|g|l|%)$", ""))
+    return number(F.regexp_replace(F.regexp_replace(c, r"[$€£¥,\s]", ""), r"(?i)(kg|lbs|lb|oz|km|mi|cm|mm|g|%)$", ""))
 
 
 def unify_booleans(c: Column) -> Column:
@@ -127,7 +148,7 @@ COLUMN_TREATMENTS = {
     "placeholder_tokens": null_placeholders, "currency_units": strip_currency, "boolean_families": unify_booleans, "locale_mix": unify_locale, "spreadsheet_formula": null_sheet_artifacts,
     "spreadsheet_error": null_sheet_artifacts, "whitespace_noise": strip, "prose_noise": clean_prose, "float_noise": round_noise, "control_characters": strip_control, "delimiter_mix": unify_delimiters,
     "mixed_date_formats": iso_date, "granularity_mix": unify_granularity, "numeric_as_text": number, "negative_values": lambda c: null_where(c, number(c) < 0),
-    "out_of_range_dates": lambda c: null_where(c, (F.year(timestamp(c)) < 1900)),
+    "out_of_range_dates": lambda c, as_of_year=2026: null_where(c, (F.year(timestamp(c)) < 1900) | (F.year(timestamp(c)) > as_of_year + 1)),
 }
 
 
@@ -170,12 +191,52 @@ def quality_status(unresolved: DataFrame) -> DataFrame:
     return unresolved.groupBy("table").agg(F.when(rank == 1, "fail").otherwise("warn").alias("status"), F.sort_array(F.collect_list(F.struct("category", "column", "severity"))).alias("issues"))
 
 
-def clean(df: DataFrame, table: str, as_of_year: int = 2026) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Audits, treats fail columns then warn columns in one projection, audits again: (table, issues, still present)."""
-    found = rubric.issues(df, table, as_of_year)
-    rows = found.select("category", "column", "severity").collect()  # one row an issue
+class Cleaned(NamedTuple):
+    """The table, its issues, those that are still there, and the log row (one row: what was found and done, counts, status)."""
+
+    table: DataFrame
+    issues: DataFrame
+    unresolved: DataFrame
+    log: DataFrame
+
+
+LOG = "table_name string, trigger string, status string, issues_found array<string>, issues_resolved array<string>, issues_unresolved array<string>, row_count_before bigint, row_count_after bigint, row_check string"
+
+
+def _local(found: DataFrame) -> DataFrame:
+    """The issues (a few rows a column) without the plan that found them."""
+    return found.sparkSession.createDataFrame(found.collect(), hints.ISSUES)
+
+
+def clean(df: DataFrame, table: str, as_of_year: int = 2026, composites: dict[str, tuple[str, tuple[str, str]]] | None = None, high_missing_choice: str = "flag", trigger: str = "manual") -> Cleaned:
+    """Audits, treats fail columns then warn columns in one projection, removes repeated rows, pads lost zeros, fills or flags
+    missing values, splits the given composites (column: pattern, names), and audits again. The rubric runs twice."""
+    found = _local(rubric.issues(df, table, as_of_year))
+    rows = found.collect()
     order = sorted((r.severity != hints.FAIL, r.category, r["column"]) for r in rows if r["column"] and r.category in COLUMN_TREATMENTS)
     made = apply_plan(df, [(category, column) for _, category, column in order])
-    if any(r.category == "duplicate_rows" for r in rows):
+    structural = not any(r.category == "duplicate_rows" for r in rows)
+    for r in rows:
+        if r.category == "lost_leading_zeros":
+            made = made.withColumn(r["column"], pad_zeros(F.col(f"`{r['column']}`").cast("string"), int(r.detail["length"])))
+        elif r.category == "missing" and r["column"] in made.columns:
+            if r.fraction >= hints.IMPUTE_LIMIT:
+                made = high_missing(made, r["column"], high_missing_choice)
+                structural &= high_missing_choice != "drop_rows"
+            elif isinstance(made.schema[r["column"]].dataType, T.NumericType):
+                made = fill_median(made, r["column"])
+            elif isinstance(made.schema[r["column"]].dataType, T.StringType):
+                made = fill_mode_or_unknown(made, r["column"])
+    if not structural and any(r.category == "duplicate_rows" for r in rows):
         made = made.distinct()
-    return made, found, still_present(found, rubric.issues(made, table, as_of_year))
+    for column, (pattern, names) in (composites or {}).items():
+        made = composite_split(made, column, pattern, names)
+    left = _local(rubric.issues(made, table, as_of_year))
+    unresolved = still_present(found, left)
+    still = {(r.category, r["column"]) for r in unresolved.collect()}
+    before, after = df.count(), made.count()
+    name = lambda r: f"{r.category}:{r['column'] or ''}"
+    severities = {r.severity for r in rows if (r.category, r["column"]) in still}
+    status = "fail" if hints.FAIL in severities else "warn" if severities else "pass"
+    entry = (table, trigger, status, sorted(map(name, rows)), sorted(name(r) for r in rows if (r.category, r["column"]) not in still), sorted(name(r) for r in rows if (r.category, r["column"]) in still), before, after, row_check(before, after, structural))
+    return Cleaned(made, found, unresolved, df.sparkSession.createDataFrame([entry], LOG))

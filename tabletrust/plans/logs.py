@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Phrases of an answer by the rule that wrote them.
+# Phrases of an answer by the rule that writes them; any one of a rule's phrases shows that it fired.
 DETECTORS = {
-    "minimum_sample": "minimum sample", "combined_ranking": "ranked by", "null_exclusion": "null values were excluded", "time_frame": "time frame", "distinct": "duplicate rows removed",
-    "outlier": "sensitive to outliers", "imbalance": "group sizes differ", "significance": "statistically significant", "causal": "association only",
-}
+    "minimum_sample": ["underlying rows were included in this ranking"],
+    "combined_ranking": ["This result is ranked primarily by"],
+    "null_exclusion": ["is missing (NULL) were excluded from this result"],
+    "time_frame": ["This result covers the period from", "This result is filtered to the period from", "This result is filtered to data around", "This result is grouped by"],
+    "outlier": ["substantially higher than the typical group"],
+    "imbalance": ["comparing averages across groups this unevenly sized may underweight"],
+    "causal": ["this result shows a statistical association only"],
+    "distinct": ["Duplicate rows were removed from this result (SELECT DISTINCT was used)"],
+    "significance": ["A one-way ANOVA on"],
+}
+
+
+def json_fields(log: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """Adds fields of a column of JSON texts, by name and type; null where a text is no JSON or lacks the field."""
+    parsed = F.from_json(F.col(column), ", ".join(f"`{f}` {kind}" for f, kind in fields.items()))
+    return log.withColumns({f: parsed[f] for f in fields})
 
 
 def rule_fire_rates(log: DataFrame) -> DataFrame:
     """rule, fired, runs, rate over eligible runs. log: route, answer."""
     runs = log.where(F.col("route").isin("sql_analyst", "visualize"))
-    counts = runs.agg(F.count(F.lit(1)).alias("runs"), *(F.count_if(F.contains(F.lower("answer"), F.lit(p))).alias(k) for k, p in DETECTORS.items()))
+    counts = runs.agg(F.count(F.lit(1)).alias("runs"), *(F.count_if(reduce(lambda a, b: a | b, [F.contains("answer", F.lit(p)) for p in ps])).alias(k) for k, ps in DETECTORS.items()))
     return counts.unpivot(["runs"], list(DETECTORS), "rule", "fired").select("rule", "fired", "runs", F.when(F.col("runs") > 0, F.round(F.col("fired") / F.col("runs"), 6)).alias("rate"))
 
 

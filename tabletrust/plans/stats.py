@@ -8,13 +8,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNT_NAME = re.compile(r"(?i)^(n|cnt|count|.*_count|count_.*|num_.*|total_rows|rows)$")
+# Names of count columns, causal wording and what it becomes, wording that asks for the note, the note.
+COUNT_NAME = re.compile(r"(?i)^(?:n|count|num\w*|sample_size|total_count|\w+_count)$")
 MEAN_NAME = re.compile(r"(?i)^(avg|mean|average)_?|_(avg|mean|average)$")
 CAUSAL = [
-    (r"(?i)\bcauses\b", "is associated with"), (r"(?i)\bcaused\b", "was associated with"), (r"(?i)\bcausing\b", "being associated with"), (r"(?i)\bleads to\b", "tends to occur with"), (r"(?i)\bled to\b", "occurred with"),
-    (r"(?i)\bdrives\b", "moves with"), (r"(?i)\bresults in\b", "coincides with"), (r"(?i)\bbecause of\b", "alongside"), (r"(?i)\bdue to\b", "alongside"),
-]
-DISCLAIMER = " (Association only: this data doesn't show a cause.)"
+    (r"(?i)\bleads?\s+to\b", "is associated with"),
+    (r"(?i)\bcauses?\b", "is associated with"),
+    (r"(?i)\bcaused\s+by\b", "associated with"),
+    (r"(?i)\bresults?\s+in\b", "is associated with"),
+    (r"(?i)\bresponsible\s+for\b", "associated with"),
+    (r"(?i)\bdriven\s+by\b", "associated with"),
+    (r"(?i)\bexplains?\s+why\b", "is associated with"),
+    (r"(?i)\bbecause\s+of\b", "alongside"),
+    (r"(?i)\bdue\s+to\b", "alongside"),
+]
+CAUSAL_LEFT = r"(?i)\b(?:causes?|caused by|leads? to|results? in|explains? why|responsible for|drives?|driven by|because of|due to|impact(?:s|ed)? (?:the|on)|affect(?:s|ed)?)\b"
+DISCLAIMER = "Note: this result shows a statistical association only — the data cannot establish that one variable caused another."
 
 
 def outlier_sensitivity(groups: DataFrame, metric: str) -> DataFrame:
@@ -82,12 +91,11 @@ def mean_columns(names: list[str]) -> list[str]:
 
 
 def causal_rewrite(c: Column) -> Column:
-    """Causal wording becomes associative; a changed text gets a note."""
+    """Causal wording becomes associative; a text in which causal wording is left, as its verbs mean other things too, gets a note."""
     out = c
     for pattern, plain in CAUSAL:
         out = F.regexp_replace(out, pattern, plain)
-    found = F.greatest(*(c.rlike(p).cast("int") for p, _ in CAUSAL)) == 1
-    return F.when(found, F.concat(out, F.lit(DISCLAIMER))).otherwise(c)
+    return F.when(out.rlike(CAUSAL_LEFT) & ~out.contains(DISCLAIMER), F.concat(out, F.lit("\n\n" + DISCLAIMER))).otherwise(out)
 
 
 def relevant_notes(notes: DataFrame, touched: DataFrame) -> DataFrame:
