@@ -27,8 +27,24 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return [x.strip('"') for x in first.h] if first else []
 
 
-def read_csv_audit(spark: SparkSession, path: str, na: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Every column text; rows with too many fields are dropped, rows with too few padded with nulls; NA strings are null."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all of a file's lines are, else ISO-8859-1."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary").cast("string").alias("v"))
+    return "UTF-8" if lines.where(~F.is_valid_utf8("v")).isEmpty() else "ISO-8859-1"
+
+
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes, so that a quoted value may go on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 != 0).isEmpty()
+
+
+def read_csv_audit(spark: SparkSession, path: str, na: list[str] | None = None, encoding: str | None = None) -> DataFrame:
+    """Every column text; rows with too many fields are dropped, rows with too few padded with nulls; NA strings are null.
+
+    Files that aren't UTF-8 are read as ISO-8859-1. A file is split among tasks unless a quoted value may hold a line end.
+    """
+    encoding = encoding or encoding_of(spark, path)
     names = header(spark, path)
     seen: dict[str, int] = {}
     cols = []
@@ -36,7 +52,7 @@ def read_csv_audit(spark: SparkSession, path: str, na: list[str] | None = None,
         seen[name] = seen.get(name, 0) + 1
         cols.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
     schema = ", ".join(f"`{c}` string" for c in [*cols, CORRUPT])
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("multiLine", has_quoted_line_ends(spark, path)).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     long_row = F.size(F.regexp_extract_all(F.col(CORRUPT), F.lit(FIELD), F.lit(1))) > len(cols)
     kept = raw.where(F.col(CORRUPT).isNull() | ~long_row).drop(CORRUPT)
     return null_strings(kept, hints.NA_STRINGS if na is None else na)

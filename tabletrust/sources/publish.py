@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,14 +11,38 @@ from pyspark.sql import functions as F
 from tabletrust.functions.text import humanize
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where both are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tabletrust-")
+
+
 def publish(df: DataFrame, table: str) -> None:
     """Builds a staging table, then swaps names; the old table stays as <table>_previous. A failed build changes nothing."""
     spark, staging = df.sparkSession, f"{table}_staging_{uuid.uuid4().hex[:8]}"
+    repair(spark, table)
     df.write.saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {table}_previous")
     if spark.catalog.tableExists(table):
+        dropped = f"{table}_dropped_{uuid.uuid4().hex[:8]}"
+        if spark.catalog.tableExists(f"{table}_previous"):
+            spark.sql(f"ALTER TABLE {table}_previous RENAME TO {dropped}")
         spark.sql(f"ALTER TABLE {table} RENAME TO {table}_previous")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {dropped}")  # the oldest generation goes last
+    else:
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+
+
+def repair(spark: SparkSession, table: str) -> bool:
+    """After a swap that broke off between its renames there is a previous table and no current one: it becomes current again."""
+    if spark.catalog.tableExists(table) or not spark.catalog.tableExists(f"{table}_previous"):
+        return False
+    spark.sql(f"ALTER TABLE {table}_previous RENAME TO {table}")
+    return True
 
 
 def rollback(spark: SparkSession, table: str) -> bool:
@@ -41,12 +66,12 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], by: str) ->
 
 
 def invalidate(df: DataFrame, table: str, column: str = "table_name") -> DataFrame:
-    return df.where(F.col(column) != table)
+    return df.where(~F.col(column).eqNullSafe(table))
 
 
 def delete_metric(metrics: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """The other metrics, and whether the named one was there."""
-    return metrics.where(F.col("metric_name") != name), not metrics.where(F.col("metric_name") == name).isEmpty()
+    return metrics.where(~F.col("metric_name").eqNullSafe(name)), not metrics.where(F.col("metric_name") == name).isEmpty()
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -59,8 +84,9 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def capped(df: DataFrame, n: int = 200) -> tuple[DataFrame, bool]:
-    """At most n rows, and whether there were more."""
-    return df.limit(n), df.limit(n + 1).count() > n
+    """At most n rows, and whether there were more. The query runs once; n is small."""
+    rows = df.limit(n + 1).collect()
+    return df.sparkSession.createDataFrame(rows[:n], df.schema), len(rows) > n
 
 
 def ingestion_registry(attempts: DataFrame) -> DataFrame:
