@@ -6,14 +6,15 @@ text that both engines read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from tabletrust.functions import text
 from tabletrust.functions.text import to_long
-from tabletrust.operators import discover, enrich, profile, rubric, status, treat
+from tabletrust.operators import discover, enrich, lines, profile, rubric, status, treat
 from tabletrust.plans import charts, logs, shapes, stats
 from tabletrust.sources import files, publish
 
@@ -54,7 +55,7 @@ JOBS = """SELECT c_custkey AS job_id,
  'group ' || CAST(c_custkey % 57 AS STRING) AS industry, c_mktsegment AS segment, c_nationkey AS nation FROM customer"""
 #: Runs of the analyst made of conversations.
 RUNS = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'sql_analyst' WHEN turn % 3 = 0 THEN 'other' ELSE 'visualize' END AS route,
- CASE WHEN conv_id % 3 = 0 THEN 'Heat causes growth. Minimum sample of 5; statistically significant' WHEN conv_id % 3 = 1 THEN 'Null values were excluded; growth led to joy' ELSE 'Plain' END AS answer,
+ CASE WHEN conv_id % 3 = 0 THEN 'Heat causes growth. 12 underlying rows were included in this ranking. A one-way ANOVA on x' WHEN conv_id % 3 = 1 THEN 'Demand drives growth due to joy. This result is grouped by month' ELSE 'Plain' END AS answer,
  'WITH base AS (SELECT o_custkey, avg(o_totalprice) AS mean_price FROM orders WHERE o_orderstatus = ''F'' AND o_comment IS NOT NULL GROUP BY o_custkey HAVING COUNT(*) >= ' || CAST(5 + conv_id % 3 AS STRING) || ') SELECT * FROM base ORDER BY mean_price DESC LIMIT 10' AS sql,
  'question ' || CAST(conv_id % 20 AS STRING) AS question FROM conversations"""
 
@@ -138,9 +139,36 @@ def _(spark, sf_dir):
     return rubric.dangling_refs(dirty(spark, sf_dir).select("id", "parent_id")).select("column", "affected", "total")
 
 
-@register("rubric_all", with_dirty("SELECT * FROM (VALUES ('boolean_families','warn'),('categorical_variants','warn'),('currency_units','warn'),('dangling_refs','fail'),('delimiter_mix','warn'),('float_noise','warn'),('granularity_mix','warn'),('locale_mix','fail'),('lost_leading_zeros','fail'),('mixed_date_formats','fail'),('numeric_as_text','fail'),('out_of_range_dates','fail'),('placeholder_tokens','fail'),('negative_values','fail'),('spreadsheet_error','fail'),('spreadsheet_formula','fail'),('whitespace_noise','warn'),('missing','warn'),('duplicate_keys','fail')) t(category, severity)"))
+_PLACEHOLDER = "count(*) FILTER (WHERE lower(CAST({c} AS VARCHAR)) IN ('9999', '999', '-1', 'tbd', 'unknown', 'missing', 'xxx', 'n/a', 'na', 'null', 'none'))"
+#: Every issue of the planted table: category, column, cells affected.
+_ALL = [
+    ("boolean_families", "is_active", "count({c})"), ("categorical_variants", "priority", "count(DISTINCT {c}) - count(DISTINCT lower(trim({c})))"), ("currency_units", "amount", "count(*) FILTER (WHERE {c} LIKE '$%')"),
+    ("dangling_refs", "parent_id", "count(*) FILTER (WHERE {c} NOT IN (SELECT CAST(id AS VARCHAR) FROM dirty))"), ("delimiter_mix", "tags", "count({c})"),
+    *(("duplicate_keys", c, "count({c}) - count(DISTINCT {c})") for c in ("id", "customer_id", "parent_id")), ("float_noise", "noise", "count(*) FILTER (WHERE length({c}) > 10)"), ("granularity_mix", "ship_date", "count(*) FILTER (WHERE {c} LIKE '%:%')"),
+    ("locale_mix", "local_price", "count({c})"), ("lost_leading_zeros", "zip", "count(*) FILTER (WHERE length({c}) = 4)"), *(("missing", c, "CASE WHEN count({c}) < 0.95 * count(*) THEN count(*) - count({c}) ELSE 0 END") for c in ("customer_id", "points", "tier", "status")),
+    ("mixed_date_formats", "due_date", "count({c})"), ("negative_values", "quantity", "count(*) FILTER (WHERE {c} LIKE '-%')"), ("numeric_as_text", "amount", "count(*) FILTER (WHERE {c} LIKE '$%')"), ("numeric_as_text", "score", "count(*) FILTER (WHERE {c} LIKE 'n%')"),
+    ("out_of_range_dates", "start_date", "count(*) FILTER (WHERE {c} < '1900' OR {c} > '2028')"), *(("placeholder_tokens", c, _PLACEHOLDER) for c in ("id", "customer_id", "status", "priority", "amount", "quantity", "score", "parent_id", "points", "tier")),
+    ("spreadsheet_error", "formula", "count(*) FILTER (WHERE {c} = '#DIV/0!')"), ("spreadsheet_formula", "formula", "count(*) FILTER (WHERE {c} LIKE '=SUM(%')"), ("whitespace_noise", "priority", "count(*) FILTER (WHERE {c} <> trim({c}))"),
+]
+_FAILS = "('dangling_refs', 'duplicate_keys', 'locale_mix', 'lost_leading_zeros', 'mixed_date_formats', 'negative_values', 'numeric_as_text', 'out_of_range_dates', 'placeholder_tokens', 'spreadsheet_error', 'spreadsheet_formula')"
+_EVERY = "SELECT category, \"column\", affected, CASE WHEN category IN " + _FAILS + " THEN 'fail' ELSE 'warn' END AS severity FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS category, '{c}' AS \"column\", CAST({e.format(c=c)} AS BIGINT) AS affected FROM dirty" for k, c, e in _ALL) + ") WHERE affected > 0"
+
+
+@register("rubric_all", with_dirty(_EVERY))
+def _(spark, sf_dir):
+    return rubric.with_severity(rubric.issues(dirty(spark, sf_dir), "orders")).select("category", "column", "affected", "severity")
+
+
+@register("control_characters", "SELECT 'name' AS \"column\", count(*) FILTER (WHERE o_orderkey % 7 = 0) AS affected, count(*) AS total FROM orders")
 def _(spark, sf_dir):
-    return rubric.with_severity(rubric.issues(dirty(spark, sf_dir), "orders")).select("category", "severity").distinct()
+    named = read(spark, sf_dir, "orders").selectExpr("CASE WHEN o_orderkey % 7 = 0 THEN concat('a', char(7), o_orderkey) ELSE 'a' END AS name")
+    return rubric.issues(named).where("category = 'control_characters'").select("column", "affected", "total")
+
+
+@register("row_index_columns", "SELECT 'row_id' AS \"column\" WHERE (SELECT count(DISTINCT event_id) >= 0.9 * count(*) FROM events)")
+def _(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("index"), "event_id")
+    return spark.createDataFrame([(c,) for c in rubric.row_index_columns(events, "event_id")], "column string")
 
 
 @register("value_type", with_dirty("SELECT * FROM (SELECT 'amount' AS \"column\", CASE WHEN avg(CASE WHEN regexp_matches(amount, '^[0-9]+$') THEN 1 ELSE 0 END) >= 0.8 THEN 'numeric' ELSE 'text' END AS value_type FROM dirty UNION ALL SELECT 'status', 'text' UNION ALL SELECT 'score', CASE WHEN avg(CASE WHEN regexp_matches(score, '^[0-9]+$') THEN 1 ELSE 0 END) >= 0.8 THEN 'numeric' ELSE 'text' END FROM dirty)"))
@@ -154,7 +182,7 @@ def _(spark, sf_dir):
     return rubric.sequential_ids(orders, ["o_orderkey", "o_custkey"], "line").select("column", "n", "sequential")
 
 
-@register("failing_columns", with_dirty("SELECT c AS \"column\" FROM (VALUES ('score'), ('quantity')) t(c)"))
+@register("failing_columns", with_dirty(f"SELECT DISTINCT \"column\" FROM ({_EVERY}) WHERE severity = 'fail' AND \"column\" IN ('score', 'quantity', 'tags')"))
 def _(spark, sf_dir):
     return rubric.failing_columns(rubric.issues(dirty(spark, sf_dir).select("score", "quantity", "tags"), "orders")).select("column")
 
@@ -248,15 +276,34 @@ def _(spark, sf_dir):
     return made.select("signature.kind", F.array_join("columns", ",").alias("cols"), "signature.value_type")
 
 
-@register("quality_status", "SELECT 'orders' AS \"table\", 'fail' AS status, 3::BIGINT AS n_issues")
+@register("quality_status", with_dirty(f"SELECT 'orders' AS \"table\", CASE WHEN bool_or(severity = 'fail') THEN 'fail' ELSE 'warn' END AS status, count(*) + (SELECT CASE WHEN count(*) > count(DISTINCT (tags, quantity)) THEN 1 ELSE 0 END FROM dirty) AS n_issues FROM ({_EVERY}) WHERE \"column\" IN ('tags', 'quantity')"))
 def _(spark, sf_dir):
     return treat.quality_status(rubric.issues(dirty(spark, sf_dir).select("tags", "quantity"), "orders")).select("table", "status", F.size("issues").cast("long").alias("n_issues"))
 
 
-@register("recheck", "SELECT CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS \"column\" WHERE FALSE")
+_CLEANED = ["customer_id", "tags", "quantity", "status", "amount", "noise", "formula", "zip", "start_date"]
+
+
+@register("recheck", with_dirty("SELECT 'duplicate_keys' AS category, 'customer_id' AS \"column\" FROM dirty HAVING count(customer_id) > count(DISTINCT customer_id)"))
 def _(spark, sf_dir):
-    df = dirty(spark, sf_dir).select("tags", "quantity", "status", "amount", "noise", "formula")
-    return treat.clean(df, "orders")[2].select("category", "column")
+    return treat.clean(dirty(spark, sf_dir).select("id", *_CLEANED), "orders").unresolved.where("column <> 'id'").select("category", "column")
+
+
+@register("clean_table", with_dirty("SELECT CASE WHEN id NOT IN (999, 9999) THEN id END AS id, CASE WHEN lower(status) IN ('tbd', '9999') THEN NULL ELSE status END AS status, 'red,blue' AS tags, lpad(zip, 5, '0') AS zip, CASE WHEN start_date BETWEEN '1900' AND '2028' THEN start_date END AS start_date FROM dirty"))
+def _(spark, sf_dir):
+    return treat.clean(dirty(spark, sf_dir).select("id", "status", "tags", "zip", "start_date"), "orders").table.withColumn("id", F.col("id").cast("long"))
+
+
+@register("cleaning_log", "SELECT 'orders' AS table_name, count(*) AS row_count_before, count(*) AS row_count_after, 'kept' AS row_check, 'pass' AS status, CASE WHEN count(*) FILTER (WHERE o_orderkey % 29 = 0) > 0 THEN 'delimiter_mix:tags, placeholder_tokens:status' ELSE 'delimiter_mix:tags' END AS resolved FROM orders")
+def _(spark, sf_dir):
+    log = treat.clean(dirty(spark, sf_dir).select("status", "tags", (F.col("id") + 0.5).alias("line")), "orders").log
+    return log.select("table_name", "row_count_before", "row_count_after", "row_check", "status", F.array_join("issues_resolved", ", ").alias("resolved"))
+
+
+@register("repair_header", "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)")
+def _(spark, sf_dir):
+    raw = read(spark, sf_dir, "orders").selectExpr("CASE o_orderkey % 10 WHEN 3 THEN 'Order Key' WHEN 4 THEN NULL ELSE CAST(o_orderkey AS STRING) END AS `Order Key`", "CASE o_orderkey % 10 WHEN 3 THEN 'STATUS' WHEN 4 THEN NULL ELSE o_orderstatus END AS STATUS")
+    return treat.repair_header(raw)
 
 
 # --- enrichment ------------------------------------------------------------------------------------------------
@@ -281,9 +328,11 @@ def _(spark, sf_dir):
     return enrich.simplify_labels(view(spark, sf_dir, JOBS).select("job_id", "size"), "size")[0]
 
 
-@register("cardinality_candidates", with_jobs("SELECT 'industry' AS \"column\", count(DISTINCT industry) AS \"distinct\", count(*) AS rows FROM jobs"))
+@register("cardinality_candidates", with_jobs(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\", count(*) AS rows, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM jobs ORDER BY v LIMIT 10)) AS samples FROM jobs HAVING count(DISTINCT {c}) >= 15 AND count(DISTINCT {c}) / count(*) BETWEEN 0.03 AND 0.9" for c in ("industry", "founders", "segment"))).replace("AS industry, c_mktsegment", "AS industry, 'team ' || CAST(c_custkey // 5 AS STRING) AS founders, c_mktsegment"))
 def _(spark, sf_dir):
-    return enrich.cardinality_candidates(to_long(view(spark, sf_dir, JOBS), "jobs", ["industry", "job_id", "segment"])).select("column", "distinct", "rows")
+    jobs = view(spark, sf_dir, JOBS).withColumn("founders", F.concat(F.lit("team "), F.expr("job_id div 5")))
+    found = enrich.cardinality_candidates(to_long(jobs, "jobs", ["industry", "founders", "job_id", "segment"]))
+    return found.select("column", "distinct", "rows", F.array_join("samples", ",").alias("samples"))
 
 
 @register("apply_mapping", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'industry' WHEN 'MACHINERY' THEN 'industry' WHEN 'HOUSEHOLD' THEN 'home' END AS sector FROM customer")
@@ -327,14 +376,48 @@ def _(spark, sf_dir):
     return view(spark, sf_dir, JOBS).select("job_id", *(c.alias(n) for n, c in enrich.keyword_flags(F.col("description")).items()))
 
 
-@register("seniority", with_jobs("SELECT job_id, CASE job_id % 5 WHEN 0 THEN 'Senior' WHEN 2 THEN 'Junior' WHEN 3 THEN 'Senior' ELSE 'Not specified' END AS level FROM jobs"))
+_LEVELS = "CASE p_partkey % 7 WHEN 0 THEN 'Data Analyst II' WHEN 1 THEN 'Sr Data Scientist' WHEN 2 THEN 'Analyst, Israel' WHEN 3 THEN 'Associate' WHEN 4 THEN 'Director' WHEN 5 THEN 'Jr. Engineer' ELSE 'Baker I ' END"
+
+
+@register("seniority", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Senior' WHEN 3 THEN 'Junior' WHEN 5 THEN 'Junior' WHEN 6 THEN 'Junior' ELSE 'Not specified' END AS level FROM part")
 def _(spark, sf_dir):
-    return view(spark, sf_dir, JOBS).select("job_id", enrich.seniority(F.col("title")).alias("level"))
+    return read(spark, sf_dir, "part").selectExpr("p_partkey", f"{_LEVELS} AS title").select("p_partkey", enrich.seniority(F.col("title")).alias("level"))
 
 
-@register("transformation_candidates", "SELECT * FROM (VALUES ('range_decomposition', 'salary'), ('range_decomposition', 'size'), ('label_simplification', 'size'), ('categorical_consolidation', 'industry'), ('job_title_categorization', 'title'), ('company_age', 'founded'), ('same_state_flag', 'location,headquarters'), ('skill_keywords', 'description'), ('seniority_flag', 'title')) t(kind, cols)")
+@register("transformation_candidates", with_jobs("SELECT kind, cols FROM (SELECT 'range_decomposition' AS kind, 'salary' AS cols, TRUE AS ok FROM jobs UNION ALL SELECT 'range_decomposition', 'size', count(*) FILTER (WHERE regexp_matches(size, '\\d+ to \\d+|\\d+\\+')) >= 0.8 * count(*) FROM jobs UNION ALL SELECT 'label_simplification', 'size', count(*) FILTER (WHERE size LIKE '% employees') >= 0.8 * count(*) FROM jobs UNION ALL SELECT 'categorical_consolidation', 'industry', count(DISTINCT industry) >= 15 AND count(DISTINCT industry) / count(*) BETWEEN 0.03 AND 0.9 FROM jobs UNION ALL SELECT 'categorical_consolidation', 'founded', FALSE FROM jobs UNION ALL SELECT 'job_title_categorization', 'title', count(title) > 0 FROM jobs UNION ALL SELECT 'company_age', 'founded', count(TRY_CAST(founded AS INTEGER)) > 0 FROM jobs UNION ALL SELECT 'same_state_flag', 'location,headquarters', TRUE FROM jobs UNION ALL SELECT 'skill_keywords', 'description', bool_or(contains(lower(description), 'python') OR contains(lower(description), 'excel')) FROM jobs UNION ALL SELECT 'seniority_flag', 'title', bool_or(contains(lower(title), 'senior') OR contains(lower(title), 'junior')) FROM jobs) WHERE ok GROUP BY ALL"))
 def _(spark, sf_dir):
-    return enrich.candidates(view(spark, sf_dir, JOBS).drop("nation", "founded").withColumn("founded", F.lit("1990")), "jobs").select("kind", F.array_join("columns", ",").alias("cols"))
+    return enrich.candidates(view(spark, sf_dir, JOBS).drop("nation"), "jobs").select("kind", F.array_join("columns", ",").alias("cols"))
+
+
+_MAPPING = "SELECT DISTINCT p_brand AS raw_value, 'g' || CAST(length(p_brand) AS STRING) AS \"group\" FROM part WHERE p_partkey % 10 <> 0"
+
+
+@register("mapping_complete", f"SELECT NOT EXISTS (SELECT p_brand FROM part WHERE p_brand NOT IN (SELECT raw_value FROM ({_MAPPING}))) AS complete")
+def _(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    mapping = part.where("p_partkey % 10 <> 0").select(F.col("p_brand").alias("raw_value"), F.concat(F.lit("g"), F.length("p_brand")).alias("group")).distinct()
+    return spark.createDataFrame([(enrich.mapping_complete(part, "p_brand", mapping),)], "complete boolean")
+
+
+@register("latest_mapping", "SELECT DISTINCT p_brand AS raw_value, max(p_size % 4) OVER () AS version FROM part QUALIFY p_size % 4 = max(p_size % 4) OVER ()")
+def _(spark, sf_dir):
+    versions = read(spark, sf_dir, "part").select(F.lit("brand").alias("base_name"), F.col("p_brand").alias("raw_value"), (F.col("p_size") % 4).alias("version")).distinct()
+    return enrich.latest_mapping(versions, "brand").select("raw_value", "version")
+
+
+@register("undecided", "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment > 'C' AND c_custkey % 3 <> 0")
+def _(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    found = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("table"))
+    statuses = _statuses(spark, sf_dir).withColumn("source_folder", F.lit("f"))
+    return enrich.undecided(found, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("candidate_id")), statuses).select("id")
+
+
+@register("surfaced", "SELECT r_name AS \"table\", 'average by ' || lower(r_name) AS question FROM region")
+def _(spark, sf_dir):
+    regions = read(spark, sf_dir, "region")
+    found = regions.select(F.col("r_name").alias("table"), F.array(F.lower("r_name")).alias("columns"), F.array(F.lit("nowhere")).alias("tags"))
+    return enrich.surfaced(found, regions.select(F.concat(F.lit("average by "), F.lower("r_name")).alias("question"))).select("table", "question")
 
 
 # --- profiles, keys, joins -------------------------------------------------------------------------------------
@@ -348,7 +431,7 @@ def _(spark, sf_dir):
     return profile.numeric_profile(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_linenumber"])
 
 
-@register("profile_categorical", "WITH v AS (SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS rank, count(*) OVER (PARTITION BY \"column\") AS \"distinct\", sum(count) OVER (PARTITION BY \"column\")::BIGINT AS rows FROM v) SELECT \"column\", CAST(rank AS INTEGER) AS rank, value, count, \"distinct\", rows, FALSE AS high_cardinality FROM r WHERE rank <= 5")
+@register("profile_categorical", "WITH v AS (SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS rank, count(*) OVER (PARTITION BY \"column\") AS \"distinct\", sum(count) OVER (PARTITION BY \"column\")::BIGINT AS rows FROM v) SELECT \"column\", CAST(rank AS INTEGER) AS rank, value, count, \"distinct\", rows, 0::BIGINT AS nulls, FALSE AS high_cardinality FROM r WHERE rank <= 5")
 def _(spark, sf_dir):
     return profile.categorical_profile(read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
@@ -389,6 +472,114 @@ def _(spark, sf_dir):
     return profile.table_metadata({t: read(spark, sf_dir, t) for t in KEYED}).select("table", "rows")
 
 
+@register("profile_table", "SELECT 0 AS pos, 'o_orderkey' AS \"column\", 'numeric' AS kind, count(*) AS rows, 0::BIGINT AS nulls, count(DISTINCT o_orderkey) AS \"distinct\", max(o_orderkey)::DOUBLE AS max, NULL AS top FROM orders UNION ALL SELECT 1, 'status', 'categorical', count(*), count(*) FILTER (WHERE o_orderkey % 9 = 0), count(DISTINCT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END), NULL, (SELECT string_agg(v || '=' || n, ',' ORDER BY n DESC, v) FROM (SELECT o_orderstatus AS v, count(*) AS n FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1)) FROM orders")
+def _(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS status")
+    top = F.array_join(F.transform("top_values", lambda x: F.concat(x["value"], F.lit("="), x["count"])), ",")
+    return profile.profile_table(orders).select("pos", "column", "kind", "rows", "nulls", "distinct", "max", top.alias("top"))
+
+
+@register("uncovered", "SELECT * FROM (VALUES ('orders'), ('customer')) t(\"table\") WHERE \"table\" NOT IN (SELECT CASE WHEN count(*) > 0 THEN 'customer' END FROM customer)")
+def _(spark, sf_dir):
+    stored = read(spark, sf_dir, "customer").select(F.lit("customer").alias("table"))
+    return profile.uncovered(["orders", "customer"], stored, spark)
+
+
+@register("table_warnings", f"SELECT c_mktsegment AS table_name, w.warning FROM (SELECT c_mktsegment, CASE WHEN c_mktsegment < 'C' THEN 'fail' WHEN c_mktsegment < 'I' THEN 'warn' ELSE 'pass' END AS status, count(*) AS n FROM customer GROUP BY 1) CROSS JOIN (VALUES ('unresolved fail issues'), ('source changed'), ('never checked')) w(warning) WHERE (w.warning = 'unresolved fail issues' AND status = 'fail') OR (w.warning = 'source changed' AND n % 2 = 0) OR (w.warning = 'never checked' AND status = 'pass')")
+def _(spark, sf_dir):
+    s = _statuses(spark, sf_dir)
+    fresh = s.select("table_name", F.when(F.col("n") % 2 == 0, "changed").otherwise("unchanged").alias("state"))
+    return status.warnings(s.select("table_name"), s.where("status <> 'pass'").select("table_name", "status"), fresh)
+
+
+@register("audit_history", "SELECT ts, CASE WHEN event_id % 2 = 0 THEN 'cleaning' ELSE 'decision' END AS event, event_type AS what FROM events WHERE user_id % 3 = 1")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("table_name", F.concat(F.lit("T"), F.col("user_id") % 3))
+    cleaning = e.where("event_id % 2 = 0").select("ts", F.array(F.struct("table_name", F.col("event_type").alias("status"))).alias("files"))
+    return status.audit_history(cleaning, e.where("event_id % 2 <> 0").select("ts", "table_name", F.col("event_type").alias("response")), "t1").select("ts", "event", "what")
+
+
+@register("invalidate", "SELECT n_nationkey FROM nation WHERE n_name <> 'n7' AND n_nationkey % 5 <> 2 OR n_nationkey % 5 = 3")
+def _(spark, sf_dir):
+    # Rows without a table name stay.
+    rows = read(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE WHEN n_nationkey % 5 = 2 THEN 'gone' WHEN n_nationkey % 5 <> 3 THEN n_name END AS table_name")
+    return publish.invalidate(rows, "gone").select("n_nationkey")
+
+
+@register("publish_and_rollback", "SELECT 'first' AS generation, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'second', count(*) FROM orders UNION ALL SELECT 'rolled back', count(*) FROM orders WHERE o_orderkey % 2 = 0")
+def _(spark, sf_dir):
+    orders, table, seen = read(spark, sf_dir, "orders").select("o_orderkey"), f"published_{uuid.uuid4().hex[:8]}", []
+    publish.publish(orders.where("o_orderkey % 2 = 0"), table)
+    seen.append(("first", spark.table(table).count()))
+    publish.publish(orders, table)
+    seen.append(("second", spark.table(table).count()))
+    publish.rollback(spark, table)
+    seen.append(("rolled back", spark.table(table).count()))
+    for name in (table, f"{table}_previous"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.createDataFrame(seen, "generation string, n long")
+
+
+def _file(df: DataFrame, name: str, **options) -> str:
+    """The rows as CSV files with headers in the folder that all share."""
+    path = f"{publish.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(header=True, **options).csv(path)
+    return path
+
+
+_CSV = "SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'a, \"b\"' WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE o_orderstatus END AS note, CAST(o_totalprice AS STRING) AS price FROM orders"
+
+
+@register("csv_audit", f"SELECT id, CASE WHEN note <> 'N/A' THEN note END AS note FROM ({_CSV})")
+def _(spark, sf_dir):
+    return files.read_csv_audit(spark, _file(view(spark, sf_dir, _CSV), "audit", escape='"')).select("id", "note")
+
+
+@register("csv_typed", f"SELECT CAST(id AS BIGINT) AS id, note, round(CAST(price AS DOUBLE), 2) AS price FROM ({_CSV})")
+def _(spark, sf_dir):
+    return files.load_csv(spark, _file(view(spark, sf_dir, _CSV), "typed", escape='"')).withColumn("price", F.round("price", 2))
+
+
+@register("csv_line_issues", "SELECT 'ragged_rows' AS category, count(*) FILTER (WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0) AS affected FROM orders UNION ALL SELECT 'unmatched_quote', count(*) FILTER (WHERE o_orderkey % 89 = 0 AND o_orderkey % 83 <> 0) FROM orders UNION ALL SELECT 'repeated_header', count(*) FILTER (WHERE o_orderkey % 83 = 0) FROM orders UNION ALL SELECT 'header_special', 1 UNION ALL SELECT 'header_issues', 1")
+def _(spark, sf_dir):
+    raw = "CASE WHEN o_orderkey % 83 = 0 THEN 'id,na#me' WHEN o_orderkey % 89 = 0 THEN concat(o_orderkey, ',a\"b') WHEN o_orderkey % 97 = 0 THEN concat(o_orderkey, ',a,b') ELSE concat(o_orderkey, ',a') END AS value"
+    rows = read(spark, sf_dir, "orders").selectExpr(raw)
+    path = f"{publish.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit("id,na#me").alias("value")).unionByName(rows).coalesce(1).write.text(path)  # one file: its header is its first line
+    return lines.line_issues(lines.read_lines(spark, path)).groupBy("category").agg(F.sum("affected").alias("affected"))
+
+
+@register("json_fields", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, sf_dir):
+    return logs.json_fields(read(spark, sf_dir, "events"), "props", {"k": "bigint"}).select("event_id", "k")
+
+
+@register("text_helpers", "SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') AS slug, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS plain, CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END::DOUBLE AS alike FROM part")
+def _(spark, sf_dir):
+    alike = text.jaccard(F.array(F.lower("p_type")), F.array(F.lit("economy")))
+    return read(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_brand")).alias("slug"), text.normalised(F.col("p_brand")).alias("plain"), alike.alias("alike"))
+
+
+@register("rank_two_metrics", with_dirty("SELECT is_active, count(*) AS n, round(avg(points), 4) AS avg_points, round(stddev_samp(points), 4) AS stddev_points, round(avg(CAST(customer_id AS DOUBLE)), 4) AS avg_customer, round(stddev_samp(CAST(customer_id AS DOUBLE)), 4) AS stddev_customer FROM dirty WHERE points IS NOT NULL AND customer_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 5"))
+def _(spark, sf_dir):
+    rows = dirty(spark, sf_dir).withColumn("customer", F.col("customer_id").cast("double"))
+    return shapes.rank_groups(rows, ["is_active"], {"points": "points", "customer": "customer"})
+
+
+@register("chart_shape", "SELECT CASE WHEN count(DISTINCT c_mktsegment) > 5 THEN 'bar' ELSE 'pie' END AS pie, CASE WHEN count(DISTINCT c_nationkey) > 5 THEN 'bar' ELSE 'pie' END AS wide_pie, 'c_mktsegment' AS category, 'total' AS measure FROM customer")
+def _(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    grouped = c.groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("total"))
+    wide = c.groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.sum("c_acctbal").alias("total"))
+    return spark.createDataFrame([(charts.validate_shape(grouped, "pie")[0], charts.validate_shape(wide, "pie")[0], *charts.fallback_columns(grouped))], "pie string, wide_pie string, category string, measure string")
+
+
+@register("step_checklist", "SELECT conv_id, turn, role AS step, CASE WHEN turn % 3 = 0 THEN 'skipped' WHEN turn % 2 = 0 THEN 'done' ELSE 'failed' END AS outcome FROM conversations")
+def _(spark, sf_dir):
+    log = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), F.array(F.struct(F.col("role").alias("name"), (F.col("turn") % 2 == 0).alias("ok"), (F.col("turn") % 3 == 0).alias("skipped"))).alias("steps"))
+    return logs.step_checklist(log, "key").select("key.conv_id", "key.turn", "step", "outcome")
+
+
 @register("ingestion_registry", "SELECT user_id AS url, min(ts) AS first_fetched_at, max(ts) AS last_fetched_at, count(*) AS fetch_count FROM events GROUP BY user_id")
 def _(spark, sf_dir):
     attempts = read(spark, sf_dir, "events").select(F.col("user_id").alias("url"), "ts", F.col("event_type").alias("status"), F.col("props").alias("error"), F.lit("f").alias("folder"))
@@ -463,7 +654,7 @@ def _(spark, sf_dir):
     return shapes.disclosure(dirty(spark, sf_dir), ["is_active"], {"points": "points"}).drop("time_frame")
 
 
-@register("causal_rewrite", f"WITH runs AS ({RUNS}) SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Heat is associated with growth. Minimum sample of 5; statistically significant (Association only: this data doesn''t show a cause.)' WHEN 1 THEN 'Null values were excluded; growth occurred with joy (Association only: this data doesn''t show a cause.)' ELSE 'Plain' END AS answer FROM runs")
+@register("causal_rewrite", f"WITH runs AS ({RUNS}) SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Heat is associated with growth. 12 underlying rows were included in this ranking. A one-way ANOVA on x' WHEN 1 THEN 'Demand drives growth alongside joy. This result is grouped by month' || chr(10) || chr(10) || 'Note: this result shows a statistical association only — the data cannot establish that one variable caused another.' ELSE 'Plain' END AS answer FROM runs")
 def _(spark, sf_dir):
     return view(spark, sf_dir, RUNS).select("conv_id", "turn", stats.causal_rewrite(F.col("answer")).alias("answer"))
 
@@ -597,7 +788,7 @@ def _(spark, sf_dir):
 
 # --- run logs --------------------------------------------------------------------------------------------------
 
-@register("rule_fire_rates", f"WITH r AS (SELECT * FROM ({RUNS}) WHERE route <> 'other'), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE contains(lower(answer), '{p}')) AS fired, count(*) AS runs FROM r" for k, p in logs.DETECTORS.items()) + ") SELECT rule, fired, runs, round(fired / runs, 6) AS rate FROM c")
+@register("rule_fire_rates", f"WITH r AS (SELECT * FROM ({RUNS}) WHERE route <> 'other'), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {' OR '.join(f"contains(answer, '{p}')" for p in ps)}) AS fired, count(*) AS runs FROM r" for k, ps in logs.DETECTORS.items()) + ") SELECT rule, fired, runs, round(fired / runs, 6) AS rate FROM c")
 def _(spark, sf_dir):
     return logs.rule_fire_rates(view(spark, sf_dir, RUNS))
 
@@ -624,9 +815,11 @@ def _(spark, sf_dir):
     return logs.tables_touched(view(spark, sf_dir, RUNS), spark.createDataFrame([("orders",), ("part",)], "table string"), "conv_id")
 
 
-@register("min_sample_violations", f"SELECT conv_id, turn FROM ({RUNS}) WHERE FALSE")
+@register("min_sample_violations", f"SELECT conv_id, turn FROM ({RUNS}) WHERE conv_id % 4 = 0 AND turn % 2 = 0")
 def _(spark, sf_dir):
-    return logs.min_sample_violations(view(spark, sf_dir, RUNS).withColumn("question", F.lit("highest average"))).select("conv_id", "turn")
+    log = view(spark, sf_dir, RUNS).withColumn("question", F.when(F.col("turn") % 2 == 0, "highest average").otherwise("list all"))
+    log = log.withColumn("sql", F.when(F.col("conv_id") % 4 == 0, "SELECT o_custkey, avg(o_totalprice) FROM orders GROUP BY o_custkey").otherwise(F.col("sql")))
+    return logs.min_sample_violations(log).select("conv_id", "turn")
 
 
 @register("latest_run", f"SELECT 'question 3' AS question, max(conv_id * 1000 + turn) AS ts FROM ({RUNS}) WHERE question = 'question 3' HAVING count(*) > 0")
@@ -634,9 +827,11 @@ def _(spark, sf_dir):
     return logs.latest_run(view(spark, sf_dir, RUNS).withColumn("ts", F.expr("conv_id * 1000 + turn")), "question 3").select("question", "ts")
 
 
-@register("html_largest_table")
+@register("html_largest_table", "SELECT page_id, r AS row_no, CAST(page_id AS VARCHAR) || '|' || CASE r WHEN 0 THEN 'a & b' ELSE split_part(url, '/', 3) END AS cells FROM pages, (VALUES (0), (1)) v(r) WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 0, 'small' FROM pages WHERE page_id % 3 = 0")
 def _(spark, sf_dir):
-    return files.largest_tables(read(spark, sf_dir, "pages"))
+    small, large = "'<p>x<table><tr><td>small</td></tr></table>'", "'<table><tr><th>', page_id, '<th>a &amp; b</tr><tr><td>', page_id, '</td><td>', split_part(url, '/', 3), '</td></tr></table>'"
+    pages = read(spark, sf_dir, "pages").selectExpr("page_id", f"CASE WHEN page_id % 3 = 0 THEN {small} ELSE concat({small}, {large}) END AS html")
+    return files.largest_tables(pages).select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @register("infer_types", with_dirty("SELECT * FROM (VALUES ('id', 'bigint'), ('status', 'string'), ('quantity', 'bigint'), ('noise', 'double'), ('score', 'string')) t(\"column\", type)"))

@@ -76,6 +76,14 @@ def test_files(spark, tmp_path):
     assert len(files.checksums(spark, str(tmp_path / "a.csv")).first().checksum) == 64
 
 
+def test_encodings_and_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("id,name\n1,Müller\n2,Ñandú\n".encode("latin-1"))
+    assert [r.name for r in files.read_csv_audit(spark, str(tmp_path / "latin.csv")).orderBy("id").collect()] == ["Müller", "Ñandú"]
+    (tmp_path / "lines.csv").write_text('id,name\n1,"two\nlines, ""quoted"""\n2,b\n')
+    assert files.has_quoted_line_ends(spark, str(tmp_path / "lines.csv")) and not files.has_quoted_line_ends(spark, str(tmp_path / "latin.csv"))
+    assert [r.name for r in files.read_csv_audit(spark, str(tmp_path / "lines.csv")).orderBy("id").collect()] == ['two\nlines, "quoted"', "b"]
+
+
 def test_line_checks(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b'\xef\xbb\xbfid, Name ,na#me\n1,"x,y\n2,b,c\n' + b"id, Name ,na#me\n" + b"\xff,b,c\n3,b\n,,\n")
     got = lines.line_issues(lines.read_lines(spark, str(tmp_path / "bad.csv")))
@@ -90,6 +98,10 @@ def test_publish_and_rollback(spark):
     assert spark.table("pub_t").count() == 3 and publish.rollback(spark, "pub_t") and spark.table("pub_t").count() == 5
     assert publish.capped(spark.range(201))[1] and not publish.capped(spark.range(200))[1]
     assert not publish.rollback(spark, "nothing_here")
+    spark.sql("ALTER TABLE pub_t RENAME TO pub_t_gone")  # a swap broke off: there is a previous table only
+    assert publish.repair(spark, "pub_t") and spark.table("pub_t").count() == 3 and not publish.repair(spark, "pub_t")
+    rows = spark.createDataFrame([("a",), (None,), ("b",)], "table_name string")
+    assert publish.invalidate(rows, "a").count() == 2
 
 
 def test_statistics(spark):
@@ -99,7 +111,7 @@ def test_statistics(spark):
     close = spark.createDataFrame([("a", 3.51, 2.5, 20), ("b", 3.49, 2.5, 20)], "g string, m double, s double, n long")
     assert stats.anova_p(close, "m", "s", "n")[1] > 0.9
     assert stats.anova_p(close.limit(1), "m", "s", "n") is None
-    assert stats.mean_columns(["avg_price", "n"]) == ["avg_price"] and stats.count_columns(["avg_price", "n"]) == ["n"]
+    assert stats.mean_columns(["avg_price", "n"]) == ["avg_price"] and stats.count_columns(["avg_price", "n", "sample_size", "num_rows", "rows"]) == ["n", "sample_size", "num_rows"]
 
 
 def test_charts(spark):
@@ -130,6 +142,32 @@ def test_treatment_rules(spark):
     assert treat.repair_header(head).count() == 1
 
 
+def test_median_and_mode(spark):
+    import statistics
+
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 4.0, 4.0, 2.0, None], [float(i * 7 % 101) for i in range(300)]):
+        known = [v for v in values if v is not None]
+        assert treat.median(spark.createDataFrame([(v,) for v in values], "v double"), "v") == statistics.median(known)
+    assert treat.median(spark.createDataFrame([(None,)], "v double"), "v") is None
+    tied = spark.createDataFrame([("a",)] * 5 + [("b",)] * 5 + [(None,)], "v string")
+    assert treat.fill_mode_or_unknown(tied, "v").groupBy("v").count().where("v = 'b'").first()["count"] == 6
+
+
+def test_clean_fills_pads_splits_and_logs(spark):
+    rows = [(i, None if i == 3 else float(i), None if i == 4 else "gold", "2134" if i == 5 else "02134", "Austin, TX") for i in range(15)]
+    made = treat.clean(spark.createDataFrame(rows, "line long, points double, tier string, zip string, place string"), "t", composites={"place": ("^(.*), ([A-Z]{2})$", ("city", "state"))})
+    assert made.table.where("points is null or tier is null or zip <> '02134' or city <> 'Austin' or state <> 'TX'").count() == 0
+    log = made.log.first()
+    assert (log.row_count_before, log.row_count_after, log.row_check) == (15, 15, "kept") and "lost_leading_zeros:zip" in log.issues_resolved
+
+
+def test_features_need_a_signal(spark):
+    plain = spark.createDataFrame([("Baker", "long ago", "we bake")], "job_title string, founded string, description string")
+    assert [k for k, _ in enrich.feature_candidates(plain)] == ["job_title_categorization"]
+    full = spark.createDataFrame([("Sr Baker", "1990", "python", "Austin, TX", "Salem, MA")], "role string, year_founded string, summary string, city string, hq string")
+    assert dict(enrich.feature_candidates(full)) == {"job_title_categorization": ["role"], "company_age": ["year_founded"], "same_state_flag": ["city", "hq"], "skill_keywords": ["summary"], "seniority_flag": ["role"]}
+
+
 def test_status_and_logs(spark):
     assert status.parse_metric("define metric ltv as sum(x) -- value") == ("ltv", "sum(x)", "value") and status.parse_metric("hello") is None
     got = status.apply_metric(spark.range(4).withColumn("g", F.col("id") % 2), ["g"], "total", "sum(id)")

@@ -35,7 +35,7 @@ def rows(frame):
     return columns, sorted(tuple(map(plain, r)) for r in frame[columns].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLE_SQL) - {"box_summary", "cardinality_candidates", "transformation_candidates", "rubric_all", "histogram"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLE_SQL)))
 def test_query_equals_sql(spark, db, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(ORACLE_SQL[name]).df())
 
