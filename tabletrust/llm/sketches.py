@@ -17,8 +17,9 @@ from tabletrust.llm.common import SPACE, saved, unused
 
 K = 128
 SHINGLE = 5
-#: Bytes of texts, about, in a range of documents; each range is one window. At least so many ranges a shuffle partition.
-RANGE_BYTES, RANGES = 64 << 20, 4
+#: Bytes of texts, about, in a range of documents at most; each range is one window. So many ranges a shuffle partition, so
+#: that partitions are alike, unless that makes ranges of less than a 32nd of those bytes.
+RANGE_BYTES, RANGES = 64 << 20, 16
 #: The width of the hash space, for counting.
 SPACE_64 = float(2**64)
 
@@ -102,7 +103,8 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     keyed = docs.withColumn(key, F.struct(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("i"), F.xxhash64("text").alias("h")))
     order = saved(keyed.select(key, F.octet_length("text").cast("long").alias("size")), "order")
     whole = order.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max(key).alias("top")).first()
-    ranges = max(ceil((whole.bytes or 0) / range_bytes), RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size, partitions = whole.bytes or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, ceil(size / range_bytes), min(RANGES * partitions, ceil(32 * size / range_bytes)))
     drawn = order.where(F.pmod(F.xxhash64(key), F.lit(max(1, whole.n // ranges))) == 0).select(f"{key}.*").distinct().orderBy("i", "h")
     cuts = [(r.i, r.h) for r in drawn.collect()]  # about one for every range_bytes
     top = F.struct(F.lit(whole.top.i if whole.n else 0).cast("long").alias("i"), F.lit(whole.top.h if whole.n else 0).cast("long").alias("h"))
