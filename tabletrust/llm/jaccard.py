@@ -41,6 +41,8 @@ SALTS = [0, 0x5555AAAA0F0FC3C3, 0xA7C3D1E5B9F08642, 0xF1D2C3B4A5968778]
 #: A token in so many documents of one block of BLOCK documents counts as common; at most COMMON such tokens, the most
 #: frequent ones, are put last in the order. The order changes the work only, never the result.
 FREQUENT, BLOCK, COMMON = 2, 10_000, 1 << 20
+#: A block's tokens are counted in ranges by so many leading bits.
+RANGE_BITS = 3
 WORD_MEMORY = 120_000
 #: Members of a group, about, and tokens of its members together; a larger set is alone with few others.
 GROUP, GROUP_TOKENS = 64, 1 << 20
@@ -112,26 +114,31 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.R
 
 def profiled(docs: DataFrame) -> DataFrame:
     """Of each document: doc_id, n (set size), key (of the whole set) and the smallest hash under each order; and, in rows
-    without a key, tokens that a block holds often, with their counts."""
+    without a key, tokens that a block holds often, with their counts, taken by ranges of hashes to hold little at once."""
+    names = ["doc_id", "n", "key", "least", "token", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.array(SALTS, np.uint64)
-        for part in parts(batches):
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            n = [len(s) for s in sets]
-            keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            least = [[int((s ^ x).min().astype(np.int64)) for x in salts] if len(s) else [] for s in sets]
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            often = counts >= FREQUENT
-            tokens, counts = tokens[often].view(np.int64), counts[often]
-            k, m = len(sets), len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part.column(0).to_pylist() + [None] * m, pa.int64()), pa.array(n + [0] * m, pa.int64()), pa.array(keys + [None] * m, pa.string()),
-                    pa.array(least + [None] * m, pa.list_(pa.int64())), pa.array(np.concatenate([np.zeros(k, np.int64), tokens])), pa.array(np.concatenate([np.zeros(k, np.int64), counts])),
-                ],
-                names=["doc_id", "n", "key", "least", "token", "seen"],
-            )
+        for block in parts(batches):
+            ranges: list[list[np.ndarray]] = [[] for _ in range(1 << RANGE_BITS)]
+            for part in parts(iter([block]), 512):
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                n = [len(s) for s in sets]
+                keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
+                least = [[int((s ^ x).min().astype(np.int64)) for x in salts] if len(s) else [] for s in sets]
+                tokens = np.concatenate(sets)
+                first = tokens >> np.uint64(64 - RANGE_BITS)
+                for k, found in enumerate(ranges):
+                    found.append(tokens[first == k])
+                no = pa.array(np.zeros(len(sets), np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(least, pa.list_(pa.int64())), no, no], names=names)
+            while ranges:
+                tokens, counts = np.unique(np.concatenate(ranges.pop()), return_counts=True)
+                often = counts >= FREQUENT
+                tokens, counts = tokens[often].view(np.int64), counts[often].astype(np.int64)
+                m = len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64())), pa.array(tokens), pa.array(counts)], names=names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key string, least array<long>, token long, seen long")
 
