@@ -149,8 +149,8 @@ def oracle(mix: Mix) -> str:
 {name}_b AS (SELECT *, weight > 0 AND cap * w0 <= weight * (budget - c0) AS full_up FROM {name}_a),
 {name}_c AS (SELECT *, COALESCE(SUM(CASE WHEN full_up THEN cap END) OVER ({part}), 0) AS kept, SUM(CASE WHEN NOT full_up THEN weight END) OVER ({part}) AS open_w FROM {name}_b),
 {name}_d AS (SELECT *, CASE WHEN full_up OR weight = 0 THEN 0 ELSE (weight * (budget - kept)) // nullif(open_w, 0) END AS dealt FROM {name}_c),
-{name}_e AS (SELECT *, budget - kept - SUM(dealt) OVER ({part}) AS rest, SUM(CASE WHEN NOT full_up AND weight > 0 THEN 1 ELSE 0 END) OVER ({part} ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at FROM {name}_d),
-{name} AS (SELECT {keys}, CAST(CASE WHEN full_up THEN cap WHEN weight > 0 AND at <= rest THEN dealt + 1 ELSE dealt END AS BIGINT) AS share FROM {name}_e)"""
+{name}_e AS (SELECT *, budget - kept - SUM(dealt) OVER ({part}) AS rest, SUM(CASE WHEN NOT full_up AND weight > 0 THEN 1 ELSE 0 END) OVER ({part} ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM {name}_d),
+{name} AS (SELECT {keys}, CAST(CASE WHEN full_up THEN cap WHEN weight > 0 AND place <= rest THEN dealt + 1 ELSE dealt END AS BIGINT) AS share FROM {name}_e)"""
 
     return f"""
 WITH named AS (SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,

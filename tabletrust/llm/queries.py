@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletrust.llm import html, jaccard, languages, mixing, pieces, pii, quality, rules, sketches, urls
+from tabletrust.llm import html, jaccard, languages, lexical, mixing, pieces, pii, quality, rules, sketches, tokenbin, urls, whitening
 from tabletrust.llm.common import fold, read
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -73,5 +73,25 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(docs, PII_KEY, count="n_entities")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op9_pii": op9_pii, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
-ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whitened(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
+#: Ends each document.
+END_ID = 2
+
+
+def op13_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenbin.new_folder(spark)
+    tokenbin.write(read(spark, sf_dir, "documents"), folder, BYTE_MODEL, END_ID)
+    return tokenbin.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_whitening": op12_whitening, "op13_token_binary": op13_token_binary, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op9_pii": op9_pii, "op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op4_mixing": op4_mixing, "op5_html_extraction": op5_html_extraction, "op6_url_filter": op6_url_filter, "op3_fingerprints": op3_fingerprints, "op2_sentencepiece": op2_sentencepiece}
+ORACLE_SQL = {"op4_mixing": mixing.oracle(MIX), "op11_lexical_search": lexical.oracle(50)}
