@@ -50,7 +50,9 @@ BLOCK, FILE_BYTES = 1 << 14, 256 << 20
 #: Ids that a reader gives in one batch, about.
 BATCH_IDS = 1 << 20
 #: Entries of a generation of the memories of cuts and their pieces, and characters up to which one is remembered.
-CUT_MEMORY, SHORT = 300_000, 48
+CUT_MEMORY, SHORT = 250_000, 48
+#: Marks of keys that were seen once; half of them marked, they are cleared.
+MARKS = 1 << 22
 #: A space that white space follows: then texts are cut with CUT, by a slower way.
 ODD, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 # Fixed value: the pattern by which byte-level tokenizers cut texts. It is used for characters below PLAIN only.
@@ -97,25 +99,34 @@ def bits_for(size: int) -> int:
 
 
 class Memory:
-    """What was used lately, in two generations of CUT_MEMORY entries, about: `now` holds all keys of the current part."""
+    """What was used lately, in two generations of CUT_MEMORY entries, about. A key is kept from the second time it is seen,
+    as most that are new never come again; `now` also holds the new keys of the current part until it is settled."""
 
     def __init__(self):
-        self.now, self.before = {}, {}
+        self.now, self.before, self.seen, self.marked = {}, {}, bytearray(MARKS), 0
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that aren't remembered; those of the older generation become young again."""
         new = keys.difference(self.now)
-        again = {k: ids for k in new if (ids := self.before.get(k)) is not None}
-        self.now.update(again)
-        return [k for k in new if k not in again]
+        again = self.before.keys() & new
+        self.now.update((k, self.before[k]) for k in again)
+        return list(new - again)
 
     def settle(self, new: list[str]) -> None:
-        """After a part: long keys go, and a full generation becomes the older one."""
+        """After a part: its new keys go unless they have been seen before; a full generation becomes the older one."""
+        seen, now = self.seen, self.now
         for k in new:
-            if len(k) > SHORT:
-                del self.now[k]
-        if len(self.now) >= CUT_MEMORY:
-            self.now, self.before = {}, self.now
+            mark = hash(k) % MARKS
+            if not seen[mark]:
+                seen[mark] = 1
+                self.marked += 1
+                del now[k]
+            elif len(k) > SHORT:
+                del now[k]
+        if self.marked > MARKS // 2:
+            self.seen, self.marked = bytearray(MARKS), 0
+        if len(now) >= CUT_MEMORY:
+            self.now, self.before = {}, now
 
 
 class Encoder:
