@@ -3,7 +3,8 @@
 Documents are sets of hashed five-word shingles; two link when their Jaccard similarity is 0.8 or more, and linked
 documents form components. The join is exact up to collisions of 64-bit hashes.
 
-1. Equal sets collapse to their smallest document. All further work is on these representatives.
+1. Equal sets collapse to one text of their smallest document. All further work is on these representatives. A text is known
+   by a hash of its id and itself, and comes once, however often its row is repeated or its id is used for others.
 2. Representatives with the same smallest hash, under several orders, share a bucket. Each is compared with one leader of
    its bucket, and links make families that lie within one component. A bucket of any size costs one comparison a member.
 3. Representatives are partitioned into groups of similar ones: the members of a bucket, dealt to groups of about GROUP,
@@ -113,9 +114,9 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.R
 
 
 def profiled(docs: DataFrame) -> DataFrame:
-    """Of each document: doc_id, n (set size), key (of the whole set) and the smallest hash under each order; and, in rows
+    """Of each row: doc_id, row (its hash), n (set size), key (of the whole set) and the smallest hash under each order; and, in rows
     without a key, tokens that a block holds often, with their counts, taken by ranges of hashes to hold little at once."""
-    names = ["doc_id", "n", "key", "least", "token", "seen"]
+    names = ["doc_id", "row", "n", "key", "least", "token", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.array(SALTS, np.uint64)
@@ -131,18 +132,40 @@ def profiled(docs: DataFrame) -> DataFrame:
                 for k, found in enumerate(ranges):
                     found.append(tokens[first == k])
                 no = pa.array(np.zeros(len(sets), np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(least, pa.list_(pa.int64())), no, no], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(least, pa.list_(pa.int64())), no, no], names=names)
             while ranges:
                 tokens, counts = np.unique(np.concatenate(ranges.pop()), return_counts=True)
                 often = counts >= FREQUENT
                 tokens, counts = tokens[often].view(np.int64), counts[often].astype(np.int64)
                 m = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64())), pa.array(tokens), pa.array(counts)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64())), pa.array(tokens), pa.array(counts)], names=names)
             pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key string, least array<long>, token long, seen long")
+    return docs.select("doc_id", "text", row_hash()).mapInArrow(run, "doc_id long, row long, n long, key string, least array<long>, token long, seen long")
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
+
+
+def representatives(sets: DataFrame) -> DataFrame:
+    """key, rep (the hash of a row), id (its doc_id, the smallest of the key), n, least and rows (how many are equal to it)."""
+    rows = sets.groupBy("key", "row").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("least").alias("least"))
+    first = rows.groupBy("key").agg(F.min_by(F.struct("row", "id", "rows", "n", "least"), F.struct("id", "row")).alias("r"))
+    return first.select("key", F.col("r.row").alias("rep"), "r.id", "r.n", "r.least", "r.rows")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id (the hash of a row) and text of the rows of docs; each representative comes once. Only where rows of some are
+    repeated, those are aggregated, each task's to one before they are shuffled."""
+    texts = docs.where("doc_id is not null and text is not null").select(row_hash().alias("doc_id"), "text")
+    repeated = reps.where("rows > 1").select(F.col("rep").alias("doc_id"))
+    if repeated.isEmpty():
+        return texts
+    repeated = bounded(repeated)
+    once = saved(texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "repeated_texts")
+    return texts.join(repeated, "doc_id", "left_anti").unionByName(once)
+
 def common_tokens(profile: DataFrame, most: int = COMMON) -> np.ndarray:
     """The ascending hashes of the most common tokens, at most `most`."""
     top = profile.where("key is null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.col("seen").desc(), "token").limit(most)
@@ -310,8 +333,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included), for each row of docs.
 
     Null and empty texts, and texts without words, have no shingles and no links. Texts of any length are read whole. Rows
-    with the same id are one document, which links where any of its texts does; rows with a null id stay alone (component
-    null). An empty table gives no rows. Other columns of docs aren't read, whatever they are called.
+    with the same id are classed each by its own text, repeated rows alike; rows with a null id stay alone (component null).
+    An empty table gives no rows. Other columns of docs aren't read, whatever they are called.
     """
     return keyed_classes(docs).drop("key")
 
@@ -321,8 +344,8 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     profile = saved(profiled(docs), "profile")
     sets = profile.where("key is not null")
     linked = sets.where("n > 0 and doc_id is not null")
-    reps = saved(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")), "reps")
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    reps = saved(representatives(linked), "reps")
+    texts = texts_of(docs, reps)
 
     # 2. families by leaders: first under one order, then under the others where the families still differ
     buckets = buckets_of(reps)
@@ -363,8 +386,12 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     met = pairs.unionByName(alone).withColumn("doc_id", F.explode("docs")).drop("docs").join(placed.drop("n"), "doc_id")
     links = saved(links.unionByName(compared(saved(met, "met"), texts)), "links")
 
-    # 5. components of all links
-    final = grouped(reps, links).select("key", F.col("grp").alias("component_id"))
+    # 5. components of all links, named by their smallest id
+    found = saved(components(links), "roots")
+    of = found.join(reps.select(F.col("rep").alias("node"), "id"), "node")
+    smallest = saved(of.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
+    named = saved(found.join(bounded(smallest), "root").select(F.col("node").alias("rep"), "component_id"), "named")
+    final = reps.join(bounded(named), "rep", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(final, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "key")
 

@@ -107,6 +107,21 @@ def test_op1_blocks_shares_and_hot_nodes(spark, monkeypatch):
     assert {r.root for r in jaccard.components(star).collect()} == {0}
 
 
+def test_op1_repeated_ids(spark):
+    """Rows that are repeated or share their id, two near copies in all: the work follows the texts, not the rows' square."""
+    base = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(base), " ".join([*base[:-1], "end"]), " ".join(["start", *base[1:]])
+    took = []
+    for n in (200, 2000):
+        rows = [(1, a)] * n + [(2, b)] * n + [(2, c), (3, "of its own words and no other")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.time()
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect())
+        took.append(time.time() - began)
+        assert got == {(1, 96, 1): n, (2, 96, 1): n + 1, (3, 3, 3): 1}
+    assert took[1] < 2 * took[0] + 5
+
+
 def test_op1_survivors_rows(spark, odd, empty):
     """Rows without an id stay, each of them; of rows with one id one stays, and not the copy of another document."""
     assert sorted(((r.doc_id, r.text) for r in jaccard.survivors(odd).collect()), key=str) == sorted([(1, None), (2, ""), (3, "  \n\t "), (4, LONG), (None, "no id here"), (5, "the same text again and again"), (7, "🙂 é ﬁ ​ x")], key=str)
