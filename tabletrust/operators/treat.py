@@ -13,40 +13,48 @@ from pyspark.sql import types as T
 from tabletrust.functions import hints
 from tabletrust.functions.text import is_number, number, sanitized, strip, timestamp
 from tabletrust.operators import rubric
+from tabletrust.plans.ranks import quantiles
+from tabletrust.sources.publish import stored
 
 
 def median(values: DataFrame, column: str) -> float | None:
-    """The exact median of a numeric column: values are counted, ordered in ranges, and the one or two middle ones found by
-    the counts of the ranges, so that no task holds more than a range."""
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ordered = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    parts = ordered.groupBy("part").agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("low").collect()  # one row a range
-    total, found = sum(r.c for r in parts), []
-    for rank in sorted({(total - 1) // 2, total // 2}) if total else []:
-        before = 0
-        for r in parts:
-            if rank < before + r.c:
-                break
-            before += r.c
-        upto = F.sum("c").over(Window.orderBy("v"))  # over one range
-        found.append(counts.where(F.col("v").between(r.low, r.high)).withColumn("upto", upto).where(F.col("upto") > rank - before).agg(F.min("v")).first()[0])
-    return sum(found) / len(found) if found else None
+    """The exact median of a numeric column, null for none."""
+    found = quantiles(values.where(F.col(column).isNotNull()), [], column, [0.5]).first()
+    return found.q[0] if found else None
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    """Missing numbers become the exact median; only below 20 % missing, else the table is returned as it is."""
-    share = df.agg(F.avg(F.col(column).isNull().cast("int"))).first()[0]
-    m = median(df.select(number(F.col(column).cast("string")).alias("v")), "v") if share is not None and 0 < share < hints.IMPUTE_LIMIT else None
-    return df if m is None else df.withColumn(column, F.coalesce(F.col(column), F.lit(m).cast(df.schema[column].dataType)))
+    """Missing numbers become the exact median; only below 20 % missing, else the table is returned as it is. In a column of
+    texts a whole median is written without a fraction."""
+    share = df.agg(F.avg(F.col(f"`{column}`").isNull().cast("int"))).first()[0]
+    m = median(df.select(number(F.col(f"`{column}`").cast("string")).alias("v")), "v") if share is not None and 0 < share < hints.IMPUTE_LIMIT else None
+    if m is None:
+        return df
+    kind = df.schema[column].dataType
+    value = F.lit(int(m) if isinstance(kind, T.StringType) and m == int(m) else m).cast(kind)
+    return df.withColumn(column, F.coalesce(F.col(f"`{column}`"), value))
+
+
+def is_key(column: str) -> bool:
+    """Whether a column's name says that its values tell rows apart."""
+    return any(h in column.lower() for h in hints.ID_HINTS)
 
 
 def fill_mode_or_unknown(df: DataFrame, column: str) -> DataFrame:
-    """Missing categories become the most frequent value (the last in order of equals) if it has 40 %, else Unknown; not for columns of mostly distinct values."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    r = counts.agg(F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct("c", F.col(column)))).alias("mode"), F.max(F.when(F.col(column).isNotNull(), F.col("c"))).alias("top"), F.sum(F.when(F.col(column).isNotNull(), F.col("c"))).alias("n"), F.count(column).alias("distinct"), F.sum("c").alias("rows")).first()
-    if not r.n or r.distinct / r.n > 0.5 or (r.rows - r.n) / r.rows >= hints.IMPUTE_LIMIT:
+    """Missing categories become the most frequent value (the last in order of equals) if it has 40 %, else Unknown. Columns of
+    mostly distinct values, of numbers (eight tenths) and of keys (by name) hold no categories: they are returned as they are."""
+    if is_key(column):
+        return df
+    c = F.col(f"`{column}`")
+    counts = df.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    held = F.col("v").isNotNull()
+    r = counts.agg(
+        F.max_by("v", F.when(held, F.struct("c", "v"))).alias("mode"), F.max(F.when(held, F.col("c"))).alias("top"), F.sum(F.when(held, F.col("c"))).alias("n"), F.count("v").alias("distinct"),
+        F.sum("c").alias("rows"), F.sum(F.when(is_number(F.col("v")), F.col("c"))).alias("numbers"),
+    ).first()
+    if not r.n or r.distinct / r.n > 0.5 or (r.numbers or 0) / r.n >= hints.NUMERIC_AS_TEXT or (r.rows - r.n) / r.rows >= hints.IMPUTE_LIMIT:
         return df
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit(r.mode if r.top / r.n >= hints.MODE_SHARE else "Unknown")))
+    return df.withColumn(column, F.coalesce(c, F.lit(r.mode if r.top / r.n >= hints.MODE_SHARE else "Unknown")))
 
 
 def high_missing(df: DataFrame, column: str, choice: str) -> DataFrame:
@@ -91,10 +99,11 @@ def dedupe_first(df: DataFrame, order: str, ignore: list[str] = ()) -> DataFrame
 
 def canonical_categories(df: DataFrame, column: str) -> DataFrame:
     """Every spelling of a category (case, white space) becomes its most frequent trimmed one."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.lower(strip(F.col(column))).alias("_k"), strip(F.col(column)).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
+    c = F.col(f"`{column}`")
+    counts = df.where(c.isNotNull()).groupBy(F.lower(strip(c)).alias("_k"), strip(c).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
     best = counts.groupBy("_k").agg(F.max_by("_v", F.struct("c", F.col("_v"))).alias("_best"))
-    names = df.columns
-    return df.withColumn("_k", F.lower(strip(F.col(column)))).join(best, "_k", "left").withColumn(column, F.coalesce("_best", strip(F.col(column)))).select(*names)
+    names = [F.col(f"`{n}`") for n in df.columns]
+    return df.withColumn("_k", F.lower(strip(c))).join(best, "_k", "left").withColumn(column, F.coalesce("_best", strip(c))).select(*names)
 
 
 def clean_prose(c: Column) -> Column:
@@ -173,9 +182,19 @@ def apply_plan(df: DataFrame, plan: list[tuple[str, str]]) -> DataFrame:
     return df.select(*(e.alias(c) for c, e in made.items()))
 
 
+def _named(before: DataFrame, after: DataFrame, how: str) -> DataFrame:
+    old = before.select(F.col("category").alias("_k"), F.col("column").alias("_c"))
+    return after.join(old, (after["category"] == F.col("_k")) & after["column"].eqNullSafe(F.col("_c")), how)
+
+
 def still_present(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Original issues that the recheck still finds, by category and column."""
-    return before.join(after.select("category", F.col("column").alias("_c")), (before["category"] == after["category"]) & before["column"].eqNullSafe(F.col("_c")), "left_semi")
+    """Original issues that the recheck still finds, by category and column, as the recheck counts them."""
+    return _named(before, after, "left_semi")
+
+
+def introduced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Issues that the recheck finds and that weren't there before, by category and column: the treatments made them."""
+    return _named(before, after, "left_anti")
 
 
 def row_check(before: int, after: int, structural: bool) -> str:
@@ -192,15 +211,17 @@ def quality_status(unresolved: DataFrame) -> DataFrame:
 
 
 class Cleaned(NamedTuple):
-    """The table, its issues, those that are still there, and the log row (one row: what was found and done, counts, status)."""
+    """The table, its issues, those that are still there, those that the treatments made, and the log row (one row: what was
+    found and done, counts, status)."""
 
     table: DataFrame
     issues: DataFrame
     unresolved: DataFrame
+    introduced: DataFrame
     log: DataFrame
 
 
-LOG = "table_name string, trigger string, status string, issues_found array<string>, issues_resolved array<string>, issues_unresolved array<string>, row_count_before bigint, row_count_after bigint, row_check string"
+LOG = "table_name string, trigger string, status string, issues_found array<string>, issues_resolved array<string>, issues_unresolved array<string>, issues_introduced array<string>, row_count_before bigint, row_count_after bigint, row_check string"
 
 
 def _local(found: DataFrame) -> DataFrame:
@@ -208,35 +229,69 @@ def _local(found: DataFrame) -> DataFrame:
     return found.sparkSession.createDataFrame(found.collect(), hints.ISSUES)
 
 
-def clean(df: DataFrame, table: str, as_of_year: int = 2026, composites: dict[str, tuple[str, tuple[str, str]]] | None = None, high_missing_choice: str = "flag", trigger: str = "manual") -> Cleaned:
+def index_columns(df: DataFrame) -> list[str]:
+    """Columns named like a row index that hold each number from their least to their greatest once."""
+    named = [c for c in df.columns if c.lower() in hints.ROW_INDEX_NAMES or c.lower().startswith("unnamed:")]
+    if not named:
+        return []
+    v = {c: number(F.col(f"`{c}`").cast("string")) for c in named}
+    r = df.agg(F.count(F.lit(1)).alias("rows"), *(f(v[c]).alias(f"{k}{i}") for i, c in enumerate(named) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count), ("d", F.count_distinct)))).first()
+    return [c for i, c in enumerate(named) if r.rows and r[f"n{i}"] == r[f"d{i}"] == r.rows and r[f"hi{i}"] - r[f"lo{i}"] == r.rows - 1]
+
+
+def filled(df: DataFrame, column: str) -> DataFrame:
+    """Missing values below the limit: numbers, and texts that mostly are numbers, get the median, categories the mode or
+    Unknown; nothing is made up for keys."""
+    kind = df.schema[column].dataType
+    if is_key(column) or not isinstance(kind, T.NumericType | T.StringType):
+        return df
+    if isinstance(kind, T.NumericType):
+        return fill_median(df, column)
+    c = F.col(f"`{column}`")
+    n = df.agg(F.count_if(F.length(strip(c)) > 0).alias("n"), F.count_if(is_number(c)).alias("numbers")).first()
+    return fill_median(df, column) if n.n and n.numbers / n.n >= hints.NUMERIC_AS_TEXT else fill_mode_or_unknown(df, column)
+
+
+def clean(df: DataFrame, table: str, as_of_year: int = 2026, composites: dict[str, tuple[str, tuple[str, str]]] | None = None, high_missing_choice: str = "flag", trigger: str = "manual", ignore: list[str] | None = None) -> Cleaned:
     """Audits, treats fail columns then warn columns in one projection, removes repeated rows, pads lost zeros, fills or flags
-    missing values, splits the given composites (column: pattern, names), and audits again. The rubric runs twice."""
-    found = _local(rubric.issues(df, table, as_of_year))
+    missing values, splits the given composites (column: pattern, names), and audits again.
+
+    Row-index columns (by name and values; or those given as `ignore`) don't count when rows are compared. The status follows
+    what is left and what the treatments made. The treated table is stored in the shared folder: the recheck, the count and
+    the caller read it there.
+    """
+    if ignore is None:
+        ignore = index_columns(df)
+    found = _local(rubric.issues(df, table, as_of_year, ignore))
     rows = found.collect()
     order = sorted((r.severity != hints.FAIL, r.category, r["column"]) for r in rows if r["column"] and r.category in COLUMN_TREATMENTS)
-    made = apply_plan(df, [(category, column) for _, category, column in order])
+    # A number with a sign, a unit or another locale is read by that treatment; as a plain text number it would be lost.
+    read_apart = {r["column"] for r in rows if r.category in ("currency_units", "locale_mix")}
+    made = apply_plan(df, [(category, column) for _, category, column in order if category != "numeric_as_text" or column not in read_apart])
     structural = not any(r.category == "duplicate_rows" for r in rows)
     for r in rows:
         if r.category == "lost_leading_zeros":
             made = made.withColumn(r["column"], pad_zeros(F.col(f"`{r['column']}`").cast("string"), int(r.detail["length"])))
+        elif r.category == "categorical_variants":
+            made = canonical_categories(made, r["column"])
         elif r.category == "missing" and r["column"] in made.columns:
             if r.fraction >= hints.IMPUTE_LIMIT:
                 made = high_missing(made, r["column"], high_missing_choice)
                 structural &= high_missing_choice != "drop_rows"
-            elif isinstance(made.schema[r["column"]].dataType, T.NumericType):
-                made = fill_median(made, r["column"])
-            elif isinstance(made.schema[r["column"]].dataType, T.StringType):
-                made = fill_mode_or_unknown(made, r["column"])
+            else:
+                made = filled(made, r["column"])
     if not structural and any(r.category == "duplicate_rows" for r in rows):
-        made = made.distinct()
+        made = made.dropDuplicates([c for c in made.columns if c not in ignore])
     for column, (pattern, names) in (composites or {}).items():
         made = composite_split(made, column, pattern, names)
-    left = _local(rubric.issues(made, table, as_of_year))
-    unresolved = still_present(found, left)
-    still = {(r.category, r["column"]) for r in unresolved.collect()}
+    made = stored(made, "cleaned")
+    left = _local(rubric.issues(made, table, as_of_year, ignore))
+    unresolved, new = _local(still_present(found, left)), _local(introduced(found, left))
     before, after = df.count(), made.count()
     name = lambda r: f"{r.category}:{r['column'] or ''}"
-    severities = {r.severity for r in rows if (r.category, r["column"]) in still}
+    still, fresh = unresolved.collect(), new.collect()
+    open_names = {name(r) for r in still}
+    severities = {r.severity for r in (*still, *fresh)}
     status = "fail" if hints.FAIL in severities else "warn" if severities else "pass"
-    entry = (table, trigger, status, sorted(map(name, rows)), sorted(name(r) for r in rows if (r.category, r["column"]) not in still), sorted(name(r) for r in rows if (r.category, r["column"]) in still), before, after, row_check(before, after, structural))
-    return Cleaned(made, found, unresolved, df.sparkSession.createDataFrame([entry], LOG))
+    entry = (table, trigger, status, sorted(map(name, rows)), sorted(n for n in map(name, rows) if n not in open_names), sorted(open_names), sorted(map(name, fresh)), before, after, row_check(before, after, structural))
+    return Cleaned(made, found, unresolved, new, df.sparkSession.createDataFrame([entry], LOG))

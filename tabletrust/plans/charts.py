@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletrust.plans.ranks import quantiles
+
 
 def line(df: DataFrame, ts: str, unit: str, measure: str) -> DataFrame:
     return df.groupBy(F.date_trunc(unit, ts).alias("bucket")).agg(F.round(F.sum(measure), 2).alias("value"), F.count(F.lit(1)).alias("n")).orderBy("bucket")
@@ -39,12 +41,12 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def box(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Quartiles of each group, and whiskers: the last values within 1.5 interquartile ranges."""
-    q = df.where(F.col(column).isNotNull()).groupBy(group).agg(F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    q = q.select(group, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, group).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
-    return inside.groupBy(group).agg(F.min(column).alias("low"), *(F.round(F.first(n), 4).alias(n) for n in ("q1", "median", "q3")), F.max(column).alias("high"))
+    """Quartiles of each group, and whiskers: the last values within 1.5 interquartile ranges. Null measures don't count;
+    rows without a group are a group. The quartiles (a row a group) meet the rows where they are read, if they are small."""
+    q = quantiles(df, [group], column, [0.25, 0.5, 0.75]).select(F.col(group).alias("_g"), *(F.col("q")[i].alias(f"_{n}") for i, n in enumerate(("q1", "median", "q3"))))
+    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    inside = df.join(q, F.col(group).eqNullSafe(F.col("_g"))).where(F.col(column).between(F.col("_q1") - reach, F.col("_q3") + reach))
+    return inside.groupBy(group).agg(F.min(column).alias("low"), *(F.round(F.first(f"_{n}"), 4).alias(n) for n in ("q1", "median", "q3")), F.max(column).alias("high"))
 
 
 def stacked(df: DataFrame, category: str, sub: str, measure: str) -> DataFrame:
@@ -62,8 +64,8 @@ def treemap(df: DataFrame, outer: str, inner: str, measure: str) -> DataFrame:
 
 def quadrant(df: DataFrame, x: str, y: str) -> DataFrame:
     """Flags rows below the median of x and above the median of y."""
-    m = df.agg(F.median(x).alias("mx"), F.median(y).alias("my"))
-    return df.crossJoin(F.broadcast(m)).withColumn("opportunity", (F.col(x) < F.col("mx")) & (F.col(y) > F.col("my"))).drop("mx", "my")
+    mx, my = (quantiles(df, [], c, [0.5]).agg(F.max(F.col("q")[0]).alias(n)) for c, n in ((x, "_mx"), (y, "_my")))  # one row each
+    return df.crossJoin(F.broadcast(mx)).crossJoin(F.broadcast(my)).withColumn("opportunity", (F.col(x) < F.col("_mx")) & (F.col(y) > F.col("_my"))).drop("_mx", "_my")
 
 
 def fallback_columns(df: DataFrame) -> tuple[str, str | None]:

@@ -281,23 +281,43 @@ def _(spark, sf_dir):
     return treat.quality_status(rubric.issues(dirty(spark, sf_dir).select("tags", "quantity"), "orders")).select("table", "status", F.size("issues").cast("long").alias("n_issues"))
 
 
-_CLEANED = ["customer_id", "tags", "quantity", "status", "amount", "noise", "formula", "zip", "start_date"]
+#: The planted table as it must be once it is clean.
+_CLEAN = """SELECT CASE WHEN id NOT IN (999, 9999) THEN id END AS id, CASE WHEN customer_id NOT IN ('999', '9999') THEN customer_id END AS customer_id,
+ CASE WHEN status NOT IN ('TBD', '9999') THEN status END AS status, upper(trim(priority)) AS priority, CAST(replace(amount, '$', '') AS DOUBLE) AS amount,
+ is_active IN ('Y', '1') AS is_active, lpad(zip, 5, '0') AS zip, CAST(1234.56 AS DOUBLE) AS local_price, CAST(19.99 AS DOUBLE) AS noise, CASE WHEN formula = 'ok' THEN formula END AS formula,
+ 'red,blue' AS tags, CASE WHEN due_date LIKE '2021%' THEN due_date ELSE '2021-' || substr(due_date, 1, 2) || '-' || substr(due_date, 4, 2) END AS due_date,
+ CAST(ship_date AS TIMESTAMP) AS ship_date, CASE WHEN quantity <> '-5' THEN quantity END AS quantity, CASE WHEN start_date BETWEEN '1900' AND '2028' THEN start_date END AS start_date,
+ CASE WHEN score NOT LIKE 'n%' THEN CAST(replace(score, 'n', '') AS DOUBLE) END AS score, CASE WHEN parent_id NOT IN ('999', '9999') THEN parent_id END AS parent_id,
+ COALESCE(points, CAST((SELECT median(points) FROM dirty) AS BIGINT)) AS points, COALESCE(tier, 'gold') AS tier FROM dirty"""
 
 
-@register("recheck", with_dirty("SELECT 'duplicate_keys' AS category, 'customer_id' AS \"column\" FROM dirty HAVING count(customer_id) > count(DISTINCT customer_id)"))
+def _still(category: str, column: str, affected: str, state: str = "left", limit: str = "0") -> str:
+    return f"SELECT '{state}' AS state, '{category}' AS category, '{column}' AS \"column\", CAST({affected} AS BIGINT) AS affected FROM clean HAVING {affected} > {limit}"
+
+
+_RECHECK = " UNION ALL ".join([
+    *(_still("missing", c, f"count(*) FILTER (WHERE {c} IS NULL)", state, "0.05 * count(*)") for c, state in (("customer_id", "left"), ("formula", "new"), ("score", "new"), ("status", "new"))),
+    *(_still("duplicate_keys", c, f"count({c}) - count(DISTINCT {c})") for c in ("customer_id", "parent_id")),
+    "SELECT 'left', 'dangling_refs', 'parent_id', count(*) FROM clean WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT CAST(id AS VARCHAR) FROM clean WHERE id IS NOT NULL) HAVING count(*) > 0",
+])
+
+
+@register("recheck", with_dirty(f"SELECT * FROM (WITH clean AS ({_CLEAN}) {_RECHECK})"))
 def _(spark, sf_dir):
-    return treat.clean(dirty(spark, sf_dir).select("id", *_CLEANED), "orders").unresolved.where("column <> 'id'").select("category", "column")
+    made = treat.clean(dirty(spark, sf_dir), "orders")
+    left, new = (x.select(F.lit(state).alias("state"), "category", "column", "affected") for state, x in (("left", made.unresolved), ("new", made.introduced)))
+    return left.unionByName(new)
 
 
-@register("clean_table", with_dirty("SELECT CASE WHEN id NOT IN (999, 9999) THEN id END AS id, CASE WHEN lower(status) IN ('tbd', '9999') THEN NULL ELSE status END AS status, 'red,blue' AS tags, lpad(zip, 5, '0') AS zip, CASE WHEN start_date BETWEEN '1900' AND '2028' THEN start_date END AS start_date FROM dirty"))
+@register("clean_table", with_dirty(_CLEAN))
 def _(spark, sf_dir):
-    return treat.clean(dirty(spark, sf_dir).select("id", "status", "tags", "zip", "start_date"), "orders").table.withColumn("id", F.col("id").cast("long"))
+    return treat.clean(dirty(spark, sf_dir), "orders").table.withColumn("id", F.col("id").cast("long"))
 
 
-@register("cleaning_log", "SELECT 'orders' AS table_name, count(*) AS row_count_before, count(*) AS row_count_after, 'kept' AS row_check, 'pass' AS status, CASE WHEN count(*) FILTER (WHERE o_orderkey % 29 = 0) > 0 THEN 'delimiter_mix:tags, placeholder_tokens:status' ELSE 'delimiter_mix:tags' END AS resolved FROM orders")
+@register("cleaning_log", with_dirty("SELECT 'orders' AS table_name, count(*) AS row_count_before, count(*) AS row_count_after, 'kept' AS row_check, 'fail' AS status, 'missing:formula, missing:score, missing:status' AS introduced, 'dangling_refs:parent_id, duplicate_keys:customer_id' || CASE WHEN count(parent_id) > count(DISTINCT parent_id) THEN ', duplicate_keys:parent_id' ELSE '' END || ', missing:customer_id' AS unresolved FROM dirty"))
 def _(spark, sf_dir):
-    log = treat.clean(dirty(spark, sf_dir).select("status", "tags", (F.col("id") + 0.5).alias("line")), "orders").log
-    return log.select("table_name", "row_count_before", "row_count_after", "row_check", "status", F.array_join("issues_resolved", ", ").alias("resolved"))
+    log = treat.clean(dirty(spark, sf_dir), "orders").log
+    return log.select("table_name", "row_count_before", "row_count_after", "row_check", "status", F.array_join("issues_introduced", ", ").alias("introduced"), F.array_join("issues_unresolved", ", ").alias("unresolved"))
 
 
 @register("repair_header", "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)")

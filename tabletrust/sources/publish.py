@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from tabletrust.functions.text import humanize
 
 
+#: The temporary folder of each local session; it goes when Python ends.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where both are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,7 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tabletrust-")
+    if spark.sparkContext.applicationId not in _own:
+        made = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tabletrust-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + _own[spark.sparkContext.applicationId]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read from there: what reads them several times computes them once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def publish(df: DataFrame, table: str) -> None:
