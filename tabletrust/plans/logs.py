@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabletrust.plans.clauses import shape_of
+
 # Phrases of an answer by the rule that writes them; any one of a rule's phrases shows that it fired.
 DETECTORS = {
     "minimum_sample": ["underlying rows were included in this ranking"],
@@ -54,61 +54,26 @@ def latest_run(log: DataFrame, question: str) -> DataFrame:
 
 
 def cte_names(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """Names that WITH queries define."""
-    names = F.when(F.col(sql).rlike(r"(?is)^\s*with\b"), F.regexp_extract_all(sql, F.lit(r"(?i)(\w+)\s+AS\s*\("), F.lit(1)))
-    return log.withColumn("ctes", F.coalesce(names, F.array().cast("array<string>")))
-
-
-def _split(text: str) -> list[str]:
-    """Parts between commas that stand in no brackets or quotes."""
-    parts, depth, quote, at = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "," and depth == 0:
-            parts.append(text[at:i])
-            at = i + 1
-    return [p.strip() for p in [*parts, text[at:]] if p.strip()]
+    """Adds ctes, the names that WITH queries define."""
+    return log.withColumn("ctes", shape_of(F.col(sql))["ctes"])
 
 
 def computed_columns(log: DataFrame, key: str, sql: str = "sql") -> DataFrame:
-    """key, alias, expression of the outermost select list's named expressions."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for frame in frames:
-            rows = []
-            for k, q in zip(frame[key], frame[sql], strict=True):
-                m = re.search(r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\bfrom\b", q or "")
-                for part in _split(m[1]) if m else []:
-                    a = re.match(r"(?is)^(.*\S)\s+as\s+(\w+)$", part)
-                    if a and not re.fullmatch(r"[\w.]+", a[1]):
-                        rows.append((k, a[2], " ".join(a[1].split())))
-            yield pd.DataFrame(rows, columns=[key, "alias", "expression"])
-
-    return log.select(key, sql).mapInPandas(run, f"{key} {dict(log.dtypes)[key]}, alias string, expression string")
+    """key, alias, expression of the named expressions of every select list, the first of each alias; bare columns aren't computed."""
+    return log.select(key, F.explode(shape_of(F.col(sql))["computed"]).alias("c")).select(key, "c.alias", "c.expression")
 
 
 def shapes(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """Adds grouping (list), having_min, rankings (order by lists with limits), filters, not_null columns, time frame."""
+    """Adds ctes, grouping (a list for each GROUP BY), having_min, rankings (order_by and limit), computed, filters, not_null
+    columns, time frame. A null text has empty lists."""
     q = F.col(sql)
-    group = F.regexp_extract(q, r"(?is)\bgroup\s+by\s+(.*?)(?:\bhaving\b|\border\s+by\b|\blimit\b|\)|;|$)", 1)
-    order = F.regexp_extract_all(q, F.lit(r"(?is)\border\s+by\s+([^()]*?)(?:\blimit\b|\)|;|$)"), F.lit(1))
     filters = [r"(?i)(\w+)\s+ilike\s+'[^']*'", r"(?i)(\w+)\s+like\s+'[^']*'", r"(\w+)\s*=\s*'[^']*'", r"(?i)(\w+)\s+in\s*\("]
     window = F.coalesce(*(F.nullif(F.regexp_extract(q, p, 0), F.lit("")) for p in (r"(?i)\w+\s+between\s+'[^']+'\s+and\s+'[^']+'", r"(?i)extract\(year from \w+\)\s*=\s*\d{4}", r"\w+\s*>=\s*'\d{4}-\d{2}-\d{2}'")))
-    return log.withColumns({
-        "grouping": F.filter(F.transform(F.split(group, ","), lambda x: F.trim(x)), lambda x: x != ""), "having_min": F.nullif(F.regexp_extract(q, r"(?i)having\s+count\(\*\)\s*>=?\s*(\d+)", 1), F.lit("")).try_cast("int"),
-        "rankings": F.transform(order, lambda x: F.trim(x)), "limits": F.regexp_extract_all(q, F.lit(r"(?i)\blimit\s+(\d+)"), F.lit(1)),
+    found = log.withColumn("_shape", shape_of(q)).withColumns({
         "filters": F.array_distinct(F.concat(*(F.regexp_extract_all(F.regexp_replace(q, r"(?i)\w+\s+not\s+in\s*\([^)]*\)", ""), F.lit(p), F.lit(1)) for p in filters))),
         "not_null": F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?i)(\w+)\s+is\s+not\s+null"), F.lit(1))), "frame": window,
     })
+    return found.withColumns({c: F.col(f"_shape.{c}") for c in ("ctes", "grouping", "having_min", "rankings", "computed")}).drop("_shape")
 
 
 def min_sample_violations(log: DataFrame, sql: str = "sql", question: str = "question") -> DataFrame:

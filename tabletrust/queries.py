@@ -819,15 +819,54 @@ def _(spark, sf_dir):
     return logs.compare_runs(log).select("question", "sql_changed", "answer_changed")
 
 
-@register("sql_shape_extract", f"SELECT conv_id, turn, CAST(5 + conv_id % 3 AS INTEGER) AS having_min, 'base' AS ctes, 'o_custkey' AS grouping, 'mean_price DESC' AS rankings, '10' AS limits, 'o_orderstatus' AS filters, 'o_comment' AS not_null FROM ({RUNS})")
+#: Logged SQL of six kinds: text, WITH names, computed columns, GROUP BY lists, HAVING count, ORDER BY lists with limits.
+LOGGED = [
+    ("WITH base AS (SELECT o_custkey, avg(o_totalprice) AS mean_price FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING COUNT(*) >= 5) SELECT * FROM base ORDER BY mean_price DESC LIMIT 10",
+     "base", "mean_price=avg(o_totalprice)", "o_custkey", 5, "mean_price DESC:10"),
+    ("WITH a AS (SELECT x, sum(y) AS total FROM t GROUP BY x ORDER BY total DESC LIMIT 5), b(p, q) AS (SELECT x, count(*) AS n FROM u GROUP BY x, date_trunc('month', z)) SELECT a.x AS x, total / n AS ratio, upper(a.x) AS name FROM a JOIN b ON a.x = b.p ORDER BY ratio DESC, a.x",
+     "a,b", "total=sum(y)|n=count(*)|ratio=total / n|name=upper(a.x)", "x|x, date_trunc('month', z)", None, "total DESC:5|ratio DESC, a.x:"),
+    ("SELECT EXTRACT(YEAR FROM ts) AS year, avg(v) AS mean, 'from, (x) limit 3' AS note FROM t GROUP BY EXTRACT(YEAR FROM ts) HAVING sum(v) > 1 AND COUNT(*) >= 7 ORDER BY avg(v) DESC LIMIT 10",
+     "", "year=EXTRACT(YEAR FROM ts)|mean=avg(v)|note='from, (x) limit 3'", "EXTRACT(YEAR FROM ts)", 7, "avg(v) DESC:10"),
+    ("SELECT k, row_number() OVER (PARTITION BY k ORDER BY v DESC) AS r, CASE WHEN v > 1 THEN 'a' ELSE 'b' END AS kind, v AS plain FROM (SELECT k, max(w) AS v FROM t GROUP BY k LIMIT 9) s -- ORDER BY nothing",
+     "", "r=row_number() OVER (PARTITION BY k ORDER BY v DESC)|kind=CASE WHEN v > 1 THEN 'a' ELSE 'b' END|v=max(w)", "k", None, ""),
+    ("SELECT a, count(*) AS n FROM t GROUP BY a UNION ALL SELECT b, -count(*) AS n FROM u GROUP BY b, c HAVING count(*) > 3 ORDER BY 1",
+     "", "n=count(*)", "a|b, c", 3, "1:"),
+    ("DELETE everything", "", "", "", None, ""),
+]
+
+
+def _quoted(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of the texts of LOGGED, one a conversation's turn."""
+    kinds = F.array(*(F.lit(x[0]) for x in LOGGED))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(kinds, ((F.col("conv_id") + F.col("turn")) % len(LOGGED)).cast("int")).alias("sql"))
+
+
+def _expected(columns: dict[str, int]) -> str:
+    rows = ", ".join(f"({k}, {', '.join(_quoted(x[i]) for i in columns.values())})" for k, x in enumerate(LOGGED))
+    return f"SELECT conv_id, turn, {', '.join(columns)} FROM conversations JOIN (VALUES {rows}) e(k, {', '.join(columns)}) ON (conv_id + turn) % {len(LOGGED)} = k"
+
+
+@register("sql_shape_extract", _expected({"ctes": 1, "grouping_lists": 3, "having_min": 4, "rankings": 5}))
+def _(spark, sf_dir):
+    made = logs.shapes(logged(spark, sf_dir))
+    lists = F.array_join(F.transform("grouping", lambda g: F.array_join(g, ", ")), "|")
+    stages = F.array_join(F.transform("rankings", lambda r: F.concat(r["order_by"], F.lit(":"), F.coalesce(r["limit"].cast("string"), F.lit("")))), "|")
+    return made.select("conv_id", "turn", F.array_join("ctes", ",").alias("ctes"), lists.alias("grouping_lists"), "having_min", stages.alias("rankings"))
+
+
+@register("sql_scope", f"SELECT conv_id, turn, 'o_orderstatus' AS filters, 'o_comment' AS not_null FROM ({RUNS})")
 def _(spark, sf_dir):
-    made = logs.shapes(logs.cte_names(view(spark, sf_dir, RUNS)))
-    return made.select("conv_id", "turn", "having_min", *(F.array_join(c, ",").alias(c) for c in ("ctes", "grouping", "rankings", "limits", "filters", "not_null")))
+    return logs.shapes(view(spark, sf_dir, RUNS)).select("conv_id", "turn", *(F.array_join(c, ",").alias(c) for c in ("filters", "not_null")))
 
 
-@register("computed_columns", f"SELECT conv_id, 'mean_price' AS alias, 'avg(o_totalprice)' AS expression FROM ({RUNS})")
+@register("computed_columns", f"SELECT conv_id, turn, split_part(c, '=', 1) AS alias, substr(c, instr(c, '=') + 1) AS expression FROM (SELECT conv_id, turn, unnest(string_split(computed, '|')) AS c FROM ({_expected({'computed': 2})}) WHERE computed <> '')")
 def _(spark, sf_dir):
-    return logs.computed_columns(view(spark, sf_dir, RUNS), "conv_id")
+    log = logged(spark, sf_dir).withColumn("run", F.struct("conv_id", "turn"))
+    return logs.computed_columns(log, "run").select("run.conv_id", "run.turn", "alias", "expression")
 
 
 @register("tables_touched", f"SELECT conv_id, 'orders' AS \"table\" FROM ({RUNS})")
