@@ -560,13 +560,27 @@ def _(spark, sf_dir):
     return files.load_csv(spark, _file(view(spark, sf_dir, _CSV), "typed", escape='"')).withColumn("price", F.round("price", 2))
 
 
-@register("csv_line_issues", "SELECT 'ragged_rows' AS category, count(*) FILTER (WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0 AND o_orderkey % 83 <> 0) AS affected FROM orders UNION ALL SELECT 'unmatched_quote', count(*) FILTER (WHERE o_orderkey % 89 = 0 AND o_orderkey % 83 <> 0) FROM orders UNION ALL SELECT 'repeated_header', count(*) FILTER (WHERE o_orderkey % 83 = 0) FROM orders UNION ALL SELECT 'header_special', 1 UNION ALL SELECT 'header_issues', 1")
+#: Lines of planted files by order key: one for each flaw, one with a quoted line end, the others plain.
+_LINES = """CASE WHEN o_orderkey % 83 = 0 THEN 'id,na#me' WHEN o_orderkey % 89 = 0 THEN concat(o_orderkey, ',a"b') WHEN o_orderkey % 97 = 0 THEN concat(o_orderkey, ',a,b')
+ WHEN o_orderkey % 79 = 0 THEN concat(o_orderkey, ',bad \ufffd') WHEN o_orderkey % 7 = 0 THEN concat(o_orderkey, ',"two', chr(10), 'lines, \"\"said\"\"\"') ELSE concat(o_orderkey, ',a') END"""
+_FLAWED = "o_orderkey % 83 <> 0 AND o_orderkey % 89 <> 0"
+
+
+@register("csv_line_issues", f"SELECT 'ragged_rows' AS category, count(*) FILTER (WHERE o_orderkey % 97 = 0 AND {_FLAWED}) AS affected FROM orders UNION ALL SELECT 'unmatched_quote', count(*) FILTER (WHERE o_orderkey % 89 = 0 AND o_orderkey % 83 <> 0) FROM orders UNION ALL SELECT 'repeated_header', count(*) FILTER (WHERE o_orderkey % 83 = 0) FROM orders UNION ALL SELECT 'encoding', count(*) FILTER (WHERE o_orderkey % 79 = 0 AND o_orderkey % 97 <> 0 AND {_FLAWED}) FROM orders UNION ALL SELECT 'trailing_empty', 2 UNION ALL SELECT 'header_special', 1 UNION ALL SELECT 'header_issues', 1 UNION ALL SELECT 'bom', 1")
 def _(spark, sf_dir):
-    raw = "CASE WHEN o_orderkey % 83 = 0 THEN 'id,na#me' WHEN o_orderkey % 89 = 0 THEN concat(o_orderkey, ',a\"b') WHEN o_orderkey % 97 = 0 THEN concat(o_orderkey, ',a,b') ELSE concat(o_orderkey, ',a') END AS value"
-    rows = read(spark, sf_dir, "orders").selectExpr(raw)
+    rows = read(spark, sf_dir, "orders").selectExpr("1 AS part", "o_orderkey AS k", f"{_LINES} AS value")
+    marked = spark.createDataFrame([(0, 0, "\ufeffid,na#me"), (2, 0, ",,"), (2, 1, " ")], "part int, k long, value string")
     path = f"{publish.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    spark.range(1).select(F.lit("id,na#me").alias("value")).unionByName(rows).coalesce(1).write.text(path)  # one file: its header is its first line
-    return lines.line_issues(lines.read_lines(spark, path)).groupBy("category").agg(F.sum("affected").alias("affected"))
+    # One file, as its header is its first line; it is read in splits.
+    marked.unionByName(rows).repartition(1).sortWithinPartitions("part", "k").select("value").write.text(path)
+    found = lines.line_issues(spark, path).unionByName(lines.bom(spark, path))
+    return found.groupBy("category").agg(F.sum("affected").alias("affected"))
+
+
+@register("file_lines", "SELECT count(*) + 1 AS n, sum(length(CAST(o_orderkey AS VARCHAR)) + 2) + 6 AS chars, count(*) * (count(*) + 1) // 2 AS places FROM orders")
+def _(spark, sf_dir):
+    path = _file(read(spark, sf_dir, "orders").select("o_orderkey", F.lit("a").alias("b")).coalesce(1).toDF("k", "flag"), "numbered")
+    return lines.read_lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("chars"), F.sum("line_no").alias("places"))
 
 
 @register("json_fields", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -1,11 +1,16 @@
 """Flawed and clean pairs, treatments that are stable, files, publishing, and statistics."""
 
+import csv
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabletrust.functions.text import sanitized, to_long
 from tabletrust.operators import discover, enrich, lines, profile, rubric, status, treat
-from tabletrust.plans import charts, logs, shapes, stats
+from tabletrust.plans import charts, clauses, logs, ranks, shapes, stats
 from tabletrust.sources import files, publish
 
 PAIRS = {
@@ -86,11 +91,74 @@ def test_encodings_and_quoted_line_ends(spark, tmp_path):
 
 def test_line_checks(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b'\xef\xbb\xbfid, Name ,na#me\n1,"x,y\n2,b,c\n' + b"id, Name ,na#me\n" + b"\xff,b,c\n3,b\n,,\n")
-    got = lines.line_issues(lines.read_lines(spark, str(tmp_path / "bad.csv")))
+    got = lines.line_issues(spark, str(tmp_path / "bad.csv"))
     assert {r.category for r in got.collect()} == {"encoding", "unmatched_quote", "repeated_header", "ragged_rows", "trailing_empty", "header_issues", "header_special"}
     assert lines.bom(spark, str(tmp_path / "bad.csv")).count() == 1
 
 
+def test_line_checks_do_not_depend_on_splits(spark, tmp_path):
+    """Small splits, with quoted line ends over their borders and a quote that never closes, against a scan of the whole file."""
+    r = random.Random(4)
+    rows = ["id,name,note"]
+    for k in range(400):
+        rows.append(r.choice([f"{k},a,b", f'{k},"x, y",b', f'{k},"two\nlines","a ""b"""', f'{k},"{"many\n" * r.randrange(9)}",z', f"{k},a", f'{k},a"b,c', "id,name,note", "", f"{k},a,b,c"]))
+    rows += [f'{9000},"never closed,b', "1,2,3", "1,2", "4,5,6,7", ",,", " "]
+    (tmp_path / "split.csv").write_text("\n".join(rows) + "\n")
+    want = Counter({"repeated_header": rows[1:].count("id,name,note"), "trailing_empty": 2, "encoding": 0})
+    for row in rows[1:-6]:
+        fields = next(csv.reader([row])) if "\n" not in row else [0, 0, 0]
+        if row.count('"') % 2:
+            want["unmatched_quote"] += 1
+        elif row and len(fields) != 3:
+            want["ragged_rows"] += 1
+    want["unmatched_quote"] += 1
+    want["ragged_rows"] += 2
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for part in ("128m", "700", "97"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+        try:
+            raw = lines.raw_lines(spark, str(tmp_path))
+            assert part == "128m" or raw.select("start").distinct().count() >= 8
+            got = {x.category: x.affected for x in lines.line_issues(spark, str(tmp_path)).collect()}
+            numbered = sorted((x.line_no, bytes(x.value)) for x in lines.read_lines(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+        assert numbered == list(enumerate("\n".join(rows).encode().split(b"\n")))
+
+
+def test_quantiles_equal_sorting(spark):
+    r = random.Random(6)
+    rows = [(g, v) for g in (None, "a", "b", "c") for v in [r.choice([None, 1.5, r.gauss(0, 9), float(r.randrange(5))]) for _ in range({None: 30, "a": 700, "b": 1, "c": 2}[g])]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = {g: np.quantile([v for h, v in rows if h == g and v is not None], shares) for g in (None, "a", "b", "c") if any(h == g and v is not None for h, v in rows)}
+    got = {x.g: x.q for x in ranks.quantiles(df, ["g"], "v", shares).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    assert ranks.quantiles(df, [], "v", [0.5]).first().q == [np.quantile([v for _, v in rows if v is not None], 0.5)]
+    assert ranks.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_clean_makes_up_nothing_and_tells_what_it_makes(spark):
+    rows = [(k, None if k % 9 == 0 else str(k % 40), None if k % 10 == 0 else str(k % 7), f"${k}" if k % 4 == 0 else str(k), "TBD" if k % 8 == 0 else "ok", "x") for k in range(200)] + [(200, "1", "1", "1", "ok", "x")] * 1
+    made = treat.clean(spark.createDataFrame(rows, "line long, customer_id string, grade string, amount string, state string, index string"), "t")
+    got = {r.line: r for r in made.table.collect()}
+    assert got[9].customer_id is None and "Unknown" not in {v for r in got.values() for v in r}
+    assert got[0].grade == "3" and got[4].amount == 4.0 and got[8].state is None
+    new = {(r.category, r["column"]) for r in made.introduced.collect()}
+    assert new == {("missing", "state")} and made.log.first().issues_introduced == ["missing:state"]
+    assert not {(r.category, r["column"]) for r in made.introduced.collect()} & {(r.category, r["column"]) for r in made.issues.collect()}
+
+
+def test_sql_scan():
+    names = clauses.scan("WITH a AS (SELECT 1), \"b c\"(x) AS MATERIALIZED (SELECT 2) SELECT (SELECT max(y) FROM t ORDER BY z LIMIT 1) AS m FROM a")[1]
+    assert names == ["a", "b c"]
+    got = clauses.shape("select a as b, f(x) as c /* as d, */, 'it''s, from' || g as e from t where x in (select y from u group by y, h(y, 1)) group by all order by c; select 1+1 as c")
+    assert [c["alias"] for c in got["computed"]] == ["c"] and got["grouping"] == [["y", "h(y, 1)"], ["all"]] and got["rankings"] == [{"order_by": "c", "limit": None}]
+    for odd in (None, "", ")))((", "select", "'open", "with as (", "order by"):
+        assert clauses.shape(odd)["computed"] == []
+
+
 def test_publish_and_rollback(spark):
     publish.publish(spark.range(3), "pub_t")
     publish.publish(spark.range(5), "pub_t")
