@@ -95,6 +95,8 @@ def identify(text: str | None, table: np.ndarray, names: list[str]) -> tuple[str
     top = int(share.argmax())
     score = share[top] if len(chosen) > 1 else em(p, n, STEPS)[0][chosen[0]]
     return names[chosen[top]], float(min(1.0, score)), {names[i]: float(x) for i, x in zip(chosen, share, strict=True)}
+#: Parts of the hashes of ids, of which a sample takes some.
+PARTS = 1 << 50
 
 
 class LanguageModel:
@@ -109,6 +111,11 @@ class LanguageModel:
             self.table = np.ones((BUCKETS, 0), np.float32)
 
 
+def share_of(sample: int, size: int) -> int:
+    """How many of PARTS hold about `sample` of `size` rows: never none, however many rows there are."""
+    return max(1, min(PARTS, PARTS * sample // size))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """labelled: doc_id, text, lang. Rows without text or language teach nothing; without any, every answer is und. Every
     language that occurs is learned; the model has BUCKETS numbers for each."""
@@ -117,8 +124,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.ones((BUCKETS, 0)))
-    limit = F.create_map(*(F.lit(x) for lang in names for x in (lang, min(1_000_000, 1_000_000 * sample // sizes[lang]))))
-    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(limit, F.col("lang")))
+    limit = F.create_map(*(F.lit(x) for lang in names for x in (lang, share_of(sample, sizes[lang]))))
+    taken = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) < F.element_at(limit, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

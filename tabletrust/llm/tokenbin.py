@@ -58,6 +58,8 @@ ODD, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
 # Fixed value: the pattern by which byte-level tokenizers cut texts. It is used for characters below PLAIN only.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = "\u0250"
+#: Signs that are a piece of their own after letters.
+ENDS = frozenset(".,;:!?")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -155,7 +157,10 @@ class Encoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words, each after a space. Words of Latin characters are cut as the library cuts them, as a piece is
         new less often than a word; others go to the library as they are."""
-        cut = [[" " + w] if w.isalpha() or max(w, default="") >= PLAIN else PIECE.findall(" " + w) for w in words]
+        cut = [
+            [" " + w] if w.isalpha() or max(w, default="") >= PLAIN else [" " + w[:-1], w[-1]] if w[-1:] in ENDS and w[:-1].isalpha() else PIECE.findall(" " + w)
+            for w in words
+        ]
         new = self.pieces.missing(set(chain.from_iterable(cut)))
         self.pieces.now.update(zip(new, self._ids(new), strict=True))
         out = [b"".join(map(self.pieces.now.__getitem__, c)) for c in cut]

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tabletrust.llm import lexical, queries, tokenbin, whitening
+from tabletrust.llm import languages, lexical, queries, tokenbin, whitening
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,6 +128,12 @@ def test_op12_equal_deviations_and_closed_subspaces(spark):
         assert len(got) >= k and np.allclose(got, e[: len(got)] / e.sum(), rtol=1e-6) and out.identity_error.max() < 1e-4
 
 
+def test_op8_samples_some_of_any_size():
+    for size in (1, 3000, 10**9, 4 * 10**9, 10**13):
+        share = languages.share_of(3000, size) / languages.PARTS
+        assert share > 0 and (size <= 3000 or abs(share * size - 3000) < 20)
+
+
 def fuzz(n):
     r = random.Random(2)
     parts = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "\x1c", " ", "　", "é", "1", "23", "'s", "'", "<|endoftext|>", "!", "漢", "word", "\r\n", "🙂", "\x00", "​", "\x85", "²", "ǅ"]
