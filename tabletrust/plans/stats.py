@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +67,32 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return beta_share(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def p_value(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f), as a column."""
+
+    def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        return pd.Series([f_tail(*x) for x in zip(f, d1, d2, strict=True)], dtype=float)
+
+    return F.pandas_udf(tail, "double")(f.cast("double"), d1.cast("double"), d2.cast("double"))
+
+
 def anova(groups: DataFrame, mean: str, sd: str, n: str) -> DataFrame:
-    """One row: k, f, df_between, df_within, from each group's mean, sample deviation and size. Groups without a deviation
-    are left out; no row for fewer than two groups, no deviation at all or no degree of freedom."""
+    """One row: k, f, df_between, df_within, p, from each group's mean, sample deviation and size. Groups without a deviation
+    are left out; no row for fewer than two groups, no deviation at all or no degree of freedom. Means are compared with the
+    mean of all before they are squared, so large means lose nothing."""
     g = groups.where(F.col(sd).isNotNull() & F.col(mean).isNotNull())
-    s = g.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(F.col(n) * F.col(mean)).alias("s"), F.sum(F.col(n) * F.col(mean) * F.col(mean)).alias("q"), F.sum((F.col(n) - 1) * F.col(sd) * F.col(sd)).alias("ssw"))
-    ssb = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    all_of = g.agg((F.sum(F.col(n) * F.col(mean)) / F.sum(n)).alias("_mean"))  # one row
+    apart = F.col(mean) - F.col("_mean")
+    s = g.crossJoin(F.broadcast(all_of)).agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(F.col(n) * apart * apart).alias("ssb"), F.sum((F.col(n) - 1) * F.col(sd) * F.col(sd)).alias("ssw"))
     ok = s.where((F.col("k") >= 2) & (F.col("ssw") > 0) & (F.col("n") > F.col("k")))
-    return ok.select("k", ((ssb / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))).alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
+    rows = ok.select("k", ((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))).alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
+    return rows.withColumn("p", p_value(F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
 def anova_p(groups: DataFrame, mean: str, sd: str, n: str) -> tuple[float, float] | None:
     """F and p of the analysis of variance; None where there is none."""
     r = anova(groups, mean, sd, n).first()
-    return (r.f, f_tail(r.f, r.df_between, r.df_within)) if r else None
+    return (r.f, r.p) if r else None
 
 
 def count_columns(names: list[str]) -> list[str]:

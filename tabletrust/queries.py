@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import text
 from tabletrust.functions.text import to_long
-from tabletrust.operators import discover, enrich, lines, profile, rubric, status, treat
+from tabletrust.operators import discover, enrich, lines, plans, profile, rubric, status, treat
 from tabletrust.plans import charts, logs, shapes, stats
-from tabletrust.sources import files, publish
+from tabletrust.sources import files, publish, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -631,6 +631,31 @@ def _(spark, sf_dir):
     return publish.upsert(rows, rows.where("k % 10 = 0").withColumn("v", F.lit(2)), ["k"], "v")
 
 
+@register("store_change", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS v FROM orders WHERE o_orderkey % 7 <> 0")
+def _(spark, sf_dir):
+    rows, root = read(spark, sf_dir, "orders").selectExpr("o_orderkey k", "1 v"), f"{publish.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.publish(rows, root, ["k"], 16)
+    store.change(spark, root, upserts=rows.where("k % 10 = 0").withColumn("v", F.lit(2)))
+    store.change(spark, root, deletes=rows.where("k % 7 = 0"))
+    return store.read(spark, root)
+
+
+@register("store_rollback", "SELECT 'now' AS generation, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS n FROM orders UNION ALL SELECT 'before', count(*) FROM orders")
+def _(spark, sf_dir):
+    rows, root = read(spark, sf_dir, "orders").select("o_orderkey"), f"{publish.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.publish(rows.where("o_orderkey % 2 = 0"), root)
+    store.publish(rows, root)
+    store.rollback(spark, root)
+    return store.read(spark, root).agg(F.count(F.lit(1)).alias("n")).select(F.lit("now").alias("generation"), "n").unionByName(store.read(spark, root, "before").agg(F.count(F.lit(1)).alias("n")).select(F.lit("before").alias("generation"), "n"))
+
+
+@register("plan_replay", with_dirty(f"SELECT id, status, tags, amount, quantity FROM ({_CLEAN})"))
+def _(spark, sf_dir):
+    df, root = dirty(spark, sf_dir).select("id", "status", "tags", "amount", "quantity"), f"{publish.shared_folder(spark)}/plans-{uuid.uuid4().hex}"
+    plans.remember(spark, root, plans.plans_of(df, rubric.issues(df, "orders"), "orders"))
+    return plans.replay(spark, root, df, "orders").table.withColumn("id", F.col("id").cast("long"))
+
+
 _STATUS = "SELECT c_mktsegment AS table_name, CASE WHEN c_mktsegment < 'C' THEN 'fail' WHEN c_mktsegment < 'I' THEN 'warn' ELSE 'pass' END AS status, count(*) AS n FROM customer GROUP BY c_mktsegment"
 
 
@@ -669,7 +694,17 @@ def _(spark, sf_dir):
 @register("anova_segments", f"WITH g AS ({_RANKED}), s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * avg_price) AS s, sum(n * avg_price * avg_price) AS q, sum((n - 1) * stddev_price * stddev_price) AS w FROM g) SELECT k, round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 5) AS f, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM s")
 def _(spark, sf_dir):
     ranked = shapes.rank_groups(_priced(spark, sf_dir), ["c_mktsegment"], {"price": "o_totalprice"})
-    return stats.anova(ranked, "avg_price", "stddev_price", "n").withColumn("f", F.round("f", 5))
+    return stats.anova(ranked, "avg_price", "stddev_price", "n").withColumn("f", F.round("f", 5)).drop("p")
+
+
+_MODES = "SELECT o_orderkey % 3 AS part, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1"
+
+
+# With three groups the tail of F is a power.
+@register("anova_p", f"WITH g AS ({_MODES}), a AS (SELECT sum(n * m) / sum(n) AS grand, sum(n) AS n FROM g), f AS (SELECT any_value(a.n) - 3 AS d, (sum(g.n * (m - grand) ** 2) / 2) / (sum((g.n - 1) * s * s) / (any_value(a.n) - 3)) AS f FROM g, a) SELECT round(f, 5) AS f, CAST(d AS BIGINT) AS df_within, round(pow(1 + 2 * f / d, -d / 2), 6) AS p FROM f")
+def _(spark, sf_dir):
+    parts = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 3).alias("part")).agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
+    return stats.anova(parts, "m", "s", "n").select(F.round("f", 5).alias("f"), "df_within", F.round("p", 6).alias("p"))
 
 
 @register("outlier_groups", "WITH g AS (SELECT c_nationkey, sum(c_acctbal) AS v FROM customer GROUP BY 1) SELECT round(max(v), 2) AS max, round(median(v), 2) AS median, count(v) AS groups, count(v) >= 3 AND median(v) > 0 AND max(v) > 3 * median(v) AS flagged FROM g")

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabletrust.functions.text import sanitized, to_long
-from tabletrust.operators import discover, enrich, lines, profile, rubric, status, treat
+from tabletrust.operators import discover, enrich, lines, plans, profile, rubric, status, treat
 from tabletrust.plans import charts, clauses, logs, ranks, shapes, stats
-from tabletrust.sources import files, publish
+from tabletrust.sources import files, publish, store
 
 PAIRS = {
     "placeholder_tokens": ("status", ["9999", "TBD", "a", "b", "c", "d", "e", "f", "g", "h"], ["a", "b", "c"]),
@@ -159,6 +159,45 @@ def test_sql_scan():
         assert clauses.shape(odd)["computed"] == []
 
 
+def test_store_pointer_and_buckets(spark, tmp_path):
+    root = f"file://{tmp_path}/table"
+    store.publish(spark.range(100).selectExpr("id AS k", "1 AS v"), root, ["k"], 8)
+    state = store._pointer(spark, root, 0)["now"]
+    assert store.change(spark, root, upserts=spark.createDataFrame([(5, 2)], "k long, v int")) == 1
+    now = store._pointer(spark, root, 1)["now"]
+    assert len({b for b in now["at"] if now["at"][b] != state["at"][b]}) == 1  # a change of one row writes one bucket
+    got = {r.k: r.v for r in store.read(spark, root).collect()}
+    assert len(got) == 100 and got[5] == 2 and sum(got.values()) == 101
+    assert store.read(spark, root, "before").where("v = 2").isEmpty()
+    assert store.change(spark, root, deletes=spark.createDataFrame([(5,), (6,)], "k long")) in (1, 2) and store.read(spark, root).count() == 98
+    assert store.rollback(spark, root) and store.read(spark, root).count() == 100
+    assert store.rollback(spark, root) and store.read(spark, root).count() == 98
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._point(spark, root, 0, now, None)
+    with pytest.raises(Exception):
+        store.publish(spark.range(3).select((F.lit(1) / F.raise_error(F.lit("broken"))).alias("k")), root)
+    assert store.read(spark, root).count() == 98  # a failed build changes nothing
+
+
+def test_plans_are_replayed_checked_and_dropped(spark, tmp_path):
+    root = f"file://{tmp_path}/plans"
+    kind = "line long, state string, tags string, price string"
+    rows = [(k, "TBD" if k % 9 == 0 else "ok", ["a,b", "a;b", "a|b"][k % 3], f"${k}" if k % 4 == 0 else str(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, kind)
+    assert plans.replay(spark, root, df, "t").used == []
+    plans.remember(spark, root, plans.plans_of(df, rubric.issues(df, "t"), "t"))
+    plans.remember(spark, root, plans.plans_of(df, rubric.issues(df, "t"), "t").withColumn("table", F.lit("other")))
+    kept = store.read(spark, root).where("table = 't'").count()
+    fresh = spark.createDataFrame([(k, "TBD", "x;y", "$7") if k == 3 else r for k, r in enumerate(rows)], kind)
+    made = plans.replay(spark, root, fresh, "t")
+    row = made.table.where("line = 3").first()
+    assert row.state is None and row.tags == "x,y" and row.price == 7.0 and len(made.used) == kept and made.dropped == []
+    made = plans.replay(spark, root, fresh.drop("tags"), "t")  # a plan without its column goes
+    assert len(made.dropped) == 1 and store.read(spark, root).where("table = 't'").count() == kept - 1
+    plans.forget(spark, root, "t")
+    assert store.read(spark, root).select("table").distinct().collect() == [("other",)]
+
+
 def test_publish_and_rollback(spark):
     publish.publish(spark.range(3), "pub_t")
     publish.publish(spark.range(5), "pub_t")
