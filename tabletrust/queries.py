@@ -566,6 +566,90 @@ _LINES = """CASE WHEN o_orderkey % 83 = 0 THEN 'id,na#me' WHEN o_orderkey % 89 =
 _FLAWED = "o_orderkey % 83 <> 0 AND o_orderkey % 89 <> 0"
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    return f"{publish.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("json_lines", "SELECT event_id, event_type, value FROM events WHERE event_id % 9 <> 0")
+def _(spark, sf_dir):
+    path, events = _shared(spark, "jsonl"), read(spark, sf_dir, "events")
+    good = F.to_json(F.struct("event_id", "event_type", "value"))
+    events.select(F.when(F.col("event_id") % 9 == 0, F.lit('{"event_id": ')).otherwise(good).alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "event_id long, event_type string, value double")
+
+
+@register("json_table", "SELECT r_regionkey, r_name FROM region")
+def _(spark, sf_dir):
+    path = _shared(spark, "json")
+    rows = read(spark, sf_dir, "region").agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))  # five regions
+    rows.write.text(path)
+    return files.read_json(spark, path).select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+@register("log_append", "SELECT event_type, count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    path, events = _shared(spark, "log"), read(spark, sf_dir, "events").select("event_id", "event_type")
+    publish.append_log(events, path)
+    publish.append_log(events.where("event_id % 2 = 0"), path)
+    return files.read_jsonl(spark, path, "event_id long, event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("csv_export", "SELECT c_mktsegment AS \"C Mktsegment\", round(avg(c_acctbal), 2) AS \"Avg Balance\" FROM customer GROUP BY 1")
+def _(spark, sf_dir):
+    path = _shared(spark, "export")
+    publish.export_csv(read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("avg_balance")), path)
+    return files.read_csv_audit(spark, path).withColumn("Avg Balance", F.col("`Avg Balance`").cast("double"))
+
+
+@register("capped_result", "SELECT * FROM (SELECT o_orderkey, true AS truncated FROM orders ORDER BY o_orderkey LIMIT 200) UNION ALL SELECT n_nationkey, false FROM nation")
+def _(spark, sf_dir):
+    out = None
+    for df in (read(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey"), read(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS o_orderkey")):
+        rows, more = publish.capped(df)
+        made = rows.withColumn("truncated", F.lit(more))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@register("saved_metric", "SELECT o_orderpriority, round(sum(o_totalprice) / count(DISTINCT o_custkey), 4) AS spend FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    kept = spark.createDataFrame([status.parse_metric("define metric Spend as sum(o_totalprice) / count(DISTINCT o_custkey) -- per customer"), ("old", "count(*)", "")], "metric_name string, fragment string, description string")
+    kept, there = publish.delete_metric(kept, "old")
+    row = kept.first()
+    made = status.apply_metric(read(spark, sf_dir, "orders"), ["o_orderpriority"], row.metric_name, row.fragment)
+    return made.withColumn("spend", F.round("spend", 4)).where(F.lit(there))
+
+
+@register("generation_columns", "SELECT 'o_comment_part' AS gone, 'first_word,second_word' AS added, count(*) AS n FROM orders")
+def _(spark, sf_dir):
+    before = read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("o_comment_part"))
+    after = treat.composite_split(before, "o_comment_part", r"^(\S+) (.*)$", ("first_word", "second_word"))
+    root = _shared(spark, "generations")
+    store.publish(before, root)
+    store.publish(after, root)
+    gone, added = profile.column_diff(store.read(spark, root, "before").columns, store.read(spark, root).columns)
+    fits = enrich.shape_ok(["o_orderkey"], after.columns, ["first_word", "second_word"])
+    return store.read(spark, root).where(F.lit(fits)).agg(F.lit(",".join(gone)).alias("gone"), F.lit(",".join(added)).alias("added"), F.count(F.lit(1)).alias("n"))
+
+
+@register("query_notes", f"SELECT conv_id, turn, 'orders' AS table_name, 'never checked' AS warning FROM ({RUNS})")
+def _(spark, sf_dir):
+    log = view(spark, sf_dir, RUNS).withColumn("run", F.struct("conv_id", "turn"))
+    touched = logs.tables_touched(log, spark.createDataFrame([("orders",), ("part",)], "table string"), "run").select(F.col("run").alias("query_id"), F.col("table").alias("table_name"))
+    notes = spark.createDataFrame([("orders", "never checked"), ("part", "stale")], "table_name string, warning string")
+    return stats.relevant_notes(notes, touched).select("query_id.conv_id", "query_id.turn", "table_name", "warning")
+
+
+@register("eligible_columns", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").withColumn("tbd", F.when(F.col("o_orderkey") % 9 == 0, "TBD").otherwise("x"))
+    flagged = [r["column"] for r in rubric.failing_columns(rubric.issues(orders.select("tbd", "o_orderpriority"), "orders")).collect()]
+    group = discover.eligible_columns(["tbd", "o_orderpriority"], flagged, [], [])
+    made = shapes.rank_groups(orders, group, {"price": "o_totalprice"})
+    counts, means = stats.count_columns(made.columns), stats.mean_columns(made.columns)
+    return made.select(*group, *counts, *(F.round(c, 4).alias(c) for c in means))
+
+
 @register("csv_line_issues", f"SELECT 'ragged_rows' AS category, count(*) FILTER (WHERE o_orderkey % 97 = 0 AND {_FLAWED}) AS affected FROM orders UNION ALL SELECT 'unmatched_quote', count(*) FILTER (WHERE o_orderkey % 89 = 0 AND o_orderkey % 83 <> 0) FROM orders UNION ALL SELECT 'repeated_header', count(*) FILTER (WHERE o_orderkey % 83 = 0) FROM orders UNION ALL SELECT 'encoding', count(*) FILTER (WHERE o_orderkey % 79 = 0 AND o_orderkey % 97 <> 0 AND {_FLAWED}) FROM orders UNION ALL SELECT 'trailing_empty', 2 UNION ALL SELECT 'header_special', 1 UNION ALL SELECT 'header_issues', 1 UNION ALL SELECT 'bom', 1")
 def _(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").selectExpr("1 AS part", "o_orderkey AS k", f"{_LINES} AS value")
