@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrust.functions import hints
-from tabletrust.functions.text import to_long
 
 
 def inspect_values(df: DataFrame, column: str, n: int = 40, seed: int = 0) -> DataFrame:
@@ -37,24 +36,76 @@ def name_similarity(columns: list[str]) -> dict[tuple[str, str], float]:
     return {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] | words[b] else 0.0 for i, a in enumerate(columns) for b in columns[i + 1 :]}
 
 
-def column_pairs(df: DataFrame, top: int = hints.PAIRS, share: float = 1.0) -> DataFrame:
-    """a, b, names (similarity), values (overlap of distinct values), score: the likeliest pairs of one content.
-
-    share: of values, taken by hash, that the overlap is counted on; candidates are verified on all rows later.
+def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column (its place in the list) and h (a 64-bit hash of the text) of every non-null cell."""
+    cells = F.array(*(F.struct(F.lit(i).alias("column"), F.xxhash64(F.col(f"`{c}`").cast("string")).alias("h"), F.col(f"`{c}`").isNotNull().alias("known")) for i, c in enumerate(columns)))
+    return df.select(F.explode(cells).alias("_c")).where("_c.known").select("_c.column", "_c.h")
+
+
+def signatures(df: DataFrame, columns: list[str], sample: int) -> tuple[DataFrame, dict[int, int], set[int]]:
+    """Each column's lowest hashes, about `sample` of them (column, h), the distinct values of each, roughly, and the columns
+    whose every hash is in."""
+    cells = _hashed(df, columns)
+    sizes = {r["column"]: r["d"] for r in cells.groupBy("column").agg(F.approx_count_distinct("h", 0.02).alias("d")).collect()}  # one number a column
+    whole = {c for c, d in sizes.items() if d <= sample}
+    limits = {c: (1 << 63) - 1 if c in whole else -(1 << 63) + int((1 << 64) * sample / d) for c, d in sizes.items()}
+    if not limits:
+        return cells, sizes, whole
+    limit = F.element_at(F.create_map(*(F.lit(x) for c, top in limits.items() for x in (c, F.lit(top).cast("long")))), F.col("column"))
+    return cells.where(F.col("h") <= limit).distinct(), sizes, whole
+
+
+def _contained(df: DataFrame, columns: list[str], sample: int) -> dict[tuple[int, int], tuple[float, bool]]:
+    """Share of the smaller column's distinct values that the larger one holds, as its signature tells, and whether that is exact."""
+    low, sizes, whole = signatures(df, columns, sample)
+    if not sizes:
+        return {}
+    small = low.toDF("a", "h")
+    # At most a signature a column: a table of bounded size, unless there are very many columns.
+    small = F.broadcast(small) if len(sizes) * sample <= 1 << 20 else small
+    met = _hashed(df, columns).join(small, "h").select("a", F.col("column").alias("b"), "h").distinct()
+    hits = {(r["a"], r["b"]): r["n"] for r in met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a pair of columns
+    out = {}
+    for a in sizes:
+        for b in (b for b in sizes if a < b):
+            true = {c: hits[c, c] if c in whole else sizes[c] for c in (a, b)}
+            x, y = (a, b) if true[a] <= true[b] else (b, a)
+            out[a, b] = (hits.get((x, y), 0) / hits[x, x] if (x, x) in hits else 0.0, x in whole and (y in whole or true[y] > 1.2 * true[x]))
+    return out
+
+
+def _exact(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The same share by all distinct values of the columns of these pairs."""
+    used = sorted({c for p in pairs for c in p})
+    places = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(used) for x in (i, c))), F.col("column"))
+    values = _hashed(df, [columns[c] for c in used]).distinct().groupBy("h").agg(F.sort_array(F.collect_set(places)).alias("cs"))  # at most the table's columns
+    wanted = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in [*pairs, *((c, c) for c in used)]))
+    met = values.select(F.explode(F.filter(wanted, lambda p: F.array_contains("cs", p[0]) & F.array_contains("cs", p[1]))).alias("p"))
+    n = {tuple(r["p"]): r["n"] for r in met.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {(a, b): n.get((a, b), 0) / least if (least := min(n.get((a, a), 0), n.get((b, b), 0))) else 0.0 for a, b in pairs}
+
+
+def column_pairs(df: DataFrame, top: int = hints.PAIRS, sample: int = 4096) -> DataFrame:
+    """a, b, names (similarity), values (overlap: shared distinct values over the smaller column's), score: the likeliest pairs of one content.
+
+    Every column gives a signature, its lowest hashes, and one pass counts which columns hold them; that tells how much of the
+    smaller column the larger one holds, whatever their sizes, and no value is shuffled. Only pairs that may be among the best
+    (within five standard errors) are counted on all their distinct values, by 64-bit hashes; the result is exact. Null cells are
+    left out; columns without values overlap with nothing; equal scores go by name.
     """
-    values = to_long(df).where("value is not null").select("column", "value").distinct()
-    if share < 1:
-        values = values.where(F.pmod(F.xxhash64("value"), F.lit(1000)) < int(1000 * share))
-    sizes = values.groupBy("column").count()
-    # A value meets at most the table's columns.
-    met = values.groupBy("value").agg(F.sort_array(F.collect_set("column")).alias("cs")).where("size(cs) > 1")
-    pairs = met.select(F.explode("cs").alias("a"), "cs").select("a", F.explode("cs").alias("b")).where("a < b").groupBy("a", "b").count()
-    scored = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    names = [(min(a, b), max(a, b), s) for (a, b), s in name_similarity(df.columns).items()] or [("", "", 0.0)]
-    named = df.sparkSession.createDataFrame(names, "a string, b string, names double")
-    overlap = F.col("count") / F.least("na", "nb")
-    out = named.join(scored.select("a", "b", overlap.alias("values")), ["a", "b"], "left").fillna(0.0).withColumn("score", F.round(F.col("names") + F.col("values"), 6))
-    return out.where("a <> ''").orderBy(F.desc("score"), "a", "b").limit(top)
+    columns = df.columns
+    named = name_similarity(columns)
+    told = _contained(df, columns, sample)
+    rows = {(i, j): [named[columns[i], columns[j]], *told.get((i, j), (0.0, True))] for i in range(len(columns)) for j in range(i + 1, len(columns))}
+    margin = 2.5 / sample**0.5
+    best = sorted((n + v - (0 if exact else margin) for n, v, exact in rows.values()), reverse=True)
+    least = best[min(top, len(best)) - 1] if best else 0.0
+    open_pairs = [p for p, (n, v, exact) in rows.items() if not exact and n + v + margin >= least]
+    for p, v in (_exact(df, columns, open_pairs) if open_pairs else {}).items():
+        rows[p][1:] = [v, True]
+    found = [(*sorted((columns[i], columns[j])), n, v, round(n + v, 6)) for (i, j), (n, v, exact) in rows.items() if exact]
+    found = sorted(found, key=lambda r: (-r[4], r[0], r[1]))[:top]
+    return df.sparkSession.createDataFrame(found, "a string, b string, names double, values double, score double")
 
 
 def verify_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

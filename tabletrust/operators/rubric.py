@@ -23,31 +23,63 @@ def is_list(value: Column, delimiter: str) -> Column:
     return (F.size(parts) >= 2) & F.forall(parts, lambda p: F.trim(p).rlike(r"^[\w \-]{1,30}$"))
 
 
-def cell_stats(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
-    """Counts per table and column; every count-type check reads only these.
+#: Characters beyond which a cell is counted by a hash of its text.
+LONG = 64
+
+#: Yes-or-no facts of a value, each a bit of `flags`.
+FLAGS = [
+    "numeric", "dates", "padded", "noisy_prose", "negative", "odd_years", "currency", "units", "locale_us", "locale_eu", "float_noise", "formulas", "sheet_errors", "control",
+    *(f"lists_{i}" for i in range(len(hints.DELIMITERS))), "with_time",
+]
+
+
+def _facts(df: DataFrame, value: str, as_of_year: int) -> DataFrame:
+    """Adds what the checks need to know of a text: folded (hash of the trimmed lower case), format, placeholder, boolean, symbol, flags."""
+    v, bare, low, ts, num = (F.col(c) for c in (value, "_bare", "_low", "_ts", "_num"))
+    tokens = hints.TRUE_TOKENS + hints.FALSE_TOKENS
+    conditions = [
+        num.isNotNull(), ts.isNotNull(), v != bare, v.rlike(hints.BULLETS) | v.contains("\n"), num < 0, (F.year(ts) < 1900) | (F.year(ts) > as_of_year + 1), v.rlike(hints.CURRENCY), F.lower(v).rlike(hints.UNIT),
+        bare.rlike(hints.LOCALE_US), bare.rlike(hints.LOCALE_EU), num.isNotNull() & bare.rlike(hints.FLOAT_NOISE), v.rlike(hints.FORMULA), bare.isin(hints.SHEET_ERRORS), v.rlike(hints.CONTROL),
+        *(is_list(v, d) for d in hints.DELIMITERS), ts.isNotNull() & v.rlike(hints.TIME_OF_DAY),
+    ]
+    flags = reduce(Column.bitwiseOR, [F.when(x, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(conditions)])
+    dated = F.when(bare.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d"), bare)
+    numeric = F.when(bare.rlike(hints.NUMBER), bare.try_cast("double"))
+    read = df.withColumn("_bare", strip(v)).withColumns({"_low": F.lower("_bare"), "_ts": timestamp(dated), "_num": numeric})
+    return read.withColumns({
+        "folded": F.when(v.isNotNull(), F.xxhash64("_low")), "format": date_format(dated), "placeholder": F.when(low.isin(hints.PLACEHOLDERS), low),
+        "boolean": F.when(low.isin(tokens), low), "symbol": F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1)), "flags": flags,
+    }).drop("_bare", "_low", "_ts", "_num")
+
 
-    Equal cells of a column are counted first, so each distinct value is looked at once and only values travel.
+def distinct_cells(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """Each distinct cell of a column with its number of rows (c), length, and facts.
+
+    Cells of up to LONG characters are counted by their text and looked at once each. Longer ones never travel: their facts are read
+    where they lie, and they are counted by two 64-bit hashes, so a column of prose shuffles a few numbers a cell.
     """
-    cells = long.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"))
-    v, bare, c = F.col("value"), F.col("bare"), F.col("c")
-    dated = F.when(F.col("bare").rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d"), F.col("bare"))
-    seen = cells.withColumn("bare", strip(v)).withColumns({"low": F.lower("bare"), "ts": timestamp(dated), "num": number(v)})
-    low, ts, num = F.col("low"), F.col("ts"), F.col("num")
+    size = F.length("value")
+    told = long.select("table", "column", F.when(size <= LONG, F.col("value")).alias("short"), F.when(size > LONG, F.col("value")).alias("long"), size.alias("length"))
+    made = ["folded", "format", "placeholder", "boolean", "symbol", "flags"]
+    marks = [F.when(F.col("long").isNotNull(), F.xxhash64(F.lit(i), "long")).alias(f"h{i}") for i in (1, 2)]
+    read = _facts(told, "long", as_of_year).select("table", "column", "short", "length", *marks, *(F.col(c).alias(f"long_{c}") for c in made))
+    cells = read.groupBy(*read.columns).agg(F.count(F.lit(1)).alias("c"))
+    both = {c: F.col("flags").bitwiseOR(F.col("long_flags")) if c == "flags" else F.coalesce(f"long_{c}", c) for c in made}
+    return _facts(cells, "short", as_of_year).withColumns(both).select("table", "column", "c", "length", *made)
+
+
+def cell_stats(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """Counts per table and column; every count-type check reads only these."""
+    c, known = F.col("c"), F.col("length").isNotNull()
     times = lambda condition: F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
-    tokens = hints.TRUE_TOKENS + hints.FALSE_TOKENS
-    return seen.groupBy("table", "column").agg(
-        F.sum("c").alias("rows"), times(v.isNotNull()).alias("n"), (F.sum(F.length("value") * c) / times(v.isNotNull())).alias("mean_length"),
-        F.count("value").alias("distinct"), F.count_distinct(F.xxhash64(F.when(v.isNotNull(), low))).alias("distinct_normal"), F.max(v.isNull().cast("int")).alias("null_seen"),
-        times(num.isNotNull()).alias("numeric"), times(ts.isNotNull()).alias("dates"), F.array_sort(F.collect_set(date_format(dated))).alias("formats"),
-        times(v != bare).alias("padded"), times(v.rlike(hints.BULLETS) | v.contains("\n")).alias("noisy_prose"), times(num < 0).alias("negative"),
-        times((F.year(ts) < 1900) | (F.year(ts) > as_of_year + 1)).alias("odd_years"),
-        times(low.isin(hints.PLACEHOLDERS)).alias("placeholders"), F.array_sort(F.collect_set(F.when(low.isin(hints.PLACEHOLDERS), low))).alias("placeholder_tokens"),
-        times(low.isin(tokens)).alias("booleans"), F.array_sort(F.collect_set(F.when(low.isin(tokens), low))).alias("boolean_tokens"),
-        times(v.rlike(hints.CURRENCY)).alias("currency"), times(F.lower(v).rlike(hints.UNIT)).alias("units"), F.array_sort(F.collect_set(F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1)))).alias("symbols"),
-        times(bare.rlike(hints.LOCALE_US)).alias("locale_us"), times(bare.rlike(hints.LOCALE_EU)).alias("locale_eu"), times(bare.rlike(hints.FLOAT_NOISE) & num.isNotNull()).alias("float_noise"),
-        times(v.rlike(hints.FORMULA)).alias("formulas"), times(bare.isin(hints.SHEET_ERRORS)).alias("sheet_errors"), times(v.rlike(hints.CONTROL)).alias("control"),
-        *(times(is_list(v, d)).alias(f"lists_{i}") for i, d in enumerate(hints.DELIMITERS)), times(ts.isNotNull() & v.rlike(hints.TIME_OF_DAY)).alias("with_time"),
-    ).withColumn("distinct_normal", F.col("distinct_normal") - F.col("null_seen"))
+    tokens = lambda name: F.array_sort(F.collect_set(name))  # noqa: E731  (a few fixed tokens)
+    return distinct_cells(long, as_of_year).groupBy("table", "column").agg(
+        F.sum("c").alias("rows"), times(known).alias("n"), (F.sum(F.col("length") * c) / times(known)).alias("mean_length"),
+        F.count("length").alias("distinct"), F.count_distinct("folded").alias("distinct_normal"), tokens("format").alias("formats"),
+        times(F.col("placeholder").isNotNull()).alias("placeholders"), tokens("placeholder").alias("placeholder_tokens"),
+        times(F.col("boolean").isNotNull()).alias("booleans"), tokens("boolean").alias("boolean_tokens"), tokens("symbol").alias("symbols"),
+        *(times(F.col("flags").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(FLAGS)),
+    )
 
 
 Check = tuple[str, Column, Column, Column, dict[str, Column]]
@@ -114,9 +146,14 @@ def lost_leading_zeros(long: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, table: str = "t", ignore: list[str] = ()) -> DataFrame:
-    """Rows beyond the first of each group of equal rows; row-index columns are ignored. Nulls are equal."""
-    cols = [c for c in df.columns if c not in ignore]
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("extra"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
+    """Rows beyond the first of each group of equal rows; row-index columns are ignored. Nulls are equal.
+
+    Rows are told apart by two 64-bit hashes of all their values, so no text is a grouping key, however long it is.
+    """
+    # Nulls leave a hash as it is, so a mark says which values are null.
+    cols = [x for c in df.columns if c not in ignore for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    marked = df.select(F.xxhash64(F.lit(1), *cols).alias("_h1"), F.xxhash64(F.lit(2), *cols).alias("_h2"))
+    groups = marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("extra"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
     return _issue(groups.select(F.lit(table).alias("table"), F.lit(None).cast("string").alias("column"), "extra", "n"), "duplicate_rows", F.col("extra") > 0, F.col("extra"), F.col("n"))
 
 

@@ -201,9 +201,17 @@ def _(spark, sf_dir):
     return discover.verify_pairs(two, [("a", "b")])
 
 
-@register("column_pairs", "WITH v AS (SELECT DISTINCT l_orderkey AS x FROM lineitem), w AS (SELECT DISTINCT l_partkey AS x FROM lineitem) SELECT 'l_orderkey' AS a, 'l_partkey' AS b, round(1.0 / 3 + (SELECT count(*) FROM v JOIN w USING (x)) / least((SELECT count(*) FROM v), (SELECT count(*) FROM w)), 6) AS score")
+_PAIRED = {c: c for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")} | {"l_quantity": "CAST(l_quantity AS BIGINT)", "order_part_key": "l_orderkey + l_partkey"}
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({e} AS VARCHAR) AS x FROM lineitem" for c, e in _PAIRED.items())
+
+
+@register("column_pairs", f"""WITH v AS (SELECT DISTINCT c, x FROM ({_CELLS}) WHERE x IS NOT NULL), n AS (SELECT c, count(*) AS n FROM v GROUP BY c),
+ w AS (SELECT c, n, list_distinct(regexp_extract_all(c, '[a-z]+')) AS words FROM n), m AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM v a JOIN v b ON a.x = b.x AND a.c < b.c GROUP BY 1, 2)
+ SELECT p.c AS a, q.c AS b, round(coalesce(k, 0) / least(p.n, q.n), 6) AS "values", round(len(list_intersect(p.words, q.words)) / len(list_distinct(list_concat(p.words, q.words))) + coalesce(k, 0) / least(p.n, q.n), 6) AS score
+ FROM w p JOIN w q ON p.c < q.c LEFT JOIN m ON m.a = p.c AND m.b = q.c ORDER BY score DESC, 1, 2 LIMIT 10""")
 def _(spark, sf_dir):
-    return discover.column_pairs(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).select("a", "b", "score")
+    rows = read(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in _PAIRED.items()))
+    return discover.column_pairs(rows).select("a", "b", F.round("values", 6).alias("values"), "score")
 
 
 @register("inspect_values", "SELECT value, 'rare' AS how FROM (SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS c FROM orders GROUP BY 1 ORDER BY c, value LIMIT 20)")

@@ -287,3 +287,39 @@ def test_status_and_logs(spark):
 
 def test_long_form(spark):
     assert to_long(spark.createDataFrame([(1, "a")], "x int, `y z` string")).count() == 2
+
+
+def test_long_cells_are_counted_by_hash(spark, monkeypatch):
+    texts = [None, "", "x", "  x ", "X", "TBD", "$5", "1,234.56", "2021-03-05", "2021-03-05 10:30", "1850-01-01", "-3", "=SUM(A1)", "y", "0", "a,b", "a;b", "19.989999999999998", "5 kg", "\x01"]
+    texts += [(t or "") + " " * 80 for t in texts] + ["word • " * 40, "Word • " * 40, "word • " * 40, "long\nline " * 30]
+    df = spark.createDataFrame([(t, t) for t in texts * 2], "v string, start_date string")
+    ours = rubric.cell_stats(rubric.to_long(df)).orderBy("column").collect()
+    for limit in (0, 3, 10_000):
+        monkeypatch.setattr(rubric, "LONG", limit)
+        assert rubric.cell_stats(rubric.to_long(df)).orderBy("column").collect() == ours
+    first = ours[1].asDict()
+    known = [t for t in texts if t is not None]
+    assert first["distinct"] == len(set(known)) and first["distinct_normal"] == len({t.strip().lower() for t in known})
+    assert first["rows"] == 2 * len(texts) and first["n"] == 2 * len(known) and first["placeholders"] == 4 and first["noisy_prose"] == 8 and first["negative"] == 4
+
+
+def test_equal_rows_by_hash_keep_nulls_apart(spark):
+    rows = [(None, "a"), ("a", None), (None, None), (None, None), ("a", ""), ("", "a"), ("t" * 9000, "b"), ("t" * 9000, "b"), ("t" * 9000, "c")]
+    r = rubric.duplicate_rows(spark.createDataFrame(rows, "x string, y string")).first()
+    assert (r.affected, r.total) == (2, 9)
+    assert rubric.duplicate_rows(spark.createDataFrame([], "x string")).count() == 0
+
+
+def test_column_pairs_by_signatures(spark):
+    df = spark.range(30_000).selectExpr("id", "id % 10 AS few", "id + 10000 AS shifted", "concat('k', id) AS other", "id * 3 AS third", "CAST(NULL AS STRING) AS none", "if(id % 3 = 0, NULL, id) AS `holes in`")
+    want = {}
+    values = {c: {str(r[0]) for r in df.select(f"`{c}`").distinct().collect() if r[0] is not None} for c in df.columns}
+    for (a, b), n in discover.name_similarity(df.columns).items():
+        least = min(len(values[a]), len(values[b]))
+        want[tuple(sorted((a, b)))] = round(n + (len(values[a] & values[b]) / least if least else 0.0), 6)
+    best = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:10]
+    for sample in (64, 4096, 1 << 20):
+        assert [((r.a, r.b), r.score) for r in discover.column_pairs(df, 10, sample).collect()] == best
+    low, sizes, whole = discover.signatures(df, df.columns, 1000)
+    assert whole == {1} and set(sizes) == {0, 1, 2, 3, 4, 6} and 800 < low.where("column = 0").count() < 1200
+    assert discover.column_pairs(df.limit(0)).count() == 10 and discover.column_pairs(df.select("id")).count() == 0
