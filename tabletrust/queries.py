@@ -16,7 +16,7 @@ from tabletrust.functions import text
 from tabletrust.functions.text import to_long
 from tabletrust.operators import discover, enrich, lines, plans, profile, rubric, status, treat
 from tabletrust.plans import charts, logs, shapes, stats
-from tabletrust.sources import files, publish, store
+from tabletrust.sources import files, folders, publish, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,6 +594,36 @@ def _(spark, sf_dir):
     return files.read_json(spark, path).select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
 
 
+def _by_nation(spark: SparkSession, sf_dir: str, columns: list[str], only: int | None = None) -> DataFrame:
+    """Customers, each nation's in one partition and in order, so that a nation is written as one file."""
+    rows = read(spark, sf_dir, "customer").where(F.lit(True) if only is None else F.col("c_nationkey") % 3 == only)
+    return rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").selectExpr("c_nationkey AS n", *columns)
+
+
+@register("folder_manifest", """SELECT n, 'csv' AS kind, 'id,code' AS "shape", octet_length(encode(t)) AS bytes, sha256(t) AS checksum FROM
+ (SELECT c_nationkey AS n, concat('id,code', chr(10), string_agg(concat(c_custkey, ',', c_nationkey), chr(10) ORDER BY c_custkey), chr(10)) AS t FROM customer GROUP BY 1)""")
+def _(spark, sf_dir):
+    path = _shared(spark, "folder")
+    _by_nation(spark, sf_dir, ["c_custkey AS id", "c_nationkey AS code"]).write.option("header", True).partitionBy("n").csv(path)
+    return folders.manifest(spark, path).select(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("int").alias("n"), "kind", "shape", "bytes", "checksum")
+
+
+@register("folder_tables", """SELECT CASE c_nationkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'csv quoted' ELSE 'jsonl' END AS kind, c_nationkey AS n, count(*) AS "rows", sum(c_custkey) AS ids,
+ max(CASE WHEN c_nationkey % 3 = 1 THEN concat('two', chr(10), 'lines, "', c_custkey, '"') ELSE c_mktsegment END) AS label FROM customer GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    path = _shared(spark, "mixed")
+    writer = lambda df: df.write.option("header", True).option("escape", '"').partitionBy("n")
+    writer(_by_nation(spark, sf_dir, ["c_custkey AS id", "c_mktsegment AS label"], 0)).csv(f"{path}/plain")
+    writer(_by_nation(spark, sf_dir, ["c_custkey AS number", """concat('two', chr(10), 'lines, "', c_custkey, '"') AS text"""], 1)).csv(f"{path}/quoted")
+    writer(_by_nation(spark, sf_dir, ["c_custkey AS id", "c_mktsegment AS label"], 2)).json(f"{path}/json")
+    found, _ = folders.tables(publish.stored(folders.manifest(spark, path), "manifest"))
+    parts = []
+    for name, df in found.items():
+        kind = "csv quoted" if "number" in df.columns else name.split("_")[0]
+        parts.append(df.toDF(*("id" if c == "number" else "label" if c == "text" else c for c in df.columns)).select(F.lit(kind).alias("kind"), F.col("id").cast("long"), "label", F.regexp_extract("_path", "/n=([0-9]+)/", 1).cast("int").alias("n")))
+    return files.union_tables(parts).groupBy("kind", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"), F.max("label").alias("label"))
+
+
 @register("log_append", "SELECT event_type, count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n FROM events GROUP BY 1")
 def _(spark, sf_dir):
     path, events = _shared(spark, "log"), read(spark, sf_dir, "events").select("event_id", "event_type")

@@ -1,7 +1,8 @@
-"""Reading raw files: audit reads with every column text, typed loads, JSON, JSON lines, HTML tables, folders, checksums."""
+"""Reading raw files: audit reads with every column text, typed loads, JSON, JSON lines, HTML tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -15,10 +16,16 @@ from tabletrust.functions.text import is_number, sanitized
 
 FIELD = '(?:^|,)("(?:[^"]|"")*"|[^,]*)'
 CORRUPT = "_corrupt_record"
+SOURCE = "_path"
 
 
 def null_strings(df: DataFrame, na: list[str]) -> DataFrame:
-    return df.select(*(F.when(~F.col(f"`{c}`").isin(na), F.col(f"`{c}`")).alias(c) if t == "string" and c != CORRUPT else F.col(f"`{c}`") for c, t in df.dtypes))
+    return df.select(*(F.when(~F.col(f"`{c}`").isin(na), F.col(f"`{c}`")).alias(c) if t == "string" and c not in (CORRUPT, SOURCE) else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def fields(line: str) -> list[str]:
+    """The fields of a header line as written, without quotes."""
+    return [a[1:-1].replace('""', '"') if a[:1] == '"' and a[-1:] == '"' and len(a) > 1 else a for a in re.findall(FIELD, line)]
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -45,17 +52,24 @@ def read_csv_audit(spark: SparkSession, path: str, na: list[str] | None = None,
     Files that aren't UTF-8 are read as ISO-8859-1. A file is split among tasks unless a quoted value may hold a line end.
     """
     encoding = encoding or encoding_of(spark, path)
-    names = header(spark, path)
+    made = read_csv_files(spark, path, header(spark, path), encoding, has_quoted_line_ends(spark, path), hints.NA_STRINGS if na is None else na)
+    return made.drop(SOURCE)
+
+
+def read_csv_files(spark: SparkSession, paths: str | list[str], names: list[str], encoding: str, quoted_ends: bool, na: list[str]) -> DataFrame:
+    """The same for files of one header whose encoding and quotes are known; the file's name is in _path."""
     seen: dict[str, int] = {}
     cols = []
     for name in names:
         seen[name] = seen.get(name, 0) + 1
         cols.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
-    schema = ", ".join(f"`{c}` string" for c in [*cols, CORRUPT])
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", has_quoted_line_ends(spark, path)).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in [*cols, CORRUPT])
+    raw = spark.read.schema(schema).option("header", True).option("multiLine", quoted_ends).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
     long_row = F.size(F.regexp_extract_all(F.col(CORRUPT), F.lit(FIELD), F.lit(1))) > len(cols)
-    kept = raw.where(F.col(CORRUPT).isNull() | ~long_row).drop(CORRUPT)
-    return null_strings(kept, hints.NA_STRINGS if na is None else na)
+    # Spark refuses reads of the corrupt record alone, as of a count; the first column goes along and changes nothing.
+    fits = F.coalesce(F.col(CORRUPT).isNull() | ~long_row, F.col(f"`{cols[0]}`").isNull()) if cols else F.lit(True)
+    kept = raw.withColumn(SOURCE, F.col("_metadata.file_path")).where(fits).drop(CORRUPT)
+    return null_strings(kept, na)
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -88,11 +102,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each file (of 2 GB at most)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("checksum"))
-
-
 def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
@@ -150,25 +159,5 @@ def largest_tables(pages: DataFrame) -> DataFrame:
     return rows.join(best, ["page_id", "table_no"])
 
 
-def normalize_folder(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """A table per readable file (csv, json, jsonl, html), and a DataFrame (path, error) of the others. Files stay as they are."""
-    tables, errors = {}, []
-    for path in paths:
-        kind = path.rsplit(".", 1)[-1].lower()
-        try:
-            if kind == "csv":
-                tables[path] = read_csv_audit(spark, path)
-            elif kind in ("json", "jsonl"):
-                tables[path] = read_json(spark, path) if kind == "json" else spark.read.json(path)
-            elif kind in ("html", "htm"):
-                whole = spark.read.option("wholetext", True).text(path).select(F.lit(0).cast("long").alias("page_id"), F.col("value").alias("html"))
-                tables[path] = largest_tables(whole).select("row_no", "cells")
-            else:
-                errors.append((path, f"no reader for .{kind}"))
-        except Exception as e:  # noqa: BLE001  (a file's error is a row of the result)
-            errors.append((path, str(e).splitlines()[0][:200]))
-    return tables, spark.createDataFrame(errors, "path string, error string")
-
-
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -1,6 +1,7 @@
 """Flawed and clean pairs, treatments that are stable, files, publishing, and statistics."""
 
 import csv
+import hashlib
 import random
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tabletrust.functions.text import sanitized, to_long
 from tabletrust.operators import discover, enrich, lines, plans, profile, rubric, status, treat
 from tabletrust.plans import charts, clauses, logs, ranks, shapes, stats
-from tabletrust.sources import files, publish, store
+from tabletrust.sources import files, folders, publish, store
 
 PAIRS = {
     "placeholder_tokens": ("status", ["9999", "TBD", "a", "b", "c", "d", "e", "f", "g", "h"], ["a", "b", "c"]),
@@ -74,11 +75,6 @@ def test_files(spark, tmp_path):
     assert sanitized(["A b", "a_b", "1x", ""]) == ["a_b", "a_b_2", "_1x", "col"]
     (tmp_path / "n.csv").write_text("Id,Share\n1,0.5\n2,\n")
     assert files.load_csv(spark, str(tmp_path / "n.csv")).dtypes == [("id", "bigint"), ("share", "double")]
-    (tmp_path / "p.html").write_text("<table><tr><td>a</td></tr></table><table><tr><td>b</td><td>c</td></tr></table>")
-    (tmp_path / "x.bin").write_text("x")
-    tables, errors = files.normalize_folder(spark, [str(tmp_path / n) for n in ("a.csv", "p.html", "x.bin")])
-    assert tables[str(tmp_path / "p.html")].first().cells == ["b", "c"] and errors.count() == 1
-    assert len(files.checksums(spark, str(tmp_path / "a.csv")).first().checksum) == 64
 
 
 def test_encodings_and_quoted_line_ends(spark, tmp_path):
@@ -323,3 +319,44 @@ def test_column_pairs_by_signatures(spark):
     low, sizes, whole = discover.signatures(df, df.columns, 1000)
     assert whole == {1} and set(sizes) == {0, 1, 2, 3, 4, 6} and 800 < low.where("column = 0").count() < 1200
     assert discover.column_pairs(df.limit(0)).count() == 10 and discover.column_pairs(df.select("id")).count() == 0
+
+
+def test_folder_of_many_shapes(spark, tmp_path):
+    place = tmp_path / "in put" / "deep"
+    place.mkdir(parents=True)
+    for i in range(40):
+        (place / f"a{i}.csv").write_text(f'id,name\n{i},"x, {i}"\n')
+    (place / "quoted.txt").write_text('id,name\n90,"two\nlines"\n91,"a ""b"""\n')
+    (place / "latin.csv").write_bytes("id,name\n92,Zoë\n".encode("latin-1"))
+    (place / "bom.csv").write_bytes("\ufeffid,name\n93,é\n".encode())
+    (place / "other.csv").write_text("_path,v,v\n1,2,3\n")
+    (place / "one.dat").write_text('{"k": 1, "l": [1, 2]}\n{"k": 2, "l": []}\nbroken\n')
+    (place / "list.json").write_text('[\n {"k": 3},\n {"k": 4}\n]')
+    (place / "p.html").write_text("<html><table><tr><td>a</td></tr></table><table><tr><td>b</td><td>c</td></tr></table>")
+    big = b"id,name\n" + b'7,"' + b"y" * (folders.CHUNK * 2) + b'"\n'
+    (place / "big.csv").write_bytes(big)
+    (place / "x.bin").write_bytes(b"PK\0\1")
+    (place / "empty.csv").write_text("")
+    (place / "bad.json").write_text("[1, 2")
+    (place / "_hidden.csv").write_text("a\n")
+    listed = publish.stored(folders.manifest(spark, str(tmp_path / "in put")), "manifest")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in listed.collect()}
+    assert len(rows) == 50 and {n for n, r in rows.items() if r.error} == {"x.bin", "bad.json"}
+    assert rows["big.csv"].checksum == hashlib.sha256(big).hexdigest() and rows["big.csv"].bytes == len(big)
+    assert rows["quoted.txt"].quoted_ends and not rows["big.csv"].quoted_ends and not rows["a3.csv"].quoted_ends
+    assert rows["latin.csv"].encoding == "ISO-8859-1" and rows["bom.csv"].encoding == "UTF-8"
+    found, errors = folders.tables(listed)
+    assert sorted(n.split("_")[0] for n in found) == ["csv", "csv", "html", "json", "jsonl"] and errors.count() == 2
+    kinds = {n: df for n, df in found.items()}
+    people = next(df for df in kinds.values() if df.columns[:2] == ["id", "name"])
+    got = {(int(r.id), r["name"]) for r in people.collect()}
+    assert got == {(i, f"x, {i}") for i in range(40)} | {(90, "two\nlines"), (91, 'a "b"'), (92, "Zoë"), (93, "é"), (7, "y" * (folders.CHUNK * 2))}
+    assert people.where("endswith(_path, 'a3.csv')").count() == 1
+    assert sorted(r.k for n, df in kinds.items() if n.startswith("json") for r in df.select("k").collect()) == [1, 2, 3, 4]
+    assert next(df for n, df in kinds.items() if n.startswith("html")).first().cells == ["b", "c"]
+    done = folders.convert(found, str(tmp_path / "out"))
+    assert all(done.values()) and not any(folders.convert(found, str(tmp_path / "out")).values())
+    name = next(n for n, df in found.items() if df is people)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "out" / name))
+    assert {(int(r.id), r["name"]) for r in back.collect()} == got
+    assert {len(r.checksum) for r in folders.checksums(spark, str(place)).collect()} == {64}
