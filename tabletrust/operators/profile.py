@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletrust.functions.text import to_long
+from tabletrust.sources import store
+from tabletrust.sources.publish import stored
 
 ID = r"(^|_)id$"
 
@@ -70,17 +72,54 @@ def bare(name: str, strip_prefix: bool) -> str:
     return re.sub(r"^[a-z]+_", "", name) if strip_prefix else name
 
 
-def fanout(tables: dict[str, DataFrame], pattern: str = ID, strip_prefix: bool = False) -> DataFrame:
-    """table, column, name, total, distinct, role (likely_pk or likely_fk), has_fanout of every id-like column."""
+KEY = ["table", "column", "value"]
+
+
+def key_counts(tables: dict[str, DataFrame], pattern: str = ID) -> DataFrame:
+    """table, column, value, c: how often each value of each id-like column occurs; nulls are left out."""
     parts = [to_long(df, t, cs) for t, df in tables.items() if (cs := [c for c in df.columns if re.search(pattern, c.lower())])]
-    names = {c: bare(c, strip_prefix) for df in tables.values() for c in df.columns}
-    values = reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"))
-    stats = values.groupBy("table", "column").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct"))
-    named = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("column"))
+    return reduce(DataFrame.unionByName, parts).where("value is not null").groupBy(*KEY).agg(F.count(F.lit(1)).alias("c"))
+
+
+def add_counts(root: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> int:
+    """Brings key counts kept by store.publish (keys KEY) up to date with those of rows that came or went; buckets written.
+
+    Only counts of keys in the change are read and written, so a day's rows don't cost a pass over the table. A count may fall to 0.
+    """
+    parts = [x for x in (added, removed.withColumn("c", -F.col("c")) if removed is not None else None) if x is not None]
+    change = stored(reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.sum("c").alias("c")), "change")
+    spark = change.sparkSession
+    known = store.read(spark, root).join(change.select(*KEY), KEY, "left_semi")
+    return store.change(spark, root, stored(known.unionByName(change).groupBy(*KEY).agg(F.sum("c").alias("c")), "counts"))
+
+
+def fanout_of(counts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """fanout's rows from key counts; names: of a column without its table's prefix."""
+    stats = counts.where("c > 0").groupBy("table", "column").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct"))
+    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("column")), F.col("column")) if names else F.col("column")
     unique = F.col("total") == F.col("distinct")
     return stats.select("table", "column", named.alias("name"), "total", "distinct", F.when(unique, "likely_pk").otherwise("likely_fk").alias("role"), (~unique).alias("has_fanout"))
 
 
+def fanout(tables: dict[str, DataFrame], pattern: str = ID, strip_prefix: bool = False) -> DataFrame:
+    """table, column, name, total, distinct, role (likely_pk or likely_fk), has_fanout of every id-like column."""
+    return fanout_of(key_counts(tables, pattern), {c: bare(c, strip_prefix) for df in tables.values() for c in df.columns})
+
+
+def fanout_kept(root: str, tables: dict[str, DataFrame], pattern: str = ID, strip_prefix: bool = False) -> DataFrame:
+    """fanout's rows and source: stored for tables with kept counts, live for all others, which alone are read."""
+    spark = next(iter(tables.values())).sparkSession
+    kept = store.read(spark, root).where(F.col("table").isin(*tables))
+    covered = {r["table"] for r in kept.select("table").distinct().collect()}  # names of tables
+    parts = [kept]
+    rest = {t: df for t, df in tables.items() if t not in covered and any(re.search(pattern, c.lower()) for c in df.columns)}
+    if rest:
+        parts.append(key_counts(rest, pattern))
+    names = {c: bare(c, strip_prefix) for df in tables.values() for c in df.columns}
+    live = F.when(F.col("table").isin(*rest), "live").otherwise("stored") if rest else F.lit("stored")
+    return fanout_of(reduce(DataFrame.unionByName, parts), names).withColumn("source", live)
+
+
 def with_declared(found: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared keys (table, column, declared_role) go before likely ones."""
     return found.join(declared, ["table", "column"], "left").withColumn("role", F.coalesce("declared_role", "role")).drop("declared_role")

@@ -507,6 +507,17 @@ def _(spark, sf_dir):
     return profile.profile_table(orders).select("pos", "column", "kind", "rows", "nulls", "distinct", "max", top.alias("top"))
 
 
+@register("fanout_incremental", """SELECT 'orders' AS "table", 'o_custkey' AS "column", count(*) AS total, count(DISTINCT o_custkey) AS "distinct", 'stored' AS source FROM orders WHERE o_orderkey % 5 <> 1
+ UNION ALL SELECT 'customer', 'c_custkey', count(*), count(DISTINCT c_custkey), 'live' FROM customer""")
+def _(spark, sf_dir):
+    root, orders = f"{publish.shared_folder(spark)}/keys-{uuid.uuid4().hex}", read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    counts = lambda rows: profile.key_counts({"orders": rows.select("o_custkey")}, "custkey$")
+    store.publish(counts(orders.where("o_orderkey % 5 > 0")), root, profile.KEY, 8)
+    profile.add_counts(root, counts(orders.where("o_orderkey % 5 = 0")), counts(orders.where("o_orderkey % 5 = 1")))
+    tables = {"orders": orders.select("o_custkey"), "customer": read(spark, sf_dir, "customer").select("c_custkey")}
+    return profile.fanout_kept(root, tables, "custkey$").select("table", "column", "total", "distinct", "source")
+
+
 @register("uncovered", "SELECT * FROM (VALUES ('orders'), ('customer')) t(\"table\") WHERE \"table\" NOT IN (SELECT CASE WHEN count(*) > 0 THEN 'customer' END FROM customer)")
 def _(spark, sf_dir):
     stored = read(spark, sf_dir, "customer").select(F.lit("customer").alias("table"))

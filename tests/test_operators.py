@@ -360,3 +360,14 @@ def test_folder_of_many_shapes(spark, tmp_path):
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "out" / name))
     assert {(int(r.id), r["name"]) for r in back.collect()} == got
     assert {len(r.checksum) for r in folders.checksums(spark, str(place)).collect()} == {64}
+
+
+def test_key_counts_follow_changes(spark, tmp_path):
+    root, make = str(tmp_path / "keys"), lambda xs: spark.createDataFrame([(x,) for x in xs], "a_id string")
+    rows = ["1", "1", "2", None, "3"]
+    store.publish(profile.key_counts({"t": make(rows)}), root, profile.KEY, 16)
+    assert profile.add_counts(root, profile.key_counts({"t": make(["9"])})) == 1
+    profile.add_counts(root, removed=profile.key_counts({"t": make(["1", "3"])}))
+    tables = {"t": make(["never read"]), "u": make(["5", "5"]), "none": spark.range(1).toDF("x")}
+    got = {r["table"]: (r.total, r["distinct"], r.role, r.source) for r in profile.fanout_kept(root, tables).collect()}
+    assert got == {"t": (3, 3, "likely_pk", "stored"), "u": (2, 1, "likely_fk", "live")}
