@@ -7,7 +7,8 @@
 2. Bounds: the items' terms are looked up in all sketches of a batch at once; the impacts found sum to an upper bound of
    each score. The texts with the largest bounds of each item are scored exactly, and the k-th best score is its threshold.
 3. Threshold: bounds descend, so every text whose bound reaches the threshold is scored exactly, and no other can be among
-   the best k. What is returned comes from these exact scores alone.
+   the best k. What is returned comes from these exact scores alone. The index keeps the texts, packed, beside their
+   sketches, so a text is scored where its bound is found, and only the best k rows an item of each task are shuffled.
 
 A text is known by two 64-bit hashes, so copies are one candidate, however many there are; tasks keep the best k rows an
 item before anything is shuffled. Items are taken in blocks of bounded size.
@@ -16,6 +17,7 @@ item before anything is shuffled. Items are taken in blocks of bounded size.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nsmallest
@@ -76,14 +78,35 @@ def share(tf: int, m: int) -> int:
     return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
+def packed(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(data: bytes) -> str:
+    return zlib.decompress(data).decode("utf-8", "surrogatepass")
+
+
+def folded(sketch: np.ndarray) -> bytes:
+    """A sketch for the index, about a quarter of its size: its width's power of two, a bit a coordinate, what isn't 0."""
+    held = sketch > 0
+    return bytes([len(sketch).bit_length() - 1]) + np.packbits(held).tobytes() + sketch[held].tobytes()
+
+
+def unfolded(data: bytes) -> bytes:
+    width = 1 << data[0]
+    out, bits = np.zeros(width, np.uint8), np.frombuffer(data, np.uint8, offset=1)
+    out[np.unpackbits(bits[: width // 8]).view(bool)] = bits[width // 8 :]
+    return out.tobytes()
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
 
 
 def indexed(docs: DataFrame, wanted: frozenset[bytes], sketches: bool = True) -> DataFrame:
-    """The stored index: doc_id, k1, k2, n (terms) and sketch of every row of docs that has a term; and, in rows with a
+    """The stored index: doc_id, k1, k2, n (terms), sketch and packed text of every row of docs that has a term; and, in rows with a
     term, how many documents of a block hold it, for the terms in `wanted` (those of a block of items)."""
-    names = ["doc_id", *KEY, "n", "sketch", "term", "seen"]
+    names = ["doc_id", *KEY, "n", "sketch", "packed", "term", "seen"]
     shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of ITEM_BYTES, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,24 +114,26 @@ def indexed(docs: DataFrame, wanted: frozenset[bytes], sketches: bool = True) ->
 
         def told() -> pa.RecordBatch:
             m = len(seen)
-            nothing = [pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            nothing = [pa.nulls(m, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             return pa.RecordBatch.from_arrays([*nothing, pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=names)
 
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                n, made, known = [], [], {}
+                n, made, kept, known = [], [], [], {}
                 for text, key in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if key not in known:
                         words = terms(text)
                         counts = Counter(words)
-                        known[key] = len(words), sketch(counts).tobytes() if sketches and words else b"", counts.keys() & asked
-                    length, s, held = known[key]
+                        store = sketches and words
+                        known[key] = len(words), folded(sketch(counts)) if store else b"", packed(text) if store else b"", counts.keys() & asked
+                    length, s, whole, held = known[key]
                     seen.update(held)
                     n.append(length)
                     made.append(s)
+                    kept.append(whole)
                 if sketches:
                     blank = pa.nulls(part.num_rows)
-                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n, pa.int64()), pa.array(made, pa.binary()), blank.cast(pa.binary()), blank.cast(pa.int64())], names=names)
+                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n, pa.int64()), pa.array(made, pa.binary()), pa.array(kept, pa.binary()), blank.cast(pa.binary()), blank.cast(pa.int64())], names=names)
                     yield out.filter(pa.array([x > 0 for x in n]))
                 rows += part.num_rows
                 if rows >= BLOCK:
@@ -116,7 +141,7 @@ def indexed(docs: DataFrame, wanted: frozenset[bytes], sketches: bool = True) ->
                     seen, rows = Counter(), 0
         yield told()
 
-    return saved(with_keys(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sketch binary, term binary, seen long"), "index")
+    return saved(with_keys(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sketch binary, packed binary, term binary, seen long"), "index")
 
 
 class Asked(NamedTuple):
@@ -170,70 +195,96 @@ def bounds(items: Asked, n: list[int], sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def candidates(index: DataFrame, items: Asked, most: int | None, thresholds: np.ndarray | None = None) -> DataFrame:
-    """q (the item's place), k1, k2 and bound: the `most` documents of each task with the largest bounds of each item, or
-    all texts whose bound reaches the item's threshold."""
-    shared = index.sparkSession.sparkContext.broadcast((items, thresholds))  # a block of items
-
-    def rows_of(q: np.ndarray, keys: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()), pa.array(bound, pa.int64())], names=["q", *KEY, "bound"])
+def candidates(index: DataFrame, items: Asked, most: int) -> DataFrame:
+    """q (the item's place), k1, k2 and bound: the `most` documents of each task with the largest bounds of each item."""
+    shared = index.sparkSession.sparkContext.broadcast(items)  # a block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, least = shared.value
-        best, kept, sent = np.zeros((0, len(block.of)), np.int64), np.zeros((0, len(block.of), 2), np.int64), set()
+        block = shared.value
+        best, kept = np.zeros((0, len(block.of)), np.int64), np.zeros((0, len(block.of), 2), np.int64)
         for batch in batches:
             for part in (batch.slice(k, 4 * ROWS) for k in range(0, batch.num_rows, 4 * ROWS)):
                 keys = np.column_stack([part.column(0).to_numpy(), part.column(1).to_numpy()])
-                bound = bounds(block, part.column(2).to_pylist(), part.column(3).to_pylist())
-                if least is None:
-                    best, kept = np.vstack([best, bound]), np.vstack([kept, np.repeat(keys[:, None, :], len(block.of), axis=1)])
-                    if len(best) > most:
-                        top = np.argpartition(-best, most - 1, axis=0)[:most]
-                        best, kept = np.take_along_axis(best, top, 0), np.take_along_axis(kept, top[:, :, None], 0)
-                    continue
-                i, q = np.nonzero(bound >= least)
-                sent = sent if len(sent) < 1 << 16 else set()
-                fresh = [k for k, x in enumerate(zip(keys[i, 0].tolist(), keys[i, 1].tolist(), q.tolist(), strict=True)) if not (x in sent or sent.add(x))]
-                yield rows_of(q[fresh], keys[i[fresh]], bound[i[fresh], q[fresh]])
-        if least is None:
-            i, q = np.nonzero(best > 0)
-            yield rows_of(q, kept[i, q], best[i, q])
-
-    found = index.where("term is null").select(*KEY, "n", "sketch").mapInArrow(run, "q int, k1 long, k2 long, bound long")
-    return found
+                bound = bounds(block, part.column(2).to_pylist(), [unfolded(x) for x in part.column(3).to_pylist()])
+                best, kept = np.vstack([best, bound]), np.vstack([kept, np.repeat(keys[:, None, :], len(block.of), axis=1)])
+                if len(best) > most:
+                    top = np.argpartition(-best, most - 1, axis=0)[:most]
+                    best, kept = np.take_along_axis(best, top, 0), np.take_along_axis(kept, top[:, :, None], 0)
+        i, q = np.nonzero(best > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(kept[i, q, 0], pa.int64()), pa.array(kept[i, q, 1], pa.int64()), pa.array(best[i, q], pa.int64())], names=["q", *KEY, "bound"])
+
+    return index.where("term is null").select(*KEY, "n", "sketch").mapInArrow(run, "q int, k1 long, k2 long, bound long")
+
+
+def scores_of(block: Asked, text: str, qs: list[int]) -> dict[int, int]:
+    """The exact score of a text for each of the items."""
+    words = terms(text)
+    counts, m = Counter(words), block.long(len(words))
+    impact = {p: int(block.weights[p]) * share(f, m) for p in {p for q in qs for p in block.of[q]} if (f := counts.get(block.words[p]))}
+    return {q: sum(impact.get(p, 0) for p in block.of[q]) for q in qs}
+
+
+class Best:
+    """The best k rows of each item that a task has seen; equal scores by id, without id last."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, doc_id: int | None, scores: dict[int, int]) -> None:
+        for q, s in scores.items():
+            if s > 0:
+                held = self.held.setdefault(q, [])
+                held.append((-s, doc_id is None, doc_id or 0))
+                if len(held) > 8 * self.k:
+                    self.held[q] = nsmallest(self.k, held)
+
+    def rows(self) -> pa.RecordBatch:
+        flat = [(q, *x) for q, held in self.held.items() for x in nsmallest(self.k, held)]
+        ids = pa.array([None if x[2] else x[3] for x in flat], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int32()), ids, pa.array([-x[1] for x in flat], pa.int64())], names=["q", "doc_id", "score"])
 
 
 def rescored(docs: DataFrame, chosen: DataFrame, items: Asked, k: int) -> DataFrame:
-    """q, doc_id and exact score of the best k rows of docs for each item, among the texts chosen for it (q, k1, k2). Each
-    task hands on its best k rows an item; of rows with one text, the text is scored once a batch."""
+    """q, doc_id and exact score of the best k rows of docs for each item, among the texts chosen for it (q, k1, k2; FIRST * k
+    an item, at most). Each task hands on its best k rows an item; of rows with one text, the text is scored once a batch."""
     wanted = saved(chosen.groupBy(*KEY).agg(F.collect_set("q").alias("qs")), "wanted")  # as many as a block has items, at most
     rows = with_keys(docs).join(bounded(wanted), KEY).select("doc_id", "text", *KEY, "qs")
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, best = shared.value, {}
-        weights = block.weights.tolist()
+        block, best = shared.value, Best(k)
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 known = {}
                 for doc_id, text, k1, k2, qs in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if (k1, k2) not in known:
-                        words = terms(text)
-                        counts, m, scores = Counter(words), block.long(len(words)), {}
-                        impact = {p: weights[p] * share(f, m) for p in {p for q in qs for p in block.of[q]} if (f := counts.get(block.words[p]))}
-                        for q in qs:
-                            scores[q] = sum(impact.get(p, 0) for p in block.of[q])
-                        known[k1, k2] = scores
-                    for q, s in known[k1, k2].items():
-                        if s > 0:
-                            best.setdefault(q, []).append((-s, doc_id is None, doc_id or 0))
-                for q, held in best.items():
-                    if len(held) > 4 * k:
-                        best[q] = nsmallest(k, held)
-        flat = [(q, *x) for q, held in best.items() for x in nsmallest(k, held)]
-        ids = pa.array([None if x[2] else x[3] for x in flat], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int32()), ids, pa.array([-x[1] for x in flat], pa.int64())], names=["q", "doc_id", "score"])
+                        known[k1, k2] = scores_of(block, text, qs)
+                    best.add(doc_id, known[k1, k2])
+        yield best.rows()
+
+    return top(rows.mapInArrow(run, "q int, doc_id long, score long"), k)
+
+
+def reaching(index: DataFrame, items: Asked, thresholds: np.ndarray, k: int) -> DataFrame:
+    """q, doc_id and exact score of the best k rows of the index for each item, among those whose bound reaches the item's
+    threshold. They are scored where their bounds are found: no text is shuffled, however many reach it."""
+    shared = index.sparkSession.sparkContext.broadcast((items, thresholds))  # a block of items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (block, least), best = shared.value, Best(k)
+        for batch in batches:
+            for part in (batch.slice(k, 4 * ROWS) for k in range(0, batch.num_rows, 4 * ROWS)):
+                bound, known = bounds(block, part.column(3).to_pylist(), [unfolded(x) for x in part.column(4).to_pylist()]), {}
+                reach = bound >= least
+                ids, first, second, texts = (part.column(i) for i in (0, 1, 2, 5))
+                for i in np.flatnonzero(reach.any(axis=1)).tolist():
+                    key = first[i].as_py(), second[i].as_py()
+                    if key not in known:
+                        known[key] = scores_of(block, unpacked(texts[i].as_py()), np.flatnonzero(reach[i]).tolist())
+                    best.add(ids[i].as_py(), known[key])
+        yield best.rows()
 
+    rows = index.where("term is null").select("doc_id", *KEY, "n", "sketch", "packed")
     return top(rows.mapInArrow(run, "q int, doc_id long, score long"), k)
 
 
@@ -275,7 +326,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
         best = rescored(docs, top(first, FIRST * k), block, k)
         reached = {r.q: r.score for r in best.where(F.col("rank") == k).select("q", "score").collect()}  # a number an item
         thresholds = np.array([max(1, reached.get(q, 1)) for q in range(len(block.of))], np.int64)
-        found = rescored(docs, candidates(index, block, None, thresholds), block, k)
+        found = reaching(index, block, thresholds, k)
         names = F.broadcast(spark.createDataFrame(list(enumerate(block.ids)), f"q int, item_id {kind}"))  # a block of items
         made = found.join(names, "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         out = made if out is None else out.unionByName(made)

@@ -74,6 +74,20 @@ def test_op11_odd_rows_copies_and_blocks(spark, monkeypatch):
         assert x.collect() == [] and x.columns == ["item_id", "rank", "doc_id", "score"]
 
 
+def test_search_joins_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "bounded", lambda df: df)
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} x") for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = lexical.search(df, spark.createDataFrame([(0, "w1 w2"), (1, "w3 x")], "item_id int, text string"), 3)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+
 def test_op11_bounds_hold():
     r = random.Random(3)
     words = [f"t{i}".encode() for i in range(400)]
@@ -194,3 +208,10 @@ def test_op13_files_windows_and_odd_rows(spark, monkeypatch):
     with pytest.raises(Exception, match="manifest"):
         tokenbin.read(spark, tokenbin.new_folder(spark)).count()
 
+
+
+def test_folded_sketches_and_packed_texts_come_back():
+    for n in (1, 3, 50, 3000):
+        made = lexical.sketch({f"w{i}".encode(): i % 300 + 1 for i in range(n)})
+        assert lexical.unfolded(lexical.folded(made)) == made.tobytes() and (n < 50 or len(lexical.folded(made)) < len(made) // 2)
+    assert lexical.unpacked(lexical.packed("a É 🙂\n")) == "a É 🙂\n"
