@@ -25,10 +25,18 @@ def number(c: Column) -> Column:
     return F.when(is_number(c), strip(c).try_cast("double"))
 
 
+def shape(form: str) -> str:
+    """A pattern that every text has which a date format reads."""
+    parts = re.findall(r"y+|M+|d+|H+|m+|s+|'[^']*'|.", form)
+    return "(?i)^" + "".join(r"[+-]?\d{4,}" if p[0] == "y" else r"\d\d" if p[0] in "MdHms" else re.escape(p.strip("'")) for p in parts) + "$"
+
+
 def timestamp(c: Column, formats: list[str] | None = None) -> Column:
     """The first of the formats that reads the text; null for none."""
     formats = hints.DATE_FORMATS + hints.TIME_FORMATS if formats is None else formats
-    return F.coalesce(*(F.try_to_timestamp(strip(c), F.lit(f)) for f in formats))
+    # The text is stripped once, and a format is tried only on texts of its shape; a failed try costs much more than a pattern.
+    read = lambda s: F.coalesce(*(F.when(s.rlike(shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in formats))
+    return F.get(F.transform(F.array(strip(c)), read), F.lit(0))
 
 
 def date_format(c: Column) -> Column:

@@ -33,8 +33,30 @@ FLAGS = [
 ]
 
 
+#: Tokens that a value may show, each a bit of `marks`.
+MARKS = [("format", f) for f in hints.DATE_FORMATS] + [("placeholder", t) for t in hints.PLACEHOLDERS] + [("boolean", t) for t in hints.TRUE_TOKENS + hints.FALSE_TOKENS] + [("symbol", t) for t in "$€£¥"]
+
+
+def _mark(kind: str, token: Column) -> Column:
+    """The bit of a token of one kind; 0 for none."""
+    first, names = next(i for i, m in enumerate(MARKS) if m[0] == kind), [t for k, t in MARKS if k == kind]
+    at = F.array_position(F.array(*map(F.lit, names)), token).cast("int")
+    return F.when(at > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at + (first - 1))).otherwise(F.lit(0).cast("long"))
+
+
+def _marked(kind: str) -> Column:
+    """Whether a value shows a token of one kind."""
+    return F.col("marks").bitwiseAND(F.lit(sum(1 << i for i, m in enumerate(MARKS) if m[0] == kind))) != 0
+
+
+def _tokens(kind: str) -> Column:
+    """The tokens of one kind that `marks` holds, sorted."""
+    return F.array_compact(F.array(*(F.when(F.col("marks").bitwiseAND(F.lit(1 << i)) != 0, t) for t, i in sorted((t, i) for i, (k, t) in enumerate(MARKS) if k == kind))))
+
+
 def _facts(df: DataFrame, value: str, as_of_year: int) -> DataFrame:
-    """Adds what the checks need to know of a text: folded (hash of the trimmed lower case), format, placeholder, boolean, symbol, flags."""
+    """Adds what the checks need to know of a text: folded (hash of the trimmed lower case), marks (tokens that it shows), flags.
+    Values of digits alone, as most keys are, are numbers without any other fact; no pattern is tried on them."""
     v, bare, low, ts, num = (F.col(c) for c in (value, "_bare", "_low", "_ts", "_num"))
     tokens = hints.TRUE_TOKENS + hints.FALSE_TOKENS
     conditions = [
@@ -42,13 +64,16 @@ def _facts(df: DataFrame, value: str, as_of_year: int) -> DataFrame:
         bare.rlike(hints.LOCALE_US), bare.rlike(hints.LOCALE_EU), num.isNotNull() & bare.rlike(hints.FLOAT_NOISE), v.rlike(hints.FORMULA), bare.isin(hints.SHEET_ERRORS), v.rlike(hints.CONTROL),
         *(is_list(v, d) for d in hints.DELIMITERS), ts.isNotNull() & v.rlike(hints.TIME_OF_DAY),
     ]
+    digits = F.coalesce(v.rlike(r"^[0-9]+\z"), F.lit(False))
     flags = reduce(Column.bitwiseOR, [F.when(x, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(conditions)])
     dated = F.when(bare.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d"), bare)
     numeric = F.when(bare.rlike(hints.NUMBER), bare.try_cast("double"))
-    read = df.withColumn("_bare", strip(v)).withColumns({"_low": F.lower("_bare"), "_ts": timestamp(dated), "_num": numeric})
+    read = df.withColumn("_bare", F.when(digits, v).otherwise(strip(v))).withColumns({"_low": F.lower("_bare"), "_ts": timestamp(dated), "_num": numeric})
+    symbol = F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1))
+    plain, other = [_mark("placeholder", low), _mark("boolean", F.when(low.isin(tokens), low))], [_mark("format", date_format(dated)), _mark("symbol", symbol)]
+    marks = reduce(Column.bitwiseOR, plain).bitwiseOR(F.when(digits, F.lit(0).cast("long")).otherwise(reduce(Column.bitwiseOR, other)))
     return read.withColumns({
-        "folded": F.when(v.isNotNull(), F.xxhash64("_low")), "format": date_format(dated), "placeholder": F.when(low.isin(hints.PLACEHOLDERS), low),
-        "boolean": F.when(low.isin(tokens), low), "symbol": F.when(v.rlike(hints.CURRENCY), F.regexp_extract(v, "([$€£¥])", 1)), "flags": flags,
+        "folded": F.when(v.isNotNull(), F.xxhash64("_low")), "marks": F.when(v.isNotNull(), marks), "flags": F.when(digits, F.lit(1).cast("long")).when(v.isNotNull(), flags),
     }).drop("_bare", "_low", "_ts", "_num")
 
 
@@ -60,11 +85,11 @@ def distinct_cells(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """
     size = F.length("value")
     told = long.select("table", "column", F.when(size <= LONG, F.col("value")).alias("short"), F.when(size > LONG, F.col("value")).alias("long"), size.alias("length"))
-    made = ["folded", "format", "placeholder", "boolean", "symbol", "flags"]
+    made = ["folded", "marks", "flags"]
     marks = [F.when(F.col("long").isNotNull(), F.xxhash64(F.lit(i), "long")).alias(f"h{i}") for i in (1, 2)]
     read = _facts(told, "long", as_of_year).select("table", "column", "short", "length", *marks, *(F.col(c).alias(f"long_{c}") for c in made))
     cells = read.groupBy(*read.columns).agg(F.count(F.lit(1)).alias("c"))
-    both = {c: F.col("flags").bitwiseOR(F.col("long_flags")) if c == "flags" else F.coalesce(f"long_{c}", c) for c in made}
+    both = {c: F.coalesce(f"long_{c}", c) if c == "folded" else F.coalesce(f"long_{c}", c, F.lit(0).cast("long")) for c in made}
     return _facts(cells, "short", as_of_year).withColumns(both).select("table", "column", "c", "length", *made)
 
 
@@ -72,14 +97,16 @@ def cell_stats(long: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """Counts per table and column; every count-type check reads only these."""
     c, known = F.col("c"), F.col("length").isNotNull()
     times = lambda condition: F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
-    tokens = lambda name: F.array_sort(F.collect_set(name))  # noqa: E731  (a few fixed tokens)
-    return distinct_cells(long, as_of_year).groupBy("table", "column").agg(
-        F.sum("c").alias("rows"), times(known).alias("n"), (F.sum(F.col("length") * c) / times(known)).alias("mean_length"),
-        F.count("length").alias("distinct"), F.count_distinct("folded").alias("distinct_normal"), tokens("format").alias("formats"),
-        times(F.col("placeholder").isNotNull()).alias("placeholders"), tokens("placeholder").alias("placeholder_tokens"),
-        times(F.col("boolean").isNotNull()).alias("booleans"), tokens("boolean").alias("boolean_tokens"), tokens("symbol").alias("symbols"),
+    cells = distinct_cells(long, as_of_year)
+    counted = cells.groupBy("table", "column").agg(
+        F.sum("c").alias("rows"), times(known).alias("n"), (F.sum(F.col("length") * c) / times(known)).alias("mean_length"), F.count("length").alias("distinct"), F.bit_or("marks").alias("marks"),
+        times(_marked("placeholder")).alias("placeholders"), times(_marked("boolean")).alias("booleans"),
         *(times(F.col("flags").bitwiseAND(F.lit(1 << i)) != 0).alias(name) for i, name in enumerate(FLAGS)),
     )
+    # Spellings are counted on their own: beside the sums above, every one of them would carry all sums through a shuffle.
+    spellings = cells.groupBy("table", "column", "folded").agg(F.sum("c").alias("c")).groupBy("table", "column").agg(F.count("folded").alias("distinct_normal"))
+    named = {"formats": "format", "placeholder_tokens": "placeholder", "boolean_tokens": "boolean", "symbols": "symbol"}
+    return counted.withColumns({name: _tokens(kind) for name, kind in named.items()}).drop("marks").join(F.broadcast(spellings), ["table", "column"])  # a row a column
 
 
 Check = tuple[str, Column, Column, Column, dict[str, Column]]

@@ -381,3 +381,12 @@ def test_amounts_that_look_like_placeholders_stay(spark):
     plan = [("currency_units", "amount"), ("placeholder_tokens", "amount")]
     for order in (plan, plan[::-1]):
         assert float(treat.apply_plan(df, order).where("n = 7").first().amount) == 9999.0
+
+
+def test_cell_stats_carry_no_sets(spark):
+    df = spark.createDataFrame([("2021-01-02", "$5"), ("01/02/2021", "TBD"), ("9999", "Y"), ("2021-01-02T10:30:05", "1")], "a string, b string")
+    made = rubric.cell_stats(to_long(df))
+    assert "ObjectHashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    r = {x["column"]: x for x in made.collect()}
+    assert r["a"].formats == ["MM/dd/yyyy", "yyyy-MM-dd"] and r["a"].placeholder_tokens == ["9999"] and r["a"].dates == 3 and r["a"].distinct_normal == 4
+    assert r["b"].symbols == ["$"] and r["b"].boolean_tokens == ["1", "y"] and r["b"].placeholder_tokens == ["tbd"]
