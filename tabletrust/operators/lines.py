@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import hints
 from tabletrust.sources.files import FIELD
+from tabletrust.sources.folders import _open
 
 #: Bytes of header rows that are sent to all tasks at once; more files than that are taken in blocks.
 HEADER_BYTES = 16 << 20
@@ -224,9 +225,24 @@ def _issue(rows: DataFrame, category: str, affected: Column, total: Column) -> D
 
 
 def bom(spark: SparkSession, path: str) -> DataFrame:
-    """Files that begin with a byte order mark. The line reader drops it, so files are read whole here, those up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") < (1 << 31) - 1).select("path", (F.hex(F.substring("content", 1, 3)) == "EFBBBF").cast("int").alias("bom"))
-    return _issue(files, "bom", F.col("bom"), F.lit(1))
+    """Files that begin with a byte order mark. The line reader drops it, so the first bytes are read apart, through Arrow's
+    streams; files of other systems than local, S3 and GCS are read whole, those up to 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    streamed = F.col("path").rlike("^(file|s3|s3a|s3n|gs):")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), []
+            for name in names:
+                with _open(name) as stream:
+                    found.append(int(stream.read(3) == b"\xef\xbb\xbf"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int32())], names=["path", "bom"])
+
+    told = files.where(streamed).select("path").mapInArrow(run, "path string, bom int")
+    if not files.where(~streamed).select("path").isEmpty():
+        whole = files.where(~streamed & (F.col("length") < (1 << 31) - 1))
+        told = told.unionByName(whole.select("path", (F.hex(F.substring("content", 1, 3)) == "EFBBBF").cast("int").alias("bom")))
+    return _issue(told, "bom", F.col("bom"), F.lit(1))
 
 
 def headers(first: DataFrame) -> DataFrame:

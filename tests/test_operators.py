@@ -390,3 +390,11 @@ def test_cell_stats_carry_no_sets(spark):
     r = {x["column"]: x for x in made.collect()}
     assert r["a"].formats == ["MM/dd/yyyy", "yyyy-MM-dd"] and r["a"].placeholder_tokens == ["9999"] and r["a"].dates == 3 and r["a"].distinct_normal == 4
     assert r["b"].symbols == ["$"] and r["b"].boolean_tokens == ["1", "y"] and r["b"].placeholder_tokens == ["tbd"]
+
+
+def test_marks_of_files_too_large_to_read_whole(spark, tmp_path):
+    for name, head in (("a", b"\xef\xbb\xbfid,x\n"), ("b", b"id,x\n"), ("c", b"")):
+        (tmp_path / f"{name}.csv").write_bytes(head)
+    with open(tmp_path / "a.csv", "r+b") as f:
+        f.truncate((1 << 31) + 10)  # a sparse file
+    assert [r.table.rsplit("/", 1)[1] for r in lines.bom(spark, str(tmp_path)).collect()] == ["a.csv"]
