@@ -1,9 +1,10 @@
 """Token ids of whole texts in binary files of fixed-width packed ids, and reads of documents and windows from them.
 
 Encoding. A byte-level tokenizer without a normaliser never joins a space that a visible character follows to what stands
-before it, so texts are cut there. A cut's ids come from a memory of bounded size, else from those of its pieces, else from
-the library; the library encodes what is new in a part of a batch in one call. Texts that hold the string of an added token, and all texts of tokenizers of
-other kinds, go to the library whole.
+before it, so texts are cut there. The distinct cuts of a part of a batch, signs at their ends set apart, take their ids from
+a memory of bounded size, else from the library, which gets many new ones as one text. Texts that hold the string of an added
+token, and all texts of tokenizers of other kinds, go to the library whole. The writer encodes, so ids never pass through Spark
+on their way to the files.
 
 File. Every id takes the bits that the largest id of the vocabulary needs. Ids are packed in blocks of BLOCK; the file ends
 with a footer, all numbers little-endian:
@@ -28,12 +29,11 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,17 +49,19 @@ MANIFEST = "manifest.json"
 BLOCK, FILE_BYTES = 1 << 14, 256 << 20
 #: Ids that a reader gives in one batch, about.
 BATCH_IDS = 1 << 20
-#: Entries of a generation of the memories of cuts and their pieces, and characters up to which one is remembered.
+#: Bytes of text that are encoded at once, about, and rows at most.
+PART_BYTES, PART_ROWS = 2 << 20, 1024
+#: Entries of a generation of the memory of cuts, and characters up to which one is remembered.
 CUT_MEMORY, SHORT = 250_000, 48
 #: Marks of keys that were seen once; half of them marked, they are cleared.
 MARKS = 1 << 22
+#: New cuts that the library gets as one text; its time for one grows with the text.
+JOINED = 256
 #: A space that white space follows: then texts are cut with CUT, by a slower way.
 ODD, CUT = re.compile(r" \s"), re.compile(r" (?=\S)")
-# Fixed value: the pattern by which byte-level tokenizers cut texts. It is used for characters below PLAIN only.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = "\u0250"
-#: Signs that are a piece of their own after letters.
-ENDS = frozenset(".,;:!?")
+#: Signs that are a piece of their own after letters, and cuts of Latin letters that end in one (an Arrow pattern).
+ENDS = ".,;:!?"
+ENDED = f"^[A-Za-zÀ-ÖØ-öø-ɏ]+[{ENDS}]$"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -107,12 +109,16 @@ class Memory:
     def __init__(self):
         self.now, self.before, self.seen, self.marked = {}, {}, bytearray(MARKS), 0
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: list[str]) -> list[str]:
         """The keys that aren't remembered; those of the older generation become young again."""
-        new = keys.difference(self.now)
-        again = self.before.keys() & new
-        self.now.update((k, self.before[k]) for k in again)
-        return list(new - again)
+        now, before, new = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if k in before:
+                    now[k] = before[k]
+                else:
+                    new.append(k)
+        return new
 
     def settle(self, new: list[str]) -> None:
         """After a part: its new keys go unless they have been seen before; a full generation becomes the older one."""
@@ -146,43 +152,106 @@ class Encoder:
         self.cuts = spec["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
         added = [t["content"] for t in spec["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
         self.code = "H" if self.size <= 1 << 16 else "I"
-        self.words, self.pieces = Memory(), Memory()
-        self.library.model._resize_cache(1)  # the memories see each piece before it does
+        # Ids that begin with the space of a cut; added tokens of several words could come about between joined cuts.
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.joins = not any(re.search(r"\s", t) for t in added)
+        self.memory = Memory()
+        self.library.model._resize_cache(1)  # the memory sees each cut before it does
+        self.ends = [*self._ids(list(ENDS)), b""]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words, each after a space. Words of Latin characters are cut as the library cuts them, as a piece is
-        new less often than a word; others go to the library as they are."""
-        cut = [
-            [" " + w] if w.isalpha() or max(w, default="") >= PLAIN else [" " + w[:-1], w[-1]] if w[-1:] in ENDS and w[:-1].isalpha() else PIECE.findall(" " + w)
-            for w in words
-        ]
-        new = self.pieces.missing(set(chain.from_iterable(cut)))
-        self.pieces.now.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(self.pieces.now.__getitem__, c)) for c in cut]
-        self.pieces.settle(new)
-        return out
+    def _new(self, cuts: list[str]) -> list[bytes]:
+        """The ids of cuts, each after a space. Visible ones are joined: the library cuts them apart again where an id begins
+        with a space, as no other byte of theirs is one."""
+        out: dict[str, bytes] = {}
+        plain = [c for c in cuts if c and c.isprintable() and " " not in c] if self.joins else []
+        for k in range(0, len(plain), JOINED):
+            some = plain[k : k + JOINED]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.code)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(some):
+                data, at = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+                out.update((c, data[a:b]) for c, a, b in zip(some, at, at[1:], strict=False))
+        rest = [c for c in cuts if c not in out]
+        out.update(zip(rest, self._ids([" " + c for c in rest]), strict=True))
+        return [out[c] for c in cuts]
+
+    def _cuts(self, texts: pa.Array) -> pa.Array:
+        """Each text's cuts, the spaces between them left out; texts with an added token stay whole."""
+        lists, slow = pc.split_pattern(texts, " "), []
+        for i, t in enumerate(texts.to_numpy(zero_copy_only=False)):
+            if self.added and self.added.search(t):
+                slow.append((i, [t]))
+            elif ODD.search(t):
+                slow.append((i, CUT.split(t)))
+        if slow:
+            order = np.arange(len(texts))
+            order[[i for i, _ in slow]] = len(texts) + np.arange(len(slow))
+            lists = pa.concat_arrays([lists, pa.array([c for _, c in slow], lists.type)]).take(pa.array(order))
+        return lists
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has; a null text has none."""
+        texts = texts.fill_null("")
+        if not self.cuts:
+            ids = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), self.code), np.array([len(x) for x in ids], np.int64) // np.dtype(self.code).itemsize
+        lists = self._cuts(texts)
+        starts, cuts = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+        starts -= starts[0]
+        first = np.zeros(len(cuts), bool)  # no space stands before a text's first cut
+        first[starts[:-1]] = True
+        words = cuts.filter(pa.array(~first)).dictionary_encode()
+        ended = pc.match_substring_regex(words.dictionary, ENDED)
+        sign = pc.if_else(ended, pc.index_in(pc.utf8_slice_codeunits(words.dictionary, -1), pa.array(list(ENDS), words.dictionary.type)), len(ENDS))
+        stems = pc.if_else(ended, pc.utf8_slice_codeunits(words.dictionary, 0, -1), words.dictionary).dictionary_encode()
+        keys = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.memory.missing(keys)
+        now = self.memory.now
+        now.update(zip(new, self._new(new), strict=True))
+        known = pa.array([now[k] for k in keys], pa.large_binary()).take(stems.indices)
+        self.memory.settle(new)
+        known = pc.binary_join_element_wise(known, pa.array(self.ends, pa.large_binary()).take(sign), pa.scalar(b"", pa.large_binary()))
+        heads = pa.array(self._ids(cuts.filter(pa.array(first)).to_pylist()), pa.large_binary())
+        at = np.empty(len(cuts), np.int64)
+        at[~first], at[first] = words.indices.to_numpy(), len(known) + np.arange(len(heads))
+        made = pa.concat_arrays([known, heads]).take(pa.array(at))
+        size, (_, offsets, data) = np.dtype(self.code).itemsize, made.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(made) + 1, 8 * made.offset)[starts] // size
+        return np.frombuffer(data or b"", self.code, ends[-1] - ends[0], int(ends[0]) * size), np.diff(ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in 2 bytes each if the vocabulary fits in them, else in 4."""
-        if not self.cuts:
-            return self._ids(texts)
-        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
-        split = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
-        for i in whole:
-            split[i] = [""]
-        heads = self._ids([s.pop(0) for s in split])
-        new = self.words.missing(set(chain.from_iterable(split)))
-        self.words.now.update(zip(new, self._words(new), strict=True))
-        out = [b"".join([head, *map(self.words.now.__getitem__, s)]) for head, s in zip(heads, split, strict=True)]
-        self.words.settle(new)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        ids, lengths = self.flat(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), [0, *(np.cumsum(lengths) * ids.itemsize).tolist()]
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def ended(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Like `flat`, in 4 bytes each, with end_id after each text."""
+        ids, lengths = self.flat(texts)
+        if end_id is None:
+            return ids.astype("<u4"), lengths
+        out, stops = np.empty(len(ids) + len(lengths), "<u4"), np.cumsum(lengths + 1)
+        own = np.ones(len(out), bool)
+        own[stops - 1] = False
+        out[own], out[~own] = ids, end_id
+        return out, lengths + 1
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PART_BYTES of its second column, one row at least and PART_ROWS at most."""
+    stops, k = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while k < batch.num_rows:
+        upto = int(np.searchsorted(stops, (stops[k - 1] if k else 0) + PART_BYTES, "right"))
+        n = min(max(1, upto - k), PART_ROWS)
+        yield batch.slice(k, n)
+        k += n
 
 
 @lru_cache(maxsize=2)
@@ -300,16 +369,23 @@ class Written(WriterCommitMessage):
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
-        self.folder, self.bits = options["path"], int(options["bits"])
+        self.folder, self.bits, self.model = options["path"], int(options["bits"]), options.get("model")
+        self.end_id = int(options["end"]) if "end" in options else None
+
+    def _ids(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.model:
+            return encoder(self.model).ended(part, self.end_id)
+        rows = part.to_pylist()
+        return np.frombuffer(b"".join(rows), "<u4"), np.array([len(x) // 4 for x in rows], np.int64)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         task, now, done = TaskContext.get().partitionId(), None, []
         for batch in iterator:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in parts(batch):
                 if now is None:
                     now = _File(self.folder, f"{task:06d}-{uuid.uuid4().hex}.tok", self.bits)
-                rows = part.column(1).to_pylist()
-                now.add(part.column(0).to_pylist(), np.array([len(x) // 4 for x in rows], np.int64), np.frombuffer(b"".join(rows), "<u4"))
+                ids, lengths = self._ids(part.column(1))
+                now.add(part.column(0).to_pylist(), lengths, ids)
                 if now.offsets[-1] >= FILE_BYTES:
                     done.append(now.close())
                     now = None
@@ -377,7 +453,8 @@ class _Reader(DataSourceReader):
 
 
 class TokenSource(DataSource):
-    """Spark source `tokenbin`. Writes rows (doc_id long, ids binary: little-endian unsigned 32-bit), option bits. Reads
+    """Spark source `tokenbin`. Writes rows (doc_id long, ids binary: little-endian unsigned 32-bit), option bits; with
+    option model=path rows (doc_id long, text string), encoded where they are written, option end=id after each. Reads
     doc_id, start, n_tokens and ids in that form; with option window=n instead start and ids (array<int>) of each n ids."""
 
     @classmethod
@@ -394,21 +471,6 @@ class TokenSource(DataSource):
         return _Writer(dict(self.options))
 
 
-def encoded(docs: DataFrame, model_path: str, end_id: int | None = None) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of each whole text, with end_id at the end; rows keep their
-    order. Null and empty texts have only the end id."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_path)
-        for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                ids = [np.frombuffer(x, e.code).astype("<u4").tobytes() + end for x in e.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def write(docs: DataFrame, path: str, model_path: str, end_id: int | None = None) -> None:
     """Writes the ids of every row's whole text to the folder, documents in ascending order of doc_id.
 
@@ -422,8 +484,8 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int | None = None
     keys = ["doc_id", "_text_hash", "_row"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text_hash"), F.monotonically_increasing_id().alias("_row"))
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    made = encoded(ordered, model_path, end_id)
-    made.write.format("tokenbin").option("bits", bits_for(encoder(model_path).size)).mode("append").save(path)
+    out = ordered.select("doc_id", "text").write.format("tokenbin").option("bits", bits_for(encoder(model_path).size)).option("model", model_path)
+    (out if end_id is None else out.option("end", end_id)).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, window: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -160,6 +161,32 @@ def test_op13_encoder_equals_library():
     assert [np.frombuffer(x, e.code).tolist() for x in got] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_op13_remembers_cuts_once_and_bounds_parts(monkeypatch):
+    e = tokenbin.Encoder(MODEL)
+    stems = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(5_000)]
+    texts = [" ".join(["x", *(s + sign for s in stems)]) for sign in (",", ".", "!")] * 3
+    want = [x.ids for x in Tokenizer.from_file(MODEL).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(e.encode([t])[0], e.code).tolist() for t in texts] == want
+    held = [m for m in vars(e).values() if isinstance(m, tokenbin.Memory)]
+    assert sum(len(m.now) + len(m.before) for m in held) <= len(stems)  # not once for each sign that follows
+    monkeypatch.setattr(tokenbin, "PART_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 40, None, "b" * 60, "c" * 500, "", None, "d"])], names=["doc_id", "text"])
+    assert [p.column(0).to_pylist() for p in tokenbin.parts(batch.slice(1))] == [[1, 2], [3], [4, 5, 6]]
+    assert [p.column(0).to_pylist() for p in tokenbin.parts(batch)] == [[0, 1, 2], [3], [4, 5, 6]]
+
+
+def test_op13_writer_encodes_texts(spark):
+    rows = [(1, "one two, three"), (2, None), (3, "end <|endoftext|> of"), (4, "a  b")]
+    spark.dataSource.register(tokenbin.TokenSource)
+    for end in (2, None):
+        folder = tokenbin.new_folder(spark)
+        out = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.format("tokenbin").option("bits", 16).option("model", MODEL)
+        (out if end is None else out.option("end", end)).mode("append").save(folder)
+        got = [np.frombuffer(r.ids, "<u4").tolist() for r in tokenbin.read(spark, folder).orderBy("doc_id").collect()]
+        t = Tokenizer.from_file(MODEL)
+        assert got == [[*t.encode(x or "", add_special_tokens=False).ids, *([] if end is None else [end])] for _, x in rows]
+
+
 def test_op13_packing():
     r = np.random.default_rng(0)
     for bits in range(1, 33):
