@@ -23,6 +23,9 @@ SENIOR = ["senior", "sr.", "sr ", "lead", "principal", "staff", "ii", "iii"]
 JUNIOR = ["junior", "jr.", "jr ", "entry", "associate", " i ", "intern"]
 TITLES = [("data scientist", "Data Scientist"), ("data engineer", "Data Engineer"), ("machine learning|ml engineer", "Machine Learning Engineer"), ("analyst", "Analyst"), ("manager|director|head", "Management"), ("engineer|developer", "Engineer")]
 
+#: Distinct values of a column, and bounds of their share of its rows, for which its values are worth grouping.
+LEAST, LOW, HIGH = 15, 0.03, 0.9
+
 
 def is_range(c: Column) -> Column:
     return c.rlike(CLOSED) | c.rlike(OPEN_MIN) | c.rlike(OPEN_MAX)
@@ -73,16 +76,27 @@ def simplify_labels(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     return made.withColumn(column, F.col("_new")).drop("_new"), r.a == r.b and (r.long or 0) <= 0.2
 
 
-def cardinality_candidates(long: DataFrame, least: int = 15, low: float = 0.03, high: float = 0.9) -> DataFrame:
-    """Text columns with many but repeating values, with ten sorted sample values."""
-    values = long.where("value is not null").groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"), F.first(is_number(F.col("value"))).alias("num"))
-    rows = long.groupBy("table", "column").agg(F.count(F.lit(1)).alias("rows"))
-    stats = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("n"), F.sum(F.when(F.col("num"), F.col("c")).otherwise(0)).alias("numeric"))
+def _values(long: DataFrame) -> DataFrame:
+    return long.groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _repeating(values: DataFrame, least: int, low: float, high: float) -> DataFrame:
+    """table, column, distinct, rows, fraction of the text columns with many but repeating values. values: counts of all cells."""
+    known, number = F.col("value").isNotNull(), is_number(F.col("value"))
+    counts = {"distinct": F.count_if(known), "rows": F.sum("c"), "n": F.sum(F.when(known, F.col("c"))), "numeric": F.sum(F.when(number, F.col("c")).otherwise(0))}
+    stats = values.groupBy("table", "column").agg(*(c.alias(k) for k, c in counts.items()))
     share = F.col("distinct") / F.col("rows")
+    return stats.where((F.col("distinct") >= least) & share.between(low, high) & (F.col("numeric") < 0.8 * F.col("n"))).select("table", "column", "distinct", "rows", F.round(share, 6).alias("fraction"))
+
+
+def cardinality_candidates(long: DataFrame, least: int = LEAST, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Text columns with many but repeating values, with ten sorted sample values. Only their own values are ranked."""
+    values = _values(long)
+    found = _repeating(values, least, low, high)
+    own = values.where("value is not null").join(F.broadcast(found.select("table", "column")), ["table", "column"], "left_semi")  # at most one row a column
     first = F.row_number().over(Window.partitionBy("table", "column").orderBy("value"))
-    samples = values.withColumn("_r", first).where("_r <= 10").groupBy("table", "column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
-    stats = stats.join(samples, ["table", "column"])
-    return stats.join(rows, ["table", "column"]).where((F.col("distinct") >= least) & share.between(low, high) & (F.col("numeric") < 0.8 * F.col("n"))).select("table", "column", "distinct", "rows", F.round(share, 6).alias("fraction"), "samples")
+    samples = own.withColumn("_r", first).where("_r <= 10").groupBy("table", "column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    return found.join(samples, ["table", "column"]).select("table", "column", "distinct", "rows", "fraction", "samples")
 
 
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, out: str) -> DataFrame:
@@ -167,9 +181,11 @@ def candidate_id(table: str, kind: str, columns: list[str]) -> str:
 def candidates(df: DataFrame, table: str) -> DataFrame:
     """id, table, kind, columns, tags of everything that could be derived from a table."""
     long = to_long(df, table)
-    found = [("range_decomposition", [r["column"]]) for r in range_columns(long).collect()]  # at most one row a column
-    found += [("label_simplification", [r["column"]]) for r in label_columns(long).collect()]
-    found += [("categorical_consolidation", [r["column"]]) for r in cardinality_candidates(long).collect()]
+    # At most one row a column. Only names are read: the least text, as an example, would take a sort of all cells.
+    names = lambda made: [r["column"] for r in made.select("column").collect()]
+    found = [("range_decomposition", [c]) for c in names(range_columns(long))]
+    found += [("label_simplification", [c]) for c in names(label_columns(long))]
+    found += [("categorical_consolidation", [c]) for c in names(_repeating(_values(long), LEAST, LOW, HIGH))]
     found += feature_candidates(df)
     rows = [(candidate_id(table, k, cs), table, k, cs, sorted({t for c in cs for w, ts in TAGS.items() if w in c.lower() for t in ts})) for k, cs in found]
     return df.sparkSession.createDataFrame(rows, "id string, table string, kind string, columns array<string>, tags array<string>")

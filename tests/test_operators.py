@@ -398,3 +398,17 @@ def test_marks_of_files_too_large_to_read_whole(spark, tmp_path):
     with open(tmp_path / "a.csv", "r+b") as f:
         f.truncate((1 << 31) + 10)  # a sparse file
     assert [r.table.rsplit("/", 1)[1] for r in lines.bom(spark, str(tmp_path)).collect()] == ["a.csv"]
+
+
+def test_candidates_are_found_without_sorting_cells(spark, monkeypatch):
+    rows = [(i, "1 to 5" if i % 5 else None, f"{i % 3} to 9 employees", f"v{i % 20}" if i % 7 else None, None, str(i % 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, pay string, size string, kind string, none string, digits string")
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    made = enrich.candidates(df, "t")
+    assert len(plans) == 3 and not any("Sort" in p for p in plans)
+    assert {(r.kind, *r.columns) for r in made.collect()} == {("range_decomposition", "pay"), ("range_decomposition", "size"), ("label_simplification", "size"), ("categorical_consolidation", "kind")}
+    found = enrich.cardinality_candidates(to_long(df, "t")).collect()
+    values = sorted({r[3] for r in rows if r[3]})
+    assert [tuple(r) for r in found] == [("t", "kind", len(values), 200, round(len(values) / 200, 6), values[:10])]
+    assert {r.column: (r.matched, r.n, r.example) for r in enrich.label_columns(to_long(df, "t")).collect()} == {"size": (200, 200, "0 to 9 employees")}
