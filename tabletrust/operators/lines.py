@@ -12,6 +12,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +25,8 @@ from tabletrust.sources.folders import _open
 
 #: Bytes of header rows that are sent to all tasks at once; more files than that are taken in blocks.
 HEADER_BYTES = 16 << 20
+#: The byte order mark of UTF-8, and how many files the driver opens at once to look for it.
+MARK, OPENERS = b"\xef\xbb\xbf", 16
 _CLOSING = re.compile(rb'(?:[^"]|"")*"(?!")')
 _BLANK = re.compile(rb"[\s,]*")
 
@@ -224,24 +227,43 @@ def _issue(rows: DataFrame, category: str, affected: Column, total: Column) -> D
     return rows.where(affected > 0).select(F.col("path").alias("table"), F.lit(category).alias("category"), F.lit(hints.SEVERITY[category]).alias("severity"), F.lit(None).cast("string").alias("column"), affected.cast("long").alias("affected"), total.cast("long").alias("total"))
 
 
+def _marked(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of files of any file system of Spark's that begin with a byte order mark, once unpacked as the line reader does it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    place, codecs = hadoop.fs.Path, hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def marked(path: str) -> bool:
+        at = place(path)
+        codec, stream = codecs.getCodec(at), at.getFileSystem(conf).open(at)
+        try:
+            stream = codec.createInputStream(stream) if codec else stream
+            return bytes(stream.readNBytes(len(MARK))) == MARK
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(OPENERS) as pool:
+        return [path for path, found in zip(paths, pool.map(marked, paths), strict=True) if found]
+
+
 def bom(spark: SparkSession, path: str) -> DataFrame:
-    """Files that begin with a byte order mark. The line reader drops it, so the first bytes are read apart, through Arrow's
-    streams; files of other systems than local, S3 and GCS are read whole, those up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    streamed = F.col("path").rlike("^(file|s3|s3a|s3n|gs):")
+    """Files of any size that begin with a byte order mark. Their first three bytes tell it, and as the line reader drops them
+    they are read apart: by tasks through Arrow's streams for local, S3 and GCS files; through Spark's own file systems, which
+    only the driver reaches, for all others and for what Arrow doesn't unpack."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    streamed = F.col("path").rlike("^(file|s3|s3a|s3n|gs):") & ~F.col("path").rlike(r"\.(deflate|lz4|snappy)$")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, found = batch.column(0).to_pylist(), []
             for name in names:
                 with _open(name) as stream:
-                    found.append(int(stream.read(3) == b"\xef\xbb\xbf"))
+                    found.append(int(stream.read(len(MARK)) == MARK))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int32())], names=["path", "bom"])
 
     told = files.where(streamed).select("path").mapInArrow(run, "path string, bom int")
-    if not files.where(~streamed).select("path").isEmpty():
-        whole = files.where(~streamed & (F.col("length") < (1 << 31) - 1))
-        told = told.unionByName(whole.select("path", (F.hex(F.substring("content", 1, 3)) == "EFBBBF").cast("int").alias("bom")))
+    others = [r.path for r in files.where(~streamed).select("path").collect()]  # Spark lists them on the driver as well
+    if marked := _marked(spark, others):
+        told = told.unionByName(spark.createDataFrame([(name, 1) for name in marked], "path string, bom int"))
     return _issue(told, "bom", F.col("bom"), F.lit(1))
 
 

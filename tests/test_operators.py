@@ -1,8 +1,10 @@
 """Flawed and clean pairs, treatments that are stable, files, publishing, and statistics."""
 
 import csv
+import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -400,6 +402,18 @@ def test_marks_of_files_too_large_to_read_whole(spark, tmp_path):
     assert [r.table.rsplit("/", 1)[1] for r in lines.bom(spark, str(tmp_path)).collect()] == ["a.csv"]
 
 
+def test_marks_in_stores_that_only_spark_reads(spark, tmp_path):
+    """Files of any size and packed ones, where Arrow has no file system."""
+    mark = b"\xef\xbb\xbf"
+    for name, head in (("large.csv", mark + b"id,x\n"), ("plain.csv", b"id,x\n" + mark), ("a b.csv", mark), ("short.csv", mark[:2]), ("empty.csv", b""), ("gz.csv.gz", gzip.compress(mark + b"id\n")), ("plain.csv.gz", gzip.compress(b"id\n")), ("zip.csv.deflate", zlib.compress(mark + b"id\n")), ("plain.csv.deflate", zlib.compress(b"id\n"))):
+        (tmp_path / name).write_bytes(head)
+    with open(tmp_path / "large.csv", "r+b") as f:
+        f.truncate((1 << 31) + 10)  # a sparse file
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.marks.link./in", f"file://{tmp_path}")
+    for place in ("viewfs://marks/in", str(tmp_path)):
+        assert sorted(r.table.rsplit("/", 1)[1] for r in lines.bom(spark, place).collect()) == ["a b.csv", "gz.csv.gz", "large.csv", "zip.csv.deflate"]
+
+
 def test_candidates_are_found_without_sorting_cells(spark, monkeypatch):
     rows = [(i, "1 to 5" if i % 5 else None, f"{i % 3} to 9 employees", f"v{i % 20}" if i % 7 else None, None, str(i % 20)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, pay string, size string, kind string, none string, digits string")
